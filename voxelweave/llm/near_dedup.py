@@ -18,6 +18,8 @@ from voxelweave.session import cut
 BANDS, ROWS = 40, 8
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
+#: Standard errors below the threshold down to which an estimate still asks for verification.
+MARGIN = 4
 #: Rows of one block in the comparison of what is left of a bucket.
 BLOCK = 512
 #: Ids above this number are matched by a shuffle join instead of a broadcast (8 bytes each).
@@ -112,7 +114,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _estimates(threshold: float):
-    floor = threshold - 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+    floor = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,6 +122,7 @@ def _estimates(threshold: float):
                 part = batch.slice(lo, 2000)
                 n = [arrow_rows(part, c).to_numpy() for c in ("n_a", "n_b")]
                 keep = estimate(_sig_matrix(arrow_rows(part, "sig_a")), _sig_matrix(arrow_rows(part, "sig_b")), *n) >= floor
+                keep &= np.minimum(*n) >= threshold * np.maximum(*n) - 1e-9  # no more of the union than the smaller set can be shared
                 yield part.filter(pa.array(keep)).select(["a", "b"])
 
     return run
@@ -165,7 +168,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, est
 
 def _blocks(threshold: float):
     """Pairs of two blocks of a bucket that are in different components, collide in no earlier band and are estimated similar."""
-    floor = threshold - 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+    floor = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         found = []
@@ -178,6 +181,7 @@ def _blocks(threshold: float):
             ys = right[(comp[right] != comp[x]) & (rep[right] > rep[x])] if side[x] == 2 else right[comp[right] != comp[x]]
             if not len(ys):
                 continue
+            ys = ys[np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]) - 1e-9]
             ys = ys[estimate(sig[ys], sig[x], n[ys], n[x]) >= floor]
             if len(ys):
                 same = bands[ys] == bands[x]
@@ -228,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.select("band", "rep", "component", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), side.alias("side"))
     rest = rest.join(reps.hint("merge"), "rep")
     pairs = rest.groupBy("band", "x", "y").applyInArrow(_blocks(percent / 100), "a long, b long").distinct()
-    more = _links(pairs, reps, docs, percent, estimated=True)
+    more = cut(_links(pairs, reps, docs, percent, estimated=True))
     over = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     parts = connected_components(over.union(more), "a", "b")
     named = classes.join(parts.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
