@@ -6,13 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxelweave.plans.views import oracle, view
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """Views and tables of one folder, as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return view(self.spark, self.sf_dir, name)
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables as a query under its own name, with the DuckDB SQL that says the same."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        name = f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = oracle(sql)
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from voxelweave.plans import mask_queries, queue_queries, rule_queries, scalar_queries, series_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
