@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from voxelweave.operators.masks import GROUP
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def principal_axes(cov: pd.Series) -> pd.Series:
     """Row-major eigenvectors of symmetric 3 x 3 matrices (xx, xy, xz, yy, yz, zz), longest axis first."""
     m = np.array([[[c[0], c[1], c[2]], [c[1], c[3], c[4]], [c[2], c[4], c[5]]] for c in cov]).reshape(-1, 3, 3)

@@ -24,8 +24,9 @@ def scan_result_json(spark: SparkSession, path: str, schema: str) -> tuple[DataF
 
     Paths end in <case>/<series>/<name>.json.
     """
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).json(path)
-    rows = rows.withColumn("_path", F.col("_metadata.file_path"))
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    said = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = raw.select(F.col("_metadata.file_path").alias("_path"), said.alias("_v")).select("_path", "_v.*")
     part = lambda n: F.url_decode(F.element_at(F.split("_path", "/"), -n))
     rows = rows.withColumns({"case_id": part(3), "series_id": part(2)})
     bad = rows.where("_corrupt_record is not null").select("case_id", "series_id", F.col("_path").alias("path"))

@@ -19,13 +19,13 @@ def read_arrivals(spark, folder: str, schema: str = "study string, sop string, t
     return spark.readStream.schema(schema).format(fmt).load(folder)
 
 
-def study_sessions(arrivals: DataFrame, idle: str, late: str, key: str = "study", ts: str = "ts") -> DataFrame:
-    """A row a study session: it closes once no instance came for `idle`; instances later than `late` are dropped.
+def study_sessions(arrivals: DataFrame, idle_s: int, late: str, key: str = "study", ts: str = "ts") -> DataFrame:
+    """A row a study session: it closes once no instance came for `idle_s` seconds; those later than `late` are dropped.
 
-    A gap of exactly `idle` also splits, as a session's end is exclusive. A re-opened study gets a new session. Append
+    A gap of exactly the limit splits too: Spark joins sessions that touch, so its gap is a microsecond less. A re-opened study gets a new session. Append
     mode: a session is told when the watermark has passed its end.
     """
-    s = arrivals.withWatermark(ts, late).groupBy(F.session_window(ts, idle).alias("w"), key)
+    s = arrivals.withWatermark(ts, late).groupBy(F.session_window(ts, f"{idle_s * 1_000_000 - 1} microseconds").alias("w"), key)
     got = s.agg(F.count("*").alias("n"), F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.max_by("caller", F.when(F.col("caller").isNotNull(), F.col(ts))).alias("caller"))
     return got.select(key, "n", "first_at", "last_at", "caller")
 
