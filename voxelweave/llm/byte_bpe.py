@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from voxelweave.llm.common import arrow_rows, id_and_text, text_slices
-from voxelweave.llm.token_cache import split_marked
+from voxelweave.llm.token_cache import PartCache, split_marked
 
-#: Bounds of what a worker keeps.
-CACHE_PARTS, CACHE_CHARS, CACHE_PAIRS = 300_000, 64, 2_000_000
+#: Neighbour pairs whose fit a worker keeps.
+CACHE_PAIRS = 1_000_000
 _LOADED: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -57,8 +58,7 @@ class ByteBpe:
                     self.halves[i] = (a, b)
                     break
         self.fits = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = PartCache()
 
     def _fit(self, a: int, b: int) -> bool:
         """Whether the merges leave the border between two tokens alone: unfold the later-made side until none joins."""
@@ -114,21 +114,10 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return [i for m in self.pattern.findall(text) for i in self.piece(m.encode("utf-8"))]
 
-    def encode_bytes(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids; parts of the text that came before are looked up."""
-        out, young, old = [], self.young, self.old
-        for part in split_marked(text):
-            ids = young.get(part)
-            if ids is None:
-                ids = old.get(part)
-                if ids is None:
-                    ids = np.array(self.encode(part), "<u4").tobytes()
-                if len(part) <= CACHE_CHARS:
-                    young[part] = ids
-            out.append(ids)
-        if len(young) > CACHE_PARTS:
-            self.old, self.young = young, {}
-        return b"".join(out)
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids; parts of the texts that came before are looked up."""
+        learn = lambda parts: {p: array("I", self.encode(p)).tobytes() for p in parts}
+        return self.cache.encode([split_marked(t) if t else [] for t in texts], learn)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -150,7 +139,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             ids, texts = arrow_rows(batch, "doc_id"), arrow_rows(batch, "text")
             for i, j, _, _ in text_slices(batch, "text"):
-                said = [bpe.encode_bytes(t) if t else b"" for t in texts.slice(i, j - i).to_pylist()]
+                said = bpe.encode_texts(texts.slice(i, j - i).to_pylist())
                 yield pa.record_batch([ids.slice(i, j - i).cast(pa.int64()), pa.array(said, pa.binary())], ["doc_id", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")

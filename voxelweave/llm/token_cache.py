@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Parts kept per worker and generation; the older generation goes when the younger is full.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 600_000
 #: Longer parts are encoded but not kept.
 CACHE_CHARS = 64
+#: Marks that no match joins with a letter before them.
+TAIL = ".,;:!?*#$%&|"
 _TWO_SPACES = re.compile(r"\s\s")
 _WORD_END = re.compile(r"(?<=\S)(?=[ \n])")
 _LOADED: dict[tuple[str, str], "PartEncoder"] = {}
@@ -43,6 +44,28 @@ def split_plain(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+class PartCache:
+    """Ids of parts that were met before, in two generations of bounded size."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, cut: list[list[str]], learn) -> list[bytes]:
+        """Joined ids of each list of parts; learn(parts) gives the ids of those that are new."""
+        if len(self.young) > CACHE_PARTS:
+            self.old, self.young = self.young, {}
+        got = [list(map(self.young.get, c)) for c in cut]
+        gaps = [k for k, g in enumerate(got) if None in g]
+        missing = {p for k in gaps for p, ids in zip(cut[k], got[k]) if ids is None}
+        found = {p: self.old[p] for p in missing if p in self.old}
+        found.update(learn([p for p in missing if p not in found]))
+        for k in gaps:
+            got[k] = [found[p] if ids is None else ids for p, ids in zip(cut[k], got[k])]
+        self.young.update((p, ids) for p, ids in found.items() if len(p) <= CACHE_CHARS)
+        return [b"".join(g) for g in got]
+
+
 class PartEncoder:
     """Little-endian unsigned 32-bit ids of texts; `split` cuts a text where its encoding falls apart."""
 
@@ -53,34 +76,32 @@ class PartEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.split = split
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = PartCache()
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+    def _ask(self, parts: list[str]) -> dict[str, bytes]:
         new = {}
         for lo in range(0, len(parts), 4096):
             some = parts[lo : lo + 4096]
             for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                new[part] = np.array(e.ids, "<u4").tobytes()
+                new[part] = array("I", e.ids).tobytes()
         return new
 
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of new parts. Punctuation behind a letter is a match of its own, so a part that ends in it is its two sides."""
+        young, old = self.cache.young, self.cache.old
+        sides, ask = {}, set()
+        for p in parts:
+            head = p.rstrip(TAIL)
+            pair = (head, p[len(head) :]) if 0 < len(head) < len(p) and head[-1].isalpha() else (p,)
+            sides[p] = pair
+            ask.update(x for x in pair if x not in young and x not in old)
+        new = self._ask(list(ask))
+        self.cache.young.update((x, new[x]) for x in ask if len(x) <= CACHE_CHARS)
+        ids = lambda x: new[x] if x in new else young[x] if x in young else old[x]
+        return {p: b"".join(map(ids, pair)) for p, pair in sides.items()}
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split(t) if t else [] for t in texts]
-        seen: set[str] = set()
-        seen.update(*cut)
-        known = {}
-        for p in seen:
-            if (ids := self.young.get(p)) is None and (ids := self.old.get(p)) is not None:
-                self.young[p] = ids
-            if ids is not None:
-                known[p] = ids
-        new = self._learn([p for p in seen if p not in known])
-        known.update(new)
-        self.young.update((p, i) for p, i in new.items() if len(p) <= CACHE_CHARS)
-        if len(self.young) > CACHE_PARTS:
-            self.old, self.young = self.young, {}
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return self.cache.encode([self.split(t) if t else [] for t in texts], self._learn)
 
 
 def encoder(path: str, kind: str) -> PartEncoder:
