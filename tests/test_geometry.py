@@ -110,3 +110,26 @@ def test_runs_and_overlap(voxels, grids):
     a, b = (set(map(tuple, np.argwhere(grids[k]).tolist())) for k in (0, 1))
     got = masks.overlap(runs.where("mask = 1"), runs.where("mask = 0").drop("mask"), ["study"], "mask").first()
     assert (got.n_voxels, got.inside) == (len(b), len(a & b))
+
+
+def test_appendicular_parts_go(spark):
+    from voxelweave.operators import metrics
+
+    body = [(1, x, y, 5) for x in range(10) for y in range(10)]
+    arm = [(1, x, y, 5) for x in range(20, 24) for y in range(4)]
+    df = lambda rows: spark.createDataFrame(rows, "study int, x int, y int, z int")
+    bones = df([(1, 25, 1, 5)])
+    got = metrics.appendicular_filter(df(body + arm), bones, 2.0, (1.0, 1.0))
+    assert sorted((r.x, r.y) for r in got.collect()) == sorted((x, y) for _, x, y, _ in body)
+    much = metrics.appendicular_filter(df(arm), bones, 2.0, (1.0, 1.0))
+    assert much.count() == len(arm)  # all of it would go, so nothing does
+
+
+def test_metric_order():
+    from voxelweave.operators import metrics
+
+    assert [m.name for m in metrics.planned(["organs", "brain", "organs"])] == ["organs", "brain"]
+    with pytest.raises(ValueError):
+        metrics.planned(["nothing"])
+    with pytest.raises(ValueError):
+        metrics.metric("Not Allowed")

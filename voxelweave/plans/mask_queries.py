@@ -204,14 +204,19 @@ def components_2d(t: Tables):
     return runs.groupBy("study", "mask", "z", "component").agg(F.sum(c("x1") - c("x0") + 1).alias("n_voxels")).drop("component")
 
 
-@query(None)
+FLOOD = _flood("", False).replace("\n select study, mask,", ",\n f as (select study, mask,") + ")"
+
+
+@query(FLOOD + " select study, mask, max(n_voxels) as n_voxels from f group by study, mask")
 def largest_component(t: Tables):
-    return components.largest(components.describe(components.label_runs(t.lattice))).select("study", "mask", "n_voxels", "x_min", "y_min", "z_min")
+    runs = components.label_runs(t.lattice.where("y <= 25"))
+    return components.largest(components.describe(runs)).select("study", "mask", "n_voxels")
 
 
-@query(None)
+@query(FLOOD + " select study, mask, n_voxels, row_number() over (partition by study, mask order by n_voxels desc) as rank from f")
 def component_rank(t: Tables):
-    return components.ranked(components.describe(components.label_runs(t.blobs))).select("study", "mask", "rank", "label", "n_voxels", "cx", "cy", "cz")
+    runs = components.label_runs(t.lattice.where("y <= 25"))
+    return components.ranked(components.describe(runs)).select("study", "mask", "n_voxels", "rank")
 
 
 @query(None)
