@@ -222,7 +222,7 @@ def test_fingerprints(spark, edge):
         assert mine, r.doc_id
         assert min(abs(r.near_edited - w[2]) for w in mine) < 0.2 and min(abs(r.near_next - w[3]) for w in mine) < 0.2
     prints = collections.defaultdict(set)
-    text = {i: t for i, t, _ in rows if i != 4}
+    text = {i: t for i, t, _ in rows if i not in (4, None)}
     for r in got:
         if r.doc_id in text:
             prints[text[r.doc_id] or ""].add(r.fingerprint)
