@@ -10,13 +10,16 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: Parts kept per worker and generation; the older generation goes when the younger is full.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 #: Longer parts are encoded but not kept.
 CACHE_CHARS = 64
 #: Marks that no match joins with a letter before them.
 TAIL = ".,;:!?*#$%&|"
 _TWO_SPACES = re.compile(r"\s\s")
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 _WORD_END = re.compile(r"(?<=\S)(?=[ \n])")
 _LOADED: dict[tuple[str, str], "PartEncoder"] = {}
 
@@ -40,45 +43,57 @@ def split_marked(text: str) -> list[str]:
 
 
 def split_plain(text: str) -> list[str]:
-    """Parts for a vocabulary that drops white space: what stands between blanks and newlines."""
+    """Parts for a vocabulary that folds case and drops white space: what stands between blanks and newlines.
+
+    A to Z are folded first, so that words share their parts; not where a mark follows, which composes by case.
+    """
+    if not _MARKS.search(text):
+        text = text.encode("utf-8").lower().decode("utf-8")
     return text.replace("\n", " ").split(" ")
 
 
 class PartCache:
     """Ids of parts that were met before, in two generations of bounded size."""
 
-    def __init__(self):
+    def __init__(self, parts: int = CACHE_PARTS):
+        self.parts = parts
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, cut: list[list[str]], learn) -> list[bytes]:
         """Joined ids of each list of parts; learn(parts) gives the ids of those that are new."""
-        if len(self.young) > CACHE_PARTS:
+        if len(self.young) > self.parts:
             self.old, self.young = self.young, {}
-        got = [list(map(self.young.get, c)) for c in cut]
-        gaps = [k for k, g in enumerate(got) if None in g]
-        missing = {p for k in gaps for p, ids in zip(cut[k], got[k]) if ids is None}
-        found = {p: self.old[p] for p in missing if p in self.old}
+        young, old = self.young, self.old
+        missing = set().union(*cut).difference(young)
+        found = {p: old[p] for p in missing if p in old}
         found.update(learn([p for p in missing if p not in found]))
-        for k in gaps:
-            got[k] = [found[p] if ids is None else ids for p, ids in zip(cut[k], got[k])]
-        self.young.update((p, ids) for p, ids in found.items() if len(p) <= CACHE_CHARS)
-        return [b"".join(g) for g in got]
+        young.update(found)
+        out = [b"".join(map(young.__getitem__, c)) for c in cut]
+        for p in found:
+            if len(p) > CACHE_CHARS:
+                del young[p]
+        return out
 
 
 class PartEncoder:
     """Little-endian unsigned 32-bit ids of texts; `split` cuts a text where its encoding falls apart."""
 
-    def __init__(self, path: str, split):
+    def __init__(self, path: str, kind: str, parts: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.split = split
-        self.cache = PartCache()
-
-    def _ask(self, parts: list[str]) -> dict[str, bytes]:
+        self.split = {"marked": split_marked, "plain": split_plain}[kind]
+        self.cache = PartCache(parts)
+        # ids that show where a word begins (a blank before it) or ends (the end-of-word mark)
+        self.first = kind == "marked"
+        vocab = self.library.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for t, i in vocab.items() if (t.startswith("\u0120") if self.first else t.endswith("</w>"))]] = True
+
+    def _each(self, parts: list[str]) -> dict[str, bytes]:
         new = {}
         for lo in range(0, len(parts), 4096):
             some = parts[lo : lo + 4096]
@@ -86,6 +101,27 @@ class PartEncoder:
                 new[part] = array("I", e.ids).tobytes()
         return new
 
+    def _ask(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts from the library. Words of letters alone are asked for together and told apart by their borders."""
+        plain = (lambda p: p[0] == " " and p[1:].isalpha()) if self.first else str.isalpha
+        words, rest = [], []
+        for p in parts:
+            (words if p and plain(p) else rest).append(p)
+        new = {}
+        for lo in range(0, len(words), 512):
+            some = words[lo : lo + 512]
+            e = self.library.encode_batch_fast(["".join(some) if self.first else " ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids]) + (0 if self.first else 1)
+            bounds = [*at.tolist(), len(ids)] if self.first else [0, *at.tolist()]
+            if len(bounds) != len(some) + 1 or bounds[0] != 0 or bounds[-1] != len(ids):
+                rest += some  # a letter that the library doesn't know as one
+                continue
+            raw = ids.tobytes()
+            new.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, bounds, bounds[1:]))
+        new.update(self._each(rest))
+        return new
+
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of new parts. Punctuation behind a letter is a match of its own, so a part that ends in it is its two sides."""
         young, old = self.cache.young, self.cache.old
@@ -104,8 +140,8 @@ class PartEncoder:
         return self.cache.encode([self.split(t) if t else [] for t in texts], self._learn)
 
 
-def encoder(path: str, kind: str) -> PartEncoder:
+def encoder(path: str, kind: str, parts: int = CACHE_PARTS) -> PartEncoder:
     """One encoder per worker, path and kind ("marked" for byte-level, "plain" for the one that drops white space)."""
     if (path, kind) not in _LOADED:
-        _LOADED[path, kind] = PartEncoder(path, {"marked": split_marked, "plain": split_plain}[kind])
+        _LOADED[path, kind] = PartEncoder(path, kind, parts)
     return _LOADED[path, kind]
