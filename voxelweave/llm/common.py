@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -124,6 +124,12 @@ def arrow_rows(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(column))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The frame itself, with Arrow batches of few rows from now on in its session: texts are long, and a batch is held whole on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that the operators read, under fixed names; so extra columns can't clash."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

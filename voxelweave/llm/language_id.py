@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import U, arrow_rows, crc_mod3, mix, text_slices, words
+from voxelweave.llm.common import U, arrow_rows, crc_mod3, mix, small_batches, text_slices, words
 
 #: Hashed byte n-grams of each of the two lengths.
 TABLE, SIZES = 8192, (3, 4)
@@ -145,7 +145,7 @@ def learn(docs: DataFrame) -> Model | None:
     Every task sends its counts by language and n-gram row; these are summed by key, and what comes to the driver has
     languages x ROWS rows at most, whatever the size of the corpus.
     """
-    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(crc_mod3(F.col("doc_id")) != 1).select("text", "lang")
+    rows = small_batches(docs).where("text is not null and lang is not null and doc_id is not null").where(crc_mod3(F.col("doc_id")) != 1).select("text", "lang")
     languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not languages:
         return None

@@ -15,6 +15,8 @@ from voxelweave.llm.token_cache import encoder
 
 #: Pieces that are sorted and placed together.
 BLOCK = 16_384
+#: Encoded parts that a worker keeps in each of two generations, about 130 bytes each.
+CACHE_PARTS = 300_000
 
 
 def pieces(n: int, most: int) -> list[tuple[int, int]]:
@@ -89,7 +91,7 @@ def pack(docs: DataFrame, path: str, kind: str = "marked", end: int = 2, capacit
         return pa.record_batch(out, schema=_SCHEMA), first + int(bins.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail, nxt, rows = encoder(path, kind), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId() << 36, []
+        enc, tail, nxt, rows = encoder(path, kind, CACHE_PARTS), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId() << 36, []
         for batch in batches:
             ids, texts = arrow_rows(batch, "doc_id"), arrow_rows(batch, "text")
             for i, j, _, _ in text_slices(batch, "text"):

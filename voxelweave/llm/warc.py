@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import arrow_rows
+from voxelweave.llm.common import arrow_rows, small_batches
 from voxelweave.session import cut, work_uri
 
 SEGMENT_BYTES, FILE_BYTES, CHUNK_BYTES = 16 << 10, 64 << 20, 4096
@@ -142,7 +142,7 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     and share their kind; rows without an id are responses.
     """
     payload = F.encode(F.coalesce(pages[payload_col].cast("string"), F.lit("")), "UTF-8")
-    base = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
+    base = small_batches(pages).select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumn("sha", F.sha2("payload", 256))
     ids = base.where(F.octet_length("payload") >= least_bytes).select("page_id", "sha")
     first = ids.groupBy("sha").agg(F.min("page_id").alias("first_id"))
