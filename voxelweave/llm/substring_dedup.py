@@ -1,4 +1,9 @@
-"""Repeated passages by content-defined chunking: a gear hash cuts, digests match, repeated runs go."""
+"""Repeated passages by content-defined chunking: a gear hash cuts, digests match, repeated runs go.
+
+What is matched is a chunk with the one after it. Neighbour units overlap by a chunk, so a run of repeated units is one
+passage, not a row of short chunks that happen to occur somewhere; and chunks can be small, which leaves little of a
+passage at its ends.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,7 @@ from voxelweave.llm.common import U, arrow_rows, id_and_text, mix, row_starts, t
 from voxelweave.session import cut
 
 #: Mean words of a chunk, and the fewest words in a row that count as a repeated passage.
-MEAN_WORDS, RUN_WORDS = 6, 16
+MEAN_WORDS, RUN_WORDS = 4, 16
 #: Text without white space is cut at characters instead, one in this many on average.
 CHAR_MEAN = 256
 GEAR_BYTES = 16
@@ -57,14 +62,24 @@ def cuts(data: np.ndarray, offs: np.ndarray, mean_words: int) -> tuple[np.ndarra
     return begin, np.searchsorted(begin, offs)
 
 
-def chunk_digests(data: np.ndarray, begin: np.ndarray, stop: int) -> list[bytes]:
-    """A 128-bit digest of each chunk, without the white space at its end."""
-    raw = data.tobytes()
-    ends = np.append(begin[1:], stop)
-    return [hashlib.blake2b(raw[a:b].rstrip(b" \t\n\x0b\x0c\r"), digest_size=16).digest() for a, b in zip(begin.tolist(), ends.tolist())]
-
+def unit_digests(data: np.ndarray, begin: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit BLAKE2b digests of the units of a slice, and where each row's units begin.
 
-def _chunks(mean_words: int, whole: bool):
+    A unit is a chunk and the next one of its row, without the white space at its end; a row of one chunk has that as
+    its unit. A digest that two texts share by chance marks one unit, which alone is too short to go.
+    """
+    raw, n = data.tobytes(), np.diff(at)
+    units = np.maximum(n - 1, np.minimum(n, 1))
+    unit_at = np.concatenate(([0], np.cumsum(units)))
+    row = np.repeat(np.arange(len(n)), units)
+    first = at[:-1][row] + np.arange(len(row)) - unit_at[:-1][row]
+    stops = np.append(begin, len(raw))
+    ends = stops[np.minimum(first + 2, at[1:][row])]
+    digests = [hashlib.blake2b(raw[a:b].rstrip(b" \t\n\x0b\x0c\r"), digest_size=8).digest() for a, b in zip(begin[first].tolist(), ends.tolist())]
+    return np.frombuffer(b"".join(digests), np.int64), unit_at
+
+
+def _units(mean_words: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = arrow_rows(batch, "doc_id").to_numpy(zero_copy_only=False)
@@ -72,13 +87,13 @@ def _chunks(mean_words: int, whole: bool):
                 begin, at = cuts(data, offs, mean_words)
                 if not len(begin):
                     continue
-                d = np.frombuffer(b"".join(chunk_digests(data, begin, len(data))), np.int64).reshape(-1, 2)
+                d, unit_at = unit_digests(data, begin, at)
                 if not whole:
-                    yield pa.record_batch([pa.array(d[:, 0].copy())], ["d1"])
+                    yield pa.record_batch([pa.array(d)], ["digest"])
                     continue
-                n = np.diff(at)
-                idx = np.arange(len(begin)) - np.repeat(at[:-1], n)
-                yield pa.record_batch([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(np.repeat(ids[i:j], n)).cast(pa.int64()), pa.array(idx.astype(np.int32))], ["d1", "d2", "doc_id", "idx"])
+                n = np.diff(unit_at)
+                idx = np.arange(len(d)) - np.repeat(unit_at[:-1], n)
+                yield pa.record_batch([pa.array(d), pa.array(np.repeat(ids[i:j], n)).cast(pa.int64()), pa.array(idx.astype(np.int32))], ["digest", "doc_id", "idx"])
 
     return run
 
@@ -100,15 +115,15 @@ def _remove(mean_words: int, run_words: int):
                     mine, lo, hi = begin[at[k] : at[k + 1]], offs[k], offs[k + 1]
                     said = repeated[i + k].as_py()
                     spans, gone, hits = [], 0, 0
-                    if said:
+                    if said and len(mine):
                         ends = np.append(mine[1:], hi)
                         raw = data[lo:hi].tobytes()
+                        own, _ = unit_digests(data[lo:hi], mine - lo, np.array([0, len(mine)]))
                         is_rep = np.zeros(len(mine) + 2, bool)
                         for x in said:
-                            at_x = x["idx"]
-                            if at_x < len(mine):  # a row that repeats a doc_id with another text may not have it
-                                body = raw[mine[at_x] - lo : ends[at_x] - lo].rstrip(b" \t\n\x0b\x0c\r")
-                                is_rep[at_x + 1] |= int.from_bytes(hashlib.blake2b(body, digest_size=16).digest()[:8], "little", signed=True) == x["d1"]
+                            at_x = x["idx"]  # a row that repeats an id with another text may not have this unit
+                            if at_x < len(own) and own[at_x] == x["digest"]:
+                                is_rep[at_x + 1 : min(at_x + 2, len(mine)) + 1] = True
                         hits = int(is_rep.sum())
                         edge = np.flatnonzero(is_rep[1:] != is_rep[:-1])
                         for a, b in zip(edge[::2], edge[1::2]):
@@ -137,28 +152,28 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words",
 
 
 def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """doc_id and repeated: its chunks that an earlier (doc_id, place) has too, as (idx, first half of the digest).
+    """doc_id and its units that an earlier (doc_id, place) has too, as (idx, digest).
 
-    A first pass counts half digests alone, 8 bytes a chunk, summed before the shuffle; only chunks whose half digest
-    occurs more than once are then matched by the whole digest. The joins are on digests that both sides have been
-    dealt by, so adaptive execution splits a passage that a third of the documents hold.
+    A first pass counts digests alone, summed before the shuffle; only units whose digest occurs more than once are then
+    told apart by place. The joins are on digests that both sides have been dealt by, so adaptive execution splits a
+    passage that a third of the documents hold.
     """
     named = docs.where("doc_id is not null")
-    often = named.mapInArrow(_chunks(mean_words, False), "d1 long").groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
-    every = named.mapInArrow(_chunks(mean_words, True), "d1 long, d2 long, doc_id long, idx int")
-    some = cut(every.join(often.hint("merge"), "d1"))
-    first = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "idx")).alias("first"))
-    later = some.join(first.hint("merge"), ["d1", "d2"]).where("struct(doc_id, idx) <> first")
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("idx", "d1")).alias("__repeated"))
+    often = named.mapInArrow(_units(mean_words, False), "digest long").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    every = named.mapInArrow(_units(mean_words, True), "digest long, doc_id long, idx int")
+    some = cut(every.join(often.hint("merge"), "digest"))
+    first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "idx")).alias("first"))
+    later = some.join(first.hint("merge"), "digest").where("struct(doc_id, idx) <> first")
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("idx", "digest")).alias("__repeated"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_words: int = MEAN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """Take out passages that an earlier document, or an earlier place of the same one, has already.
 
-    Texts are cut into variable chunks by a gear hash; a chunk is repeated if its digest occurs at an earlier
-    (doc_id, place). Chunks in a row that are all repeated go if they hold at least `run_words` words together, so
+    Texts are cut into variable chunks by a gear hash; a unit of two chunks is repeated if its digest
+    occurs at an earlier (doc_id, place). Chunks in a row that repeated units cover go if they hold at least `run_words` words together, so
     stock phrases and single lines stay. Returns doc_id, the text that is left, n_words, n_chunks,
-    n_repeated_chunks, removed_words and removed_spans (code points of the original, end exclusive).
+    n_repeated_chunks (those that repeated units cover), removed_words and removed_spans (code points of the original, end exclusive).
 
     A null text stays null, an empty or wordless one stays as it is. Rows without an id neither claim nor lose
     passages. Rows that repeat a doc_id with the same text count as one place and are treated alike.
@@ -173,17 +188,17 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def repeats_removed(docs: DataFrame) -> DataFrame:
-    """The documents, all columns in place, with repeated passages taken out of their text."""
+    """The documents, all columns in place whatever their names, with repeated passages taken out of their text."""
     names = docs.columns
-    # rows are told apart by id and text, so a repeated id keeps its own text
-    marks = repeated_chunks(id_and_text(docs)).withColumnRenamed("doc_id", "_id")
+    marks = repeated_chunks(id_and_text(docs))
     inner = _remove(MEAN_WORDS, RUN_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t for part in inner(iter([batch])) for t in part.column("text").to_pylist()]
-            cols = [pa.array(texts, batch.schema.field(c).type) if c == "text" else arrow_rows(batch, c) for c in names]
+            rows = arrow_rows(batch, "_row")
+            cols = [pa.array(texts, c.type) if name == "text" else c for name, c in zip(names, rows.flatten())]
             yield pa.record_batch(cols, names)
 
-    joined = docs.join(marks.hint("merge"), docs["doc_id"] == marks["_id"], "left").drop("_id")
-    return joined.mapInArrow(run, docs.schema)
+    packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.struct(*[docs[c] for c in names]).alias("_row"))
+    return packed.join(marks.hint("merge"), "doc_id", "left").mapInArrow(run, docs.schema)
