@@ -97,16 +97,12 @@ class Regression:
             c -= 0.005 * (mc / (1 - 0.9**k)) / (np.sqrt(sc / (1 - 0.999**k)) + 1e-8)
         self.w, self.c, self.a, self.b = w, c, 1.0, 0.0
         if apart.any() and len(set(y[apart])) == 2:
-            raw, goal = z[apart] @ w + c, y[apart]
-            for _ in range(50):  # Newton steps with a small ridge towards a = 1, b = 0
-                p = 1 / (1 + np.exp(-np.clip(self.a * raw + self.b, -30, 30)))
-                r = p * (1 - p)
-                grad = np.array([((p - goal) * raw).sum() + (self.a - 1), (p - goal).sum() + self.b])
-                hess = np.array([[(r * raw * raw).sum() + 1, (r * raw).sum()], [(r * raw).sum(), r.sum() + 1]])
-                step = np.linalg.solve(hess, grad)
-                self.a, self.b = self.a - step[0], self.b - step[1]
-                if np.abs(step).max() < 1e-9:
-                    break
+            raw, goal, best = z[apart] @ w + c, y[apart], np.inf
+            for slope in np.geomspace(0.05, 5, 41):  # a grid has no step to go astray
+                logit = slope * raw[:, None] + np.linspace(-6, 6, 49)
+                loss = np.logaddexp(0, np.where(goal[:, None] > 0.5, -logit, logit)).mean(axis=0)
+                if loss.min() < best:
+                    best, self.a, self.b = loss.min(), float(slope), float(np.linspace(-6, 6, 49)[loss.argmin()])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         raw = ((np.sqrt(x) - self.mean) * self.scale) @ self.w + self.c
