@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import U, arrow_rows, id_and_text, mix, row_starts, text_slices, words
+from voxelweave.llm.common import SPACE, U, arrow_rows, id_and_text, mix, row_starts, text_slices, words
 from voxelweave.session import cut
 
 #: Mean words of a chunk, and the fewest words in a row that count as a repeated passage.
 MEAN_WORDS, RUN_WORDS = 4, 16
-#: Text without white space is cut at characters instead, one in this many on average.
-CHAR_MEAN = 256
+#: Characters outside white space that make a run of fewer words a repeated passage too: text without white space has no words to count.
+RUN_CHARS = 100
+#: Runs of over LONG_WORD bytes without white space are cut at characters too, one in CHAR_MEAN on average.
+LONG_WORD, CHAR_MEAN = 64, 24
 GEAR_BYTES = 16
 _GEAR = (mix(np.arange(256, dtype=np.uint64) + U(0x6765)) & U(0xFFFF)).astype(np.uint16)
 
@@ -40,9 +42,10 @@ def gear(data: np.ndarray) -> np.ndarray:
 def cuts(data: np.ndarray, offs: np.ndarray, mean_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Chunk starts over the slice, and where each row's chunks begin.
 
-    A chunk starts at a word where the gear hash of the bytes before it is low. In a run of over CHAR_MEAN bytes
+    A chunk starts at a word where the gear hash of the bytes before it is low. In a run of over LONG_WORD bytes
     without white space it may start at any character, by a stricter bound. Both depend on the content near by
-    alone, so an insertion moves no cut but its own.
+    alone, so an insertion moves no cut but its own. The first GEAR_BYTES bytes of a row get no cut: their hash reaches
+    into the row before, which is another one whenever rows are dealt otherwise.
     """
     n = len(data)
     start, end, _ = words(data, offs)
@@ -53,10 +56,17 @@ def cuts(data: np.ndarray, offs: np.ndarray, mean_words: int) -> tuple[np.ndarra
     at = np.zeros(n, bool)
     inner = start[start > 0]
     at[inner[h[inner - 1] < 65536 // mean_words]] = True
-    for s, e in zip(start[end - start > CHAR_MEAN], end[end - start > CHAR_MEAN]):
-        here = np.arange(s + 1, e)
-        here = here[((data[here] & 0xC0) != 0x80) & (h[here - 1] < 65536 // CHAR_MEAN)]
-        at[here] = True
+    wide = end - start > LONG_WORD
+    if wide.any():
+        edge = np.zeros(n + 1, np.int8)
+        edge[start[wide] + 1] += 1
+        edge[end[wide]] -= 1
+        inside = np.cumsum(edge[:n], dtype=np.int8).astype(bool) & ((data & 0xC0) != 0x80)
+        at[1:] |= inside[1:] & (h[:-1] < 65536 // CHAR_MEAN)
+    early = np.zeros(n + GEAR_BYTES, bool)
+    for k in range(GEAR_BYTES):
+        early[offs[:-1] + k] = True
+    at &= ~early[:n]
     at |= first
     begin = np.flatnonzero(at)
     return begin, np.searchsorted(begin, offs)
@@ -101,7 +111,7 @@ def _units(mean_words: int, whole: bool):
 OUT = "doc_id long, text string, n_words long, n_chunks long, n_repeated_chunks long, removed_words long, removed_spans array<struct<start:long,end:long>>"
 
 
-def _remove(mean_words: int, run_words: int):
+def _remove(mean_words: int, run_words: int, run_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = arrow_rows(batch, "doc_id")
@@ -110,6 +120,7 @@ def _remove(mean_words: int, run_words: int):
             for i, j, data, offs in text_slices(batch, "text"):
                 begin, at = cuts(data, offs, mean_words)
                 start, _, word_at = words(data, offs)
+                solid = np.concatenate(([0], np.cumsum(((data & 0xC0) != 0x80) & ~SPACE[data])))
                 rows = []
                 for k in range(j - i):
                     mine, lo, hi = begin[at[k] : at[k + 1]], offs[k], offs[k + 1]
@@ -129,7 +140,7 @@ def _remove(mean_words: int, run_words: int):
                         for a, b in zip(edge[::2], edge[1::2]):
                             s, e = int(mine[a]), int(ends[b - 1])
                             n = int(np.searchsorted(start, e) - np.searchsorted(start, s))
-                            if n >= run_words:
+                            if n >= run_words or solid[e] - solid[s] >= run_chars:
                                 spans.append((s - int(lo), e - int(lo)))
                                 gone += n
                     text = texts[i + k].as_py()
@@ -167,20 +178,22 @@ def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("idx", "digest")).alias("__repeated"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_words: int = MEAN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_words: int = MEAN_WORDS, run_words: int = RUN_WORDS, run_chars: int = RUN_CHARS) -> DataFrame:
     """Take out passages that an earlier document, or an earlier place of the same one, has already.
 
     Texts are cut into variable chunks by a gear hash; a unit of two chunks is repeated if its digest
-    occurs at an earlier (doc_id, place). Chunks in a row that repeated units cover go if they hold at least `run_words` words together, so
-    stock phrases and single lines stay. Returns doc_id, the text that is left, n_words, n_chunks,
-    n_repeated_chunks (those that repeated units cover), removed_words and removed_spans (code points of the original, end exclusive).
+    occurs at an earlier (doc_id, place). Chunks in a row that repeated units cover go if they hold at least `run_words` words together,
+    or `run_chars` code points outside white space, so stock phrases and single lines stay and text without white space
+    is not spared. Returns doc_id, the text that is left, n_words, n_chunks,
+    n_repeated_chunks (those that repeated units cover), removed_words (those that begin in what went; none
+    inside a longer unspaced run) and removed_spans (code points of the original, end exclusive).
 
     A null text stays null, an empty or wordless one stays as it is. Rows without an id neither claim nor lose
     passages. Rows that repeat a doc_id with the same text count as one place and are treated alike.
     """
     docs = id_and_text(docs, id_col, text_col)
     marks = repeated_chunks(docs, mean_words)
-    return docs.join(marks.hint("merge"), "doc_id", "left").mapInArrow(_remove(mean_words, run_words), OUT)
+    return docs.join(marks.hint("merge"), "doc_id", "left").mapInArrow(_remove(mean_words, run_words, run_chars), OUT)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -191,7 +204,7 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     """The documents, all columns in place whatever their names, with repeated passages taken out of their text."""
     names = docs.columns
     marks = repeated_chunks(id_and_text(docs))
-    inner = _remove(MEAN_WORDS, RUN_WORDS)
+    inner = _remove(MEAN_WORDS, RUN_WORDS, RUN_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
