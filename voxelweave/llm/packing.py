@@ -68,15 +68,17 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
     return bin_of, place
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 def pack(docs: DataFrame, path: str, kind: str = "marked", end: int = 2, capacity: tuple[int, int, int] = (1024, 1024, 1024 * 1024), rule: str = "norm", block: int = BLOCK) -> DataFrame:
     """Every document encoded, ended with the id `end`, cut only where it is longer than a window, and packed.
 
-    Returns a row a piece: doc_id, piece, start, length, ids (binary), sequence_id, offset. Windows are filled within a
-    task, a block of pieces at a time, so nothing is shuffled and a task holds one block; each task leaves a few
-    windows partly filled, against the thousands that it fills. capacity bounds the tokens, documents and attention cost
+    Returns a row a piece: doc_id, piece, start, length, ids (binary), sequence_id, offset. Pieces are dealt by a hash
+    before they are placed, so that each task has all lengths however the files are laid out. Windows are filled within a
+    task, a block of pieces at a time, so a task holds one block; each task leaves a few windows partly filled, against
+    the thousands that it fills. capacity bounds the tokens, documents and attention cost
     (sum of squared lengths) of a window; a piece of full length must fit an empty one.
 
     A null text counts as empty: its one piece is the end id. Repeated rows are packed as they come.
@@ -84,29 +86,40 @@ def pack(docs: DataFrame, path: str, kind: str = "marked", end: int = 2, capacit
     if capacity[1] < 1 or capacity[2] < capacity[0] ** 2:
         raise ValueError("a window must have room for one piece of full length")
 
-    def placed(rows: list[tuple], first: int) -> tuple[pa.RecordBatch, int]:
-        bins, at = best_fit(np.array([r[3] for r in rows], np.int64), capacity, rule=rule)
-        cols = [list(c) for c in zip(*rows)]
-        out = [pa.array(c, t) for c, t in zip(cols, _SCHEMA.types)] + [pa.array(bins + first), pa.array(at)]
-        return pa.record_batch(out, schema=_SCHEMA), first + int(bins.max()) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail, nxt, rows = encoder(path, kind, CACHE_PARTS), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId() << 36, []
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, tail = encoder(path, kind, CACHE_PARTS), np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, texts = arrow_rows(batch, "doc_id"), arrow_rows(batch, "text")
             for i, j, _, _ in text_slices(batch, "text"):
+                rows = []
                 for doc_id, said in zip(ids.slice(i, j - i).to_pylist(), enc.encode(texts.slice(i, j - i).to_pylist())):
                     said += tail
                     for k, (start, n) in enumerate(pieces(len(said) // 4, capacity[0])):
                         rows.append((doc_id, k, start, n, said[4 * start : 4 * (start + n)]))
-                while len(rows) >= block:
-                    out, nxt = placed(rows[:block], nxt)
-                    rows = rows[block:]
-                    yield out
-        if rows:
-            yield placed(rows, nxt)[0]
-
-    return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _PIECES.types)], schema=_PIECES)
+
+    def placed(rows: pa.Table, first: int) -> tuple[list[pa.RecordBatch], int]:
+        bins, at = best_fit(rows.column("length").to_numpy(), capacity, rule=rule)
+        out = rows.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(at))
+        return out.to_batches(), first + int(bins.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nxt, held, n = TaskContext.get().partitionId() << 36, [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            while n >= block:
+                rows = pa.Table.from_batches(held)
+                out, nxt = placed(rows.slice(0, block), nxt)
+                held, n = rows.slice(block).to_batches(), n - block
+                yield from out
+        if n:
+            yield from placed(pa.Table.from_batches(held), nxt)[0]
+
+    # the length is in the key for rows without an id; a task fetches its rows file by file, so a block of them needs the sort
+    key = ["doc_id", "piece", "length"]
+    dealt = id_and_text(docs).mapInArrow(encoded, PIECES).repartition(*key).sortWithinPartitions(F.xxhash64(*key))
+    return dealt.mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
