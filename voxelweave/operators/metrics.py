@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.functions import rules
 from voxelweave.operators import components, masks, morphology, shapes, windows
+from voxelweave.session import cut
 
 NAME = re.compile(r"^[a-z][a-z0-9_]*$")
 
@@ -153,15 +154,33 @@ def liver_lesions(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     return both.groupBy("study").agg(F.count("*").alias("n_lesions"), F.sum("n_voxels").alias("n_voxels"), F.max("diameter_mm").alias("largest_mm"))
 
 
+def trabecular_roi(voxels: DataFrame, mm: float, spacing: tuple[float, float, float], least: int = 25) -> DataFrame:
+    """The inner part of each mask: eroded, of every slice the largest component, of those the largest in space.
+
+    A mask that erosion empties stands in whole for its eroded one; that takes the place of a part below `least` voxels.
+    """
+    key, flat = [*masks.GROUP, "x", "y", "z"], [*masks.GROUP, "z"]
+    left = cut(morphology.erode_mm(voxels, mm, spacing).select(*key))
+    whole = voxels.join(left.select(*masks.GROUP).distinct().hint("merge"), masks.GROUP, "left_anti")
+    eroded = left.union(whole.select(*key))
+    runs = components.label_runs(eroded, planar=True)
+    top = components.largest(components.describe(runs, flat), flat).select(*masks.GROUP, "component")
+    runs = runs.join(top.hint("merge"), [*masks.GROUP, "component"], "left_semi")
+    solid = components.label_runs(runs.select(*masks.GROUP, "y", "z", F.explode(F.sequence("x0", "x1")).alias("x")))
+    top = components.largest(components.describe(solid)).where(F.col("n_voxels") >= least).select(*masks.GROUP, "component")
+    part = solid.join(top.hint("merge"), [*masks.GROUP, "component"], "left_semi").select(*masks.GROUP, F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z")
+    return part.union(eroded.join(top.select(*masks.GROUP).hint("merge"), masks.GROUP, "left_anti").select(*key))
+
+
 @metric("l1_volumetric")
 def l1_volumetric(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
-    """Density of a vertebra's whole mask and of its inner part, the whole mask standing in for an inner part below 25 voxels."""
+    """Density of a vertebra's whole mask and of its inner part."""
     v = t["voxels"].where(F.col("mask") == cfg["mask"])
     full = masks.mask_stats(v, ["study"])
-    core = v.join(morphology.erode_mm(v, cfg["mm"], cfg["spacing"]).hint("merge"), ["study", "mask", "x", "y", "z"], "left_semi")
+    core = v.join(trabecular_roi(v, cfg["mm"], cfg["spacing"]).hint("merge"), ["study", "mask", "x", "y", "z"], "left_semi")
     core = masks.mask_stats(core, ["study"]).select("study", F.col("n_voxels").alias("n_core"), F.col("mean").alias("core_mean"))
     both = full.join(core.hint("merge"), "study", "left").withColumn("n_core", F.coalesce("n_core", F.lit(0)))
-    hu = F.when(F.col("n_core") >= 25, F.col("core_mean")).otherwise(F.col("mean"))
+    hu = F.col("core_mean")
     return both.select("study", "n_voxels", "n_core", F.round("mean", 2).alias("full_hu"), F.round(hu, 2).alias("hu"), rules.l1_class(hu).alias("label"))
 
 
