@@ -294,8 +294,14 @@ def test_byte_bpe(spark, edge):
     rnd = np.random.default_rng(4)
     for _ in range(300):
         t = "".join(chr(int(c)) for c in rnd.choice([*range(32, 127), 10, 9, 0xE9, 0x4E2D, 0x1F642, 0x85, 0xA0, 0x3000, 0x1C], 60))
-        assert own.encode(t) == enc.encode_ordinary(t) and own.decode(own.encode(t)) == t.encode()
-        assert np.frombuffer(own.encode_texts([t])[0], "<u4").tolist() == enc.encode_ordinary(t)
+        data = np.frombuffer(t.encode(), np.uint8)
+        ids, at = own.parts.encode(data, np.array([0, len(data)]))
+        assert own.encode(t) == enc.encode_ordinary(t) == ids.tolist() and at.tolist() == [0, len(ids)]
+        assert b"".join(own.decode(ids).to_pylist()) == t.encode()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    both = byte_bpe.decode(byte_bpe.encode(docs, path, public.PATTERN), path, public.PATTERN).collect()
+    want = collections.Counter((i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, _ in rows)
+    assert collections.Counter((r.doc_id, bytes(r.ids), bytes(r.bytes)) for r in both) == want
     assert own.encode("ab" * 3000) == enc.encode_ordinary("ab" * 3000)
 
 

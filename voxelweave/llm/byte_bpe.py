@@ -15,11 +15,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from voxelweave.llm.common import arrow_rows, id_and_text, text_slices
-from voxelweave.llm.token_cache import PartCache, split_marked
+from voxelweave.llm.common import arrow_rows, id_and_text
+from voxelweave.llm.token_cache import CACHE_PARTS, Parts, cut_marked, encoded_slices
 
 #: Neighbour pairs whose fit a worker keeps.
 CACHE_PAIRS = 1_000_000
@@ -40,7 +41,8 @@ class ByteBpe:
             trie.add_word(token.decode("latin-1"), i)
         trie.make_automaton()
         self.trie = trie
-        self.decimal = [str(i) for i in range(len(self.bytes))]
+        self.decimal = pa.array(map(str, range(len(self.bytes))))
+        self.spelt = pa.array(self.bytes, pa.binary())
         self.pairs: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(len(self.bytes))]
         self.fits: dict[int, bool] = {}
@@ -58,7 +60,7 @@ class ByteBpe:
                     self.halves[i] = (a, b)
                     break
         self.fits = {}
-        self.cache = PartCache()
+        self.parts = Parts(cut_marked, lambda parts: [array("I", self.encode(p)).tobytes() for p in parts], CACHE_PARTS)
 
     def _fit(self, a: int, b: int) -> bool:
         """Whether the merges leave the border between two tokens alone: unfold the later-made side until none joins."""
@@ -114,13 +116,9 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return [i for m in self.pattern.findall(text) for i in self.piece(m.encode("utf-8"))]
 
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids; parts of the texts that came before are looked up."""
-        learn = lambda parts: {p: array("I", self.encode(p)).tobytes() for p in parts}
-        return self.cache.encode([split_marked(t) if t else [] for t in texts], learn)
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> pa.Array:
+        """The bytes of each id; in one buffer, so those of a run of ids lie side by side."""
+        return self.spelt.take(pa.array(ids))
 
 
 def vocabulary(path: str, pattern: str) -> ByteBpe:
@@ -132,47 +130,66 @@ def vocabulary(path: str, pattern: str) -> ByteBpe:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of every whole text; a null text counts as empty."""
+    """doc_id and ids (binary, little-endian unsigned 32-bit) of every whole text.
+
+    A null or empty text has no ids; rows that repeat an id are encoded each; columns besides the two are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, pattern)
         for batch in batches:
-            ids, texts = arrow_rows(batch, "doc_id"), arrow_rows(batch, "text")
-            for i, j, _, _ in text_slices(batch, "text"):
-                said = bpe.encode_texts(texts.slice(i, j - i).to_pylist())
-                yield pa.record_batch([ids.slice(i, j - i).cast(pa.int64()), pa.array(said, pa.binary())], ["doc_id", "ids"])
+            for doc_ids, ids, at in encoded_slices(bpe.parts, batch):
+                said = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+                yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(said, pa.binary())], ["doc_id", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids and the bytes that the ids stand for."""
+    """doc_id, ids and the bytes that the ids stand for; null ids count as none. Other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                said = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in arrow_rows(part, "ids").to_pylist()]
-                yield pa.record_batch([arrow_rows(part, "doc_id"), arrow_rows(part, "ids"), pa.array(said, pa.binary())], ["doc_id", "ids", "bytes"])
+                raw = [x or b"" for x in arrow_rows(part, "ids").to_pylist()]
+                at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw])))
+                back = bpe.decode(np.frombuffer(b"".join(raw), np.uint32))
+                said = [buf.to_pybytes() for buf in _runs(back, at)]
+                yield pa.record_batch([arrow_rows(part, "doc_id"), pa.array(raw, pa.binary()), pa.array(said, pa.binary())], ["doc_id", "ids", "bytes"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+
+
+def _runs(said: pa.Array, at: np.ndarray) -> Iterator[pa.Buffer]:
+    """The bytes of said[a:b] for each two neighbours of `at`."""
+    _, offsets, data = said.buffers()
+    ends = np.frombuffer(offsets, np.int32)[at].tolist() if len(said) else [0] * len(at)
+    for a, b in zip(ends, ends[1:]):
+        yield data.slice(a, b - a) if b > a else pa.py_buffer(b"")
 
-    return encoded.mapInArrow(run, "doc_id long, ids binary, bytes binary")
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, and SHA-256 of the decimal ids (one blank between) and of the decoded bytes.
+
+    The ids never leave the task, and what is decoded are the ids. Nulls, repeated rows and other columns as in encode().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path, pattern)
+        for batch in batches:
+            for doc_ids, ids, at in encoded_slices(bpe.parts, batch):
+                decimal = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), bpe.decimal.take(pa.array(ids)))
+                said = [hashlib.sha256(x).hexdigest() for x in _runs(pc.binary_join(decimal, " "), np.arange(len(at)))]
+                back = [hashlib.sha256(x).hexdigest() for x in _runs(bpe.decode(ids), at)]
+                yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(np.diff(at)), pa.array(said, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, said, back = [], [], []
-        for ids, data in zip(arrow_rows(batch, "ids"), arrow_rows(batch, "bytes")):
-            ids = np.frombuffer(ids.as_py(), "<u4")
-            n.append(len(ids))
-            said.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
-            back.append(hashlib.sha256(data.as_py()).hexdigest())
-        yield pa.record_batch([arrow_rows(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers as public
 
-    path = public.path("byte_bpe_50k.tiktoken")
-    both = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public.PATTERN), path, public.PATTERN)
-    return both.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)

@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import arrow_rows, id_and_text, text_slices
-from voxelweave.llm.token_cache import encoder
+from voxelweave.llm.common import id_and_text
+from voxelweave.llm.token_cache import encoded_slices, encoder
 
 #: Pieces that are sorted and placed together.
 BLOCK = 16_384
@@ -89,12 +89,11 @@ def pack(docs: DataFrame, path: str, kind: str = "marked", end: int = 2, capacit
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(path, kind, CACHE_PARTS), np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids, texts = arrow_rows(batch, "doc_id"), arrow_rows(batch, "text")
-            for i, j, _, _ in text_slices(batch, "text"):
+            for doc_ids, ids, at in encoded_slices(enc, batch):
                 rows = []
-                for doc_id, said in zip(ids.slice(i, j - i).to_pylist(), enc.encode(texts.slice(i, j - i).to_pylist())):
-                    said += tail
-                    for k, (start, n) in enumerate(pieces(len(said) // 4, capacity[0])):
+                for doc_id, a, b in zip(doc_ids, at[:-1].tolist(), at[1:].tolist()):
+                    said = ids[a:b].tobytes() + tail
+                    for k, (start, n) in enumerate(pieces(b - a + 1, capacity[0])):
                         rows.append((doc_id, k, start, n, said[4 * start : 4 * (start + n)]))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _PIECES.types)], schema=_PIECES)
 
@@ -123,6 +122,7 @@ def pack(docs: DataFrame, path: str, kind: str = "marked", end: int = 2, capacit
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; windows of 1024 tokens."""
     import public_tokenizers
 
     packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import arrow_rows, id_and_text, text_slices
-from voxelweave.llm.token_cache import encoder
+from voxelweave.llm.common import arrow_rows, id_and_text
+from voxelweave.llm.token_cache import encoded_slices, encoder
 from voxelweave.session import cut, work_uri
 
 SHARD_BYTES = 128 << 20
@@ -55,31 +55,32 @@ def unframe(buf: memoryview, at: int) -> tuple[memoryview, int]:
 
 
 class Shard:
-    """One file and its index, under attempt names until both are whole; a repeated attempt replaces them."""
+    """One file and its index, named by the attempt that writes them.
+
+    No attempt touches another's files, whole or not: the manifest names those of the attempt that Spark committed, and
+    readers open no others.
+    """
 
     def __init__(self, uri: str, name: str, attempt: int):
         self.fs, self.root = pafs.FileSystem.from_uri(uri)
         self.fs.create_dir(self.root, recursive=True)
-        self.name, self.attempt = name, attempt
-        self.out = self.fs.open_output_stream(f"{self.root}/_{name}.{attempt}.rec")
+        self.name = f"{name}-{attempt}"
+        self.out = self.fs.open_output_stream(f"{self.root}/{self.name}.rec")
         self.index: list[tuple] = []
         self.size = self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        wide = np.frombuffer(ids, "<u4")
-        width = 2 if not len(wide) or wide.max() < 1 << 16 else 4
-        payload = (NO_ID if doc_id is None else doc_id).to_bytes(8, "little", signed=True) + bytes([width]) + wide.astype(f"<u{width}").tobytes()
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+        payload = (NO_ID if doc_id is None else doc_id).to_bytes(8, "little", signed=True) + bytes([width]) + ids.astype(f"<u{width}").tobytes()
         self.index.append((NO_ID if doc_id is None else doc_id, self.size, len(payload), self.tokens))
         self.out.write(record := frame(payload))
         self.size += len(record)
-        self.tokens += len(ids) // 4
+        self.tokens += len(ids)
 
     def close(self) -> dict:
         self.out.close()
-        with self.fs.open_output_stream(f"{self.root}/_{self.name}.{self.attempt}.idx") as out:
+        with self.fs.open_output_stream(f"{self.root}/{self.name}.idx") as out:
             out.write(np.array(self.index, INDEX).tobytes())
-        for kind in ("rec", "idx"):
-            self.fs.move(f"{self.root}/_{self.name}.{self.attempt}.{kind}", f"{self.root}/{self.name}.{kind}")
         return {"shard": self.name, "records": len(self.index), "tokens": self.tokens, "bytes": self.size}
 
 
@@ -90,14 +91,13 @@ def _writer(uri: str, path: str, kind: str, end: int, shard_bytes: int):
     schema = pa.schema([("shard", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, part, tail = TaskContext.get(), 0, np.array([end], "<u4").tobytes()
+        task, part = TaskContext.get(), 0
         shard, enc = None, encoder(path, kind, CACHE_PARTS)
         for batch in batches:
-            ids, texts = arrow_rows(batch, "doc_id"), arrow_rows(batch, "text")
-            for i, j, _, _ in text_slices(batch, "text"):
-                for doc_id, said in zip(ids.slice(i, j - i).to_pylist(), enc.encode(texts.slice(i, j - i).to_pylist())):
+            for doc_ids, ids, at in encoded_slices(enc, batch):
+                for doc_id, a, b in zip(doc_ids, at[:-1].tolist(), at[1:].tolist()):
                     shard = shard or Shard(uri, f"part-{task.partitionId():06d}-{part:04d}", task.taskAttemptId())
-                    shard.add(doc_id, said + tail)
+                    shard.add(doc_id, np.append(ids[a:b], np.uint32(end)))
                     if shard.size >= shard_bytes:
                         yield pa.RecordBatch.from_pylist([shard.close()], schema)
                         shard, part = None, part + 1
@@ -110,8 +110,10 @@ def _writer(uri: str, path: str, kind: str, end: int, shard_bytes: int):
 def write_tokens(docs: DataFrame, uri: str, path: str, kind: str = "plain", end: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text, end it with the id `end`, and write the records in ascending doc_id order.
 
-    Rows are dealt by ranges of doc_id, so shard names in order hold ids in order (null ids first, equal ids side by side).
-    Returns the manifest, computed: shard, records, tokens, bytes.
+    Rows are dealt by ranges of doc_id, so shard names in order hold ids in order (null ids first, equal ids side by
+    side, rows that repeat an id each as a record of their own). A null or empty text is the end id alone; an empty
+    table gives an empty manifest; columns besides the two are not read. Returns the manifest, computed: shard, records,
+    tokens, bytes.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_order = id_and_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
@@ -163,6 +165,7 @@ def read_tokens(manifest: DataFrame, uri: str, shuffled: bool = False) -> DataFr
 
 
 def op4_token_records(spark, sf_dir: str) -> DataFrame:
+    """Per document, from the record files: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
     uri = work_uri(spark, "token-records")
