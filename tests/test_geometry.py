@@ -70,7 +70,7 @@ def test_erosions_and_distance(voxels, grids):
 
 def test_nearest_and_dilate(voxels, grids, spark):
     a, b = (np.argwhere(grids[k]) for k in (0, 1))
-    got = morphology.nearest(voxels.where("mask = 0").drop("mask"), voxels.where("mask = 1").drop("mask"), SPACING, ["study"], 64.0, first=1.0)
+    got = morphology.nearest(voxels.where("mask = 0").drop("mask"), voxels.where("mask = 1").drop("mask"), SPACING, ["study"], 64.0)
     want = {tuple(map(int, p)): np.sqrt((((b - p) * np.array(SPACING)) ** 2).sum(axis=1).min()) for p in a}
     found = {(r.x, r.y, r.z): r.distance for r in got.collect()}
     assert found.keys() == want.keys() and all(abs(found[p] - d) < 1e-9 for p, d in want.items())

@@ -17,8 +17,8 @@ def box(x, y, z, a, b, c):
 
 
 def brute(mask):
-    far = [o for o in itertools.product(range(-1, 2), repeat=3) if sum(v * v for v in o) < 1.5**2 and any(o)]
-    eroded = {p for p in mask if all(tuple(np.add(p, o)) in mask for o in far)} or mask
+    near = [o for o in itertools.product(range(-2, 3), repeat=3) if sum(map(abs, o)) <= 2]  # 1.5 mm are two rounds of the cross
+    eroded = {p for p in mask if all(tuple(np.add(p, o)) in mask for o in near)} or mask
     best = lambda parts: max(sorted(parts, key=min), key=len)
     slices = set().union(*[best(flood({p for p in eroded if p[2] == z}, FLAT)) for z in {p[2] for p in eroded}])
     got = best(flood(slices, CUBE))

@@ -69,3 +69,9 @@ def volume_alert(organ: Column, cm3: Column, age: Column, indeterminate: Column)
     """Alert of an organ's volume: liver over 1800, spleen over 400, kidney under 100 cm3 from the age of 16 on."""
     kidney = (organ == "kidney") & (cm3 < 100) & (F.coalesce(age, F.lit(99)) >= 16) & ~F.coalesce(indeterminate, F.lit(False))
     return F.when((organ == "liver") & (cm3 > 1800), "enlarged_liver").when((organ == "spleen") & (cm3 > 400), "enlarged_spleen").when(kidney, "small_kidney")
+
+
+def qc_convertible(n_files: Column, primary: Column, modality: Column, derived: Column, localizer: Column) -> Column:
+    """Whether a series is converted for quality control: at least two files, and a primary input, no CT, or neither derived nor localizer."""
+    source = ~F.coalesce(derived, F.lit(False)) & ~F.coalesce(localizer, F.lit(False))
+    return F.coalesce(n_files >= 2, F.lit(False)) & (F.coalesce(primary, F.lit(False)) | (F.coalesce(F.upper(modality), F.lit("")) != "CT") | source)

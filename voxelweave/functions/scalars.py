@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Contrast vocabulary of the headers.
 TRUE_WORDS = ["1", "true", "t", "yes", "y", "with contrast", "contrast", "enhanced", "postcontrast", "arterial", "venous", "delayed"]
 FALSE_WORDS = ["0", "false", "f", "no", "n", "native", "noncontrast", "non-contrast", "unenhanced", "without contrast", "w/o contrast"]
 PHASE_WITHOUT = ["native", "noncontrast", "unenhanced", "without contrast"]
 PHASE_WITH = ["arterial", "venous", "delayed", "portal", "contrast", "enhanced", "post"]
-MARKS_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-MARKS_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def any_of(text: Column, tokens: list[str]) -> Column:
@@ -46,9 +48,15 @@ def is_contrast(phase: Column) -> Column:
     return any_of(phase_normalize(phase), ["arterial", "venous", "portal", "delayed", "contrast", "enhanced", "post"])
 
 
+@F.pandas_udf(StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    strip = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return text.map(lambda t: t if t.isascii() else strip(t))
+
+
 def text_fold(text: Column) -> Column:
-    """Lower case without the marks of Latin letters."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKS_FROM, MARKS_TO)
+    """Lower case, in compatibility decomposition, without combining marks; null is empty. Spark has no such normal form, so Arrow batches have it done."""
+    return _folded(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def number(text: Column) -> Column:

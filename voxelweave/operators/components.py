@@ -1,35 +1,34 @@
-"""Connected components of sparse masks: runs are the nodes, touching runs of neighbour rows the edges."""
+"""Connected components of sparse masks: tiles are labelled alone, then their parts are joined over the cluster."""
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelweave.operators import tiles
 from voxelweave.operators.graph import connected_components
-from voxelweave.operators.masks import GROUP, runs
+from voxelweave.operators.masks import GROUP
 from voxelweave.session import cut
 
 
 def label_runs(voxels: DataFrame, group: list[str] = GROUP, planar: bool = False, corners: bool = True) -> DataFrame:
-    """Runs with the component they are in; the component's name is that of its smallest run.
+    """Runs along x with the component they are in; the component's name is the smallest id of its voxels that tiles share.
 
     With `corners` voxels that share a corner are joined (26 neighbours, 8 in a plane), else only those that share a
-    face. `planar` labels every slice by itself. A run looks for partners in half of the neighbour rows, so an edge is
-    made once; the join is on group, slice and row, which spreads one giant mask over all its rows.
+    face. `planar` labels every slice by itself. Tiles are labelled alone first, so the graph that is contracted over the
+    cluster has the tiles' parts as nodes, not the voxels; one giant mask spreads over its tiles. Runs end at the edge of a
+    tile. Repeated voxels count once.
     """
-    r = runs(voxels, group)
-    order = [*group, "z", "y", "x0"]
-    r = cut(r.withColumn("run", F.xxhash64(*order)))
-    rows = [(1, 0)] if planar else [(1, 0), (0, 1), (1, 1), (-1, 1)] if corners else [(1, 0), (0, 1)]
-    reach = 1 if corners else 0
-    moves = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dy, dz in rows]))
-    a = r.select(*group, "z", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("src"), moves.alias("m"))
-    a = a.select(*group, (F.col("z") + F.col("m.dz")).alias("z"), (F.col("y") + F.col("m.dy")).alias("y"), "a0", "a1", "src")
-    b = r.select(*group, "z", "y", "x0", "x1", F.col("run").alias("dst"))
-    edges = a.join(b.hint("merge"), [*group, "z", "y"]).where((F.col("a0") <= F.col("x1") + reach) & (F.col("x0") <= F.col("a1") + reach)).select("src", "dst")
-    parts = connected_components(edges)
-    return r.join(parts.withColumnRenamed("node", "run").hint("merge"), "run", "left").withColumn("component", F.coalesce("component", "run")).drop("run")
+    near = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0) and (corners or sum(map(abs, o)) == 1) and not (planar and o[2])]
+    both = cut(tiles.labelled_runs(voxels, group, near, planar))
+    parts = connected_components(both.where("dst is not null"))
+    runs = both.where("dst is null").drop("dst")
+    return runs.join(parts.withColumnRenamed("node", "src").hint("merge"), "src", "left").withColumn("component", F.coalesce("component", "src")).drop("src")
 
 
 def describe(labelled: DataFrame, group: list[str] = GROUP) -> DataFrame:
@@ -56,23 +55,42 @@ def ranked(described: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return described.withColumn("rank", F.row_number().over(w))
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of (n, 2) points."""
+    pts = np.unique(points, axis=0).tolist()
+    if len(pts) < 3:
+        return np.array(pts)
+    sides = []
+    for line in (pts, pts[::-1]):
+        side: list[list[float]] = []
+        for p in line:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (p[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (p[0] - side[-2][0]):
+                side.pop()
+            side.append(p)
+        sides += side[:-1]
+    return np.array(sides)
+
+
 def feret_axial(labelled: DataFrame, spacing: tuple[float, float], group: list[str] = GROUP) -> DataFrame:
     """The largest in-slice diameter in mm of each component.
 
-    The outline runs through the middles between pixels in and out. Of a row only its outermost points can be hull
-    vertices, so two or so points a row meet in the self join, which is within one component and slice.
+    The outline runs through the middles between pixels in and out. Only hull corners of a slice's part are compared, and
+    of a row only its outermost points, with the pixels of the first and last row, can be such.
     """
-    row = labelled.groupBy(*group, "component", "z", "y").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
-    sides = F.array(F.struct((F.col("lo") - 0.5).alias("px"), F.col("y").cast("double").alias("py")), F.struct((F.col("hi") + 0.5).alias("px"), F.col("y").cast("double").alias("py")))
-    pts = row.select(*group, "component", "z", F.explode(sides).alias("p"))
-    # above the topmost and below the lowest row of the slice's part
-    ends = labelled.groupBy(*group, "component", "z").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
-    caps = labelled.join(ends.hint("merge"), [*group, "component", "z"]).where("y = y0 or y = y1")
-    caps = caps.select(*group, "component", "z", F.explode(F.array("x0", "x1")).alias("x"), "y", "y0", "y1")
-    up = caps.where("y = y0").select(*group, "component", "z", F.struct(F.col("x").cast("double").alias("px"), (F.col("y0") - 0.5).alias("py")).alias("p"))
-    down = caps.where("y = y1").select(*group, "component", "z", F.struct(F.col("x").cast("double").alias("px"), (F.col("y1") + 0.5).alias("py")).alias("p"))
-    pts = pts.union(up).union(down).select(*group, "component", "z", "p.px", "p.py")
-    other = pts.select(*group, "component", "z", F.col("px").alias("qx"), F.col("py").alias("qy"))
-    dx, dy = (F.col("px") - F.col("qx")) * spacing[0], (F.col("py") - F.col("qy")) * spacing[1]
-    pairs = pts.join(other.hint("merge"), [*group, "component", "z"])
-    return pairs.groupBy(*group, "component").agg(F.sqrt(F.max(dx * dx + dy * dy)).alias("diameter_mm"))
+    sx, sy = spacing
+    rows = labelled.groupBy(*group, "component", "z", "y").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
+    parts = rows.groupBy(*group, "component", "z").agg(F.array_sort(F.collect_list(F.struct("y", "lo", "hi"))).alias("rows"))
+
+    @F.pandas_udf("double")
+    def diameter(slices: pd.Series) -> pd.Series:
+        out = []
+        for part in slices:
+            r = np.array([[x["y"], x["lo"], x["hi"]] for x in part], float)
+            y, lo, hi = r.T
+            pts = [np.stack([lo - 0.5, y], 1), np.stack([hi + 0.5, y], 1)]
+            pts += [np.array([[lo[k], y[k] + d], [hi[k], y[k] + d]]) for k, d in ((0, -0.5), (-1, 0.5))]
+            corners = hull(np.concatenate(pts) * [sx, sy])
+            out.append(float(np.sqrt(((corners[:, None] - corners[None]) ** 2).sum(axis=2)).max()))
+        return pd.Series(out, dtype=float)
+
+    return parts.select(*group, "component", diameter("rows").alias("d")).groupBy(*group, "component").agg(F.max("d").alias("diameter_mm"))

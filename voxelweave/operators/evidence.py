@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelweave.session import cut
+from voxelweave.session import config_rows, cut
 
 POSITIVE = ["anatomy_complete", "anatomy_present", "anatomy_truncated"]
 
@@ -75,9 +75,10 @@ def mark_selected(rows: DataFrame, study: str, chosen: DataFrame) -> DataFrame:
 
 def inventory_gate(jobs: DataFrame, facts: DataFrame, case: str) -> DataFrame:
     """Per case and job the requirements that its inventory doesn't meet, and whether the job may run."""
-    need = jobs.select("job", F.explode_outer("requires").alias("need"))
+    asked = [(r.job, n) for r in config_rows(jobs.select("job", "requires")) for n in (r.requires or [None])]
     cases = facts.select(case).distinct()
-    each = cases.join(F.broadcast(need))  # jobs are configuration; every case is asked about each
+    each = F.explode(F.array(*[F.struct(F.lit(j).cast("string").alias("job"), F.lit(n).cast("string").alias("need")) for j, n in asked]))
+    each = cases.select(case, each.alias("_a")).select(case, "_a.job", "_a.need")  # jobs are configuration; every case is asked about each
     met = facts.where("holds").select(case, F.col("fact").alias("need"), F.lit(True).alias("_ok")).distinct()
     both = each.join(met.hint("merge"), [case, "need"], "left")
     failed = F.array_sort(F.collect_set(F.when(F.col("need").isNotNull() & F.col("_ok").isNull(), F.col("need"))))
@@ -86,8 +87,8 @@ def inventory_gate(jobs: DataFrame, facts: DataFrame, case: str) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, src: str, dst: str) -> DataFrame:
     """All nodes that follow from the start nodes, these included (column node): a frontier join a level, cut each time."""
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
-    found = cut(start.toDF("node").distinct())
+    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct()
+    found = cut(start.toDF("node").where("node is not null").distinct())
     front = found
     while not front.isEmpty():
         new = front.join(e.hint("merge"), "node").select(F.col("next").alias("node")).distinct()
@@ -162,3 +163,30 @@ def nearest_plane(points: DataFrame, planes: DataFrame, key: str, at: str, plane
     got = both.withColumns({"_b": before, "_a": after}).where("_p is null")
     near = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull() | (F.col("_x") - F.col("_b") <= F.col("_a") - F.col("_x")), F.col("_b")).otherwise(F.col("_a"))
     return got.select(key, F.col("_x").alias(at), near.alias("plane"))
+
+
+# Where a payload's headline may stand, the first useful one counts.
+HEADLINES = [
+    "skeletal_muscle_area_cm2", "exported_slice_count", "l1_trabecular_hu_mean", "bone_health_l1_volumetric_trabecular_hu_mean", "brain_volume_cm3",
+    "aggregate.visceral_proxy_volume_cm3", "visceral_proxy_area_cm2", "opportunistic_osteoporosis_composite", "overall_suspicion", "job_status",
+]
+
+
+def result_summary(payload: Column) -> Column:
+    """The first headline value of a JSON payload that is there and neither empty text nor an empty list, else its status, else n/a."""
+    said = F.get_json_object(payload, "$.status")
+    found = [F.get_json_object(payload, f"$.measurement.{name}") for name in HEADLINES]
+    return F.coalesce(*[F.when(~v.isin("", "[]"), v) for v in found], said, F.lit("n/a"))
+
+
+def key_union(rows: DataFrame, column: str) -> DataFrame:
+    """The keys that any JSON object of a column has (column key)."""
+    return rows.select(F.explode(F.json_object_keys(column)).alias("key")).distinct()
+
+
+def missing_outputs(requested: DataFrame, delivered: DataFrame, job: str) -> DataFrame:
+    """The outputs (name) of each job that were asked for and not delivered, sorted and joined by commas; empty if all were."""
+    want = requested.select(job, "name").distinct()
+    got = delivered.select(job, "name", F.lit(True).alias("_got")).distinct()
+    both = want.join(got.hint("merge"), [job, "name"], "left")
+    return both.groupBy(job).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("_got").isNull(), F.col("name")))), ",").alias("missing"))

@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes_alone = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
     e = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    while True:
+    while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -143,7 +143,8 @@ def slab_assign(slices: DataFrame, group: list[str], position: str, thickness: f
     """Slices to slabs of a thickness: those within half of it from a slab's centre (ends included, so a slice may be in two), else the nearest.
 
     Slabs start at the group's lowest position. A slice can only be in the slab that it lies in or the one before, so
-    two candidates a slice stand in for a range join.
+    two candidates a slice stand in for a range join. The slice nearest to an empty slab is the one before or after its
+    centre in the order of positions.
     """
     base = slices.groupBy(*group).agg(F.min(position).alias("_p0"), F.max(position).alias("_p1"))
     s = slices.join(base.hint("merge"), group)
@@ -155,9 +156,14 @@ def slab_assign(slices: DataFrame, group: list[str], position: str, thickness: f
     slabs = base.select(*group, "_p0", F.explode(F.sequence(F.lit(0), F.floor((F.col("_p1") - F.col("_p0")) / thickness).cast("int"))).alias("slab"))
     empty = slabs.join(inside.select(*group, "slab").distinct().hint("merge"), [*group, "slab"], "left_anti")
     centre = F.col("_p0") + (F.col("slab") + 0.5) * thickness
-    near = empty.join(slices.select(*group, position).hint("merge"), group)
-    near = near.groupBy(*group, "slab").agg(F.min_by(position, F.struct(F.abs(F.col(position) - centre), F.col(position))).alias(position))
-    return inside.unionByName(near.select(*group, position, "slab"))
+    places = slices.select(*group, F.col(position).alias("_at"), F.col(position).alias("_slice"), F.lit(None).cast("int").alias("slab"))
+    places = places.unionByName(empty.select(*group, centre.alias("_at"), F.lit(None).cast(slices.schema[position].dataType).alias("_slice"), "slab"))
+    w = W.partitionBy(*group).orderBy("_at")
+    low = F.last("_slice", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    high = F.first("_slice", ignorenulls=True).over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
+    near = places.withColumns({"_low": low, "_high": high}).where("slab is not null")
+    nearer = F.when(F.col("_low").isNull() | (F.abs(F.col("_high") - F.col("_at")) < F.abs(F.col("_low") - F.col("_at"))), F.col("_high")).otherwise(F.col("_low"))
+    return inside.unionByName(near.select(*group, nearer.alias(position), "slab"))
 
 
 def slab_volumes(voxels: DataFrame, slabs: DataFrame, group: list[str], label: str, voxel_cm3: float) -> DataFrame:

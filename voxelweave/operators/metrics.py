@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelweave.functions import rules
-from voxelweave.operators import components, masks, morphology, shapes, windows
+from voxelweave.functions import predicates, rules
+from voxelweave.operators import components, masks, morphology, shapes, vertebrae, windows
 from voxelweave.session import cut
 
 NAME = re.compile(r"^[a-z][a-z0-9_]*$")
@@ -69,12 +69,6 @@ def with_status(found: DataFrame, studies: DataFrame, key: str = "study") -> Dat
     return both.withColumn("status", F.when(F.col("_there"), "done").otherwise("not_present")).drop("_there")
 
 
-def at_center(voxels: DataFrame, level: str) -> DataFrame:
-    """The voxels of each study on the middle slice of a level's mask."""
-    c = masks.axial_extent(voxels.where(F.col("mask") == level).withColumn("_l", F.lit(level)), ["study"]).select("study", F.col("center_z").alias("z"))
-    return voxels.join(c.hint("merge"), ["study", "z"])
-
-
 def appendicular_filter(tissue: DataFrame, bones: DataFrame, mm: float, spacing: tuple[float, float], most: float = 0.45) -> DataFrame:
     """Tissue of a slice without the parts that touch the widened arm bones, unless more than `most` of it would go."""
     flat = components.label_runs(tissue.withColumn("mask", F.lit("tissue")), planar=True)
@@ -86,29 +80,95 @@ def appendicular_filter(tissue: DataFrame, bones: DataFrame, mm: float, spacing:
     return marked.join(share.hint("merge"), ["study", "z"]).where(F.col("_hit").isNull() | (F.col("removed_fraction") > most)).drop("_hit", "component")
 
 
+def without_arms(t: dict[str, DataFrame], tissue: str, at: DataFrame, cfg: dict) -> DataFrame:
+    """A tissue's pixels (study, x, y, z, hu) on each study's slice (study, z), raw ones with `kept` false where they belong to an arm.
+
+    Arm bones count on the slice if they lie within `half_window_mm` of it; without the list `arms` nothing is an arm.
+    """
+    v = t["voxels"]
+    mine = v.where(F.col("mask") == tissue).join(at.hint("merge"), ["study", "z"]).select("study", "x", "y", "z", "hu")
+    if not cfg.get("arms"):
+        return mine.withColumn("kept", F.lit(True))
+    sx, sy, sz = cfg["spacing"]
+    bones = v.where(F.col("mask").isin(cfg["arms"])).join(at.withColumnRenamed("z", "_z").hint("merge"), "study")
+    bones = bones.where(F.abs(F.col("z") - F.col("_z")) * sz <= cfg.get("half_window_mm", 80.0)).select("study", "x", "y", F.col("_z").alias("z")).distinct()
+    kept = appendicular_filter(mine.select("study", "x", "y", "z"), bones, cfg.get("margin_mm", 35.0), (sx, sy), cfg.get("most_removed", 0.45))
+    kept = kept.select("study", "x", "y", "z", F.lit(True).alias("kept"))
+    return mine.join(kept.hint("merge"), ["study", "x", "y", "z"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def center_slices(voxels: DataFrame, level: str) -> DataFrame:
+    """study and z of the middle slice of a level's mask."""
+    return masks.axial_extent(voxels.where(F.col("mask") == level), ["study"]).select("study", F.col("center_z").alias("z"))
+
+
 @metric("l3_muscle")
 def l3_muscle(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
-    """Area and mean density of the muscle on the middle slice of L3."""
-    got = at_center(t["voxels"], cfg["level"]).where(F.col("mask") == cfg["muscle"]).groupBy("study").agg(F.count("*").alias("n_pixels"), (F.count("*") * cfg["pixel_cm2"]).alias("cm2"), F.avg("hu").alias("mean"))
+    """Area and mean density of the muscle on the middle slice of L3 without the arms, and indices by height and weight.
+
+    patients has study, contrast, height_m and weight_kg, one row a study. With contrast there is no density. A study that
+    lacks the level or the muscle there has status not_present.
+    """
+    px = without_arms(t, cfg["muscle"], center_slices(t["voxels"], cfg["level"]), cfg)
+    kept = F.when(F.col("kept"), F.col("hu"))
+    got = px.groupBy("study").agg(F.count("*").alias("raw_pixels"), F.count_if("kept").alias("n_pixels"), F.avg(kept).alias("_mean"), F.stddev_pop(kept).alias("_sd"))
+    got = got.join(t["patients"].select("study", "contrast", "height_m", "weight_kg").hint("merge"), "study", "left")
+    plain = ~F.coalesce("contrast", F.lit(False))
+    cm2, tall = F.col("n_pixels") * cfg["pixel_cm2"], F.col("height_m").between(0.8, 2.5)
+    square = F.col("height_m") * F.col("height_m")
+    got = got.select(
+        "study", "raw_pixels", "n_pixels", (F.col("raw_pixels") - F.col("n_pixels")).alias("excluded"), cm2.alias("cm2"),
+        F.when(plain, F.round("_mean", 2)).alias("mean"), F.when(plain, F.round("_sd", 2)).alias("deviation"),
+        F.when(tall, cm2 / square).alias("smi"), F.when(tall & F.col("weight_kg").between(20, 400), F.col("weight_kg") / square).alias("bmi"),
+    )
     return with_status(got, t["voxels"])
 
 
 @metric("vat_sat")
 def vat_sat(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
-    """Areas of two fat masks on the middle slice of L3, and their ratio to four digits."""
-    s = at_center(t["voxels"], cfg["level"])
-    n = lambda m: F.count_if(F.col("mask") == m)
-    got = s.groupBy("study").agg((n(cfg["visceral"]) * cfg["pixel_cm2"]).alias("vat_cm2"), (n(cfg["subcutaneous"]) * cfg["pixel_cm2"]).alias("sat_cm2"))
-    return with_status(got.withColumn("ratio", F.round(F.try_divide("vat_cm2", "sat_cm2"), 4)), t["voxels"])
+    """Areas of two fat masks on the middle slice of L3 without the arms, and their ratio to four digits.
+
+    A study that lacks the level or one of the masks altogether has status not_present.
+    """
+    at = center_slices(t["voxels"], cfg["level"])
+    there = t["voxels"].groupBy("study").agg(*[F.bool_or(F.col("mask") == cfg[k]).alias(k) for k in ("level", "visceral", "subcutaneous")]).where("level and visceral and subcutaneous")
+    got = there.select("study")
+    for name, tissue in (("vat", cfg["visceral"]), ("sat", cfg["subcutaneous"])):
+        n = without_arms(t, tissue, at, cfg).groupBy("study").agg(F.count_if("kept").alias(f"_{name}"), F.count_if(~F.col("kept")).alias(f"{name}_excluded"))
+        got = got.join(n.hint("merge"), "study", "left")
+    of = lambda name: (F.coalesce(f"_{name}", F.lit(0)) * cfg["pixel_cm2"]).alias(f"{name}_cm2")
+    got = got.select("study", of("vat"), of("sat"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("vat_excluded", "sat_excluded")])
+    return with_status(got.withColumn("ratio", F.round(F.try_divide("vat_cm2", F.nullif("sat_cm2", F.lit(0.0))), 4)), t["voxels"])
 
 
 @metric("organs")
 def organs(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
-    """Per organ: status, density, volume only if complete, and its fat fraction."""
+    """Per organ: status, density unless there is contrast, volume only if complete, fat fraction, and whether its volume is alarming.
+
+    patients has study and contrast. An organ of cfg["alerts"] (mask: (name, least voxels)) is judged by its limit.
+    """
     status = masks.mask_status(t["voxels"], t["expected"], cfg["dims"], cfg["voxel_cm3"])
     stats = masks.mask_stats(t["voxels"])
-    both = status.join(stats.drop("n_voxels").hint("merge"), ["study", "mask"], "left")
-    return both.select("study", "mask", "status", F.round("mean", 2).alias("hu"), F.when(F.col("status") == "complete", F.col("cm3")).alias("cm3"), rules.pdff(F.col("mean")).alias("pdff"))
+    both = status.join(stats.drop("n_voxels").hint("merge"), ["study", "mask"], "left").join(t["patients"].select("study", "contrast").hint("merge"), "study", "left")
+    plain = ~F.coalesce("contrast", F.lit(False))
+    hu, cm3 = F.when(plain, F.round("mean", 2)), F.when(F.col("status") == "complete", F.col("cm3"))
+    alert = F.lit(None).cast("string")
+    for mask, name in cfg.get("alerts", {}).items():
+        alert = F.coalesce(alert, F.when((F.col("mask") == mask) & cm3.isNotNull(), predicates.volume_alert(F.lit(name), cm3, F.lit(18), F.lit(False))))
+    return both.select("study", "mask", "status", hu.alias("hu"), cm3.alias("cm3"), F.when(plain, rules.pdff(F.col("mean"))).alias("pdff"), alert.alias("alert"))
+
+
+def liver_fat(measured: DataFrame, patients: DataFrame, liver: str, spleen: str, least_cm3: float = 10.0) -> DataFrame:
+    """Steatosis of each study by its liver's and spleen's density (rows of organs()), where both are samples large enough.
+
+    patients has study and kvp. A study with nothing to publish, neither a volume nor a liver sample, has publishable false.
+    """
+    of = lambda m, c: F.max(F.when(F.col("mask") == m, F.col(c)))
+    enough = lambda m: F.coalesce(F.bool_or((F.col("mask") == m) & (F.col("cm3") >= least_cm3)), F.lit(False))
+    got = measured.groupBy("study").agg(of(liver, "hu").alias("_liver"), of(spleen, "hu").alias("_spleen"), enough(liver).alias("_lok"), enough(spleen).alias("_sok"), F.bool_or(F.col("cm3").isNotNull()).alias("_any"))
+    got = got.join(patients.select("study", "kvp").hint("merge"), "study", "left")
+    q = rules.steatosis(F.col("_liver"), F.col("_spleen"), F.col("kvp"), F.col("_lok"), F.col("_sok"))
+    return got.select("study", q["status"].alias("steatosis"), q["percent"].alias("percent"), (F.col("_any") | (F.col("_lok") & F.col("_liver").isNotNull())).alias("publishable"))
 
 
 @metric("brain")
@@ -155,12 +215,12 @@ def liver_lesions(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
 
 
 def trabecular_roi(voxels: DataFrame, mm: float, spacing: tuple[float, float, float], least: int = 25) -> DataFrame:
-    """The inner part of each mask: eroded, of every slice the largest component, of those the largest in space.
+    """The inner part of each mask: eroded in rounds of the cross, of every slice the largest component, of those the largest in space.
 
     A mask that erosion empties stands in whole for its eroded one; that takes the place of a part below `least` voxels.
     """
     key, flat = [*masks.GROUP, "x", "y", "z"], [*masks.GROUP, "z"]
-    left = cut(morphology.erode_mm(voxels, mm, spacing).select(*key))
+    left = cut(morphology.erode(voxels, vertebrae.rounds_of(mm, spacing)).select(*key))
     whole = voxels.join(left.select(*masks.GROUP).distinct().hint("merge"), masks.GROUP, "left_anti")
     eroded = left.union(whole.select(*key))
     runs = components.label_runs(eroded, planar=True)
@@ -235,23 +295,83 @@ def liver_segments(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     return t["voxels"].groupBy("study", "mask").agg(n.alias("n_voxels"), F.bround(n * cfg["voxel_cm3"], 0).alias("cm3"))
 
 
+@metric("l1_hu")
+def l1_hu(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
+    """Density in the sagittal ellipse of L1, its check and class, and the density of the whole mask eroded by 0 to 5 mm.
+
+    patients has study, modality, kvp, contrast and thickness_mm. A study without the mask has status not_present, one
+    whose ellipse can't be placed the reason.
+    """
+    v = t["voxels"].where(F.col("mask") == cfg["mask"])
+    roi = vertebrae.l1_sagittal_roi(v, cfg["spacing"], ["study"], cfg.get("lateral", "x"), cfg.get("front_low", False), cfg.get("erosion_mm", 5.0), cfg.get("radius_mm", 6.0))
+    steps = morphology.erosion_profile(v.drop("mask"), "hu", [0, 1, 2, 3, 4, 5], cfg["spacing"], ["study"])
+    profile = steps.groupBy("study").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("step").cast("int"), F.round("mean", 2).alias("mean"))))).alias("profile"))
+    both = roi.join(vertebrae.complete_along(v, cfg["n_slices"], ["study"]).hint("merge"), "study").join(profile.hint("merge"), "study", "left").join(t["patients"].hint("merge"), "study", "left")
+    qc = rules.bone_qc(F.col("modality"), F.col("complete"), F.col("n_pixels"), F.col("kvp"), F.col("contrast"), F.col("thickness_mm"), cfg.get("strict", False))
+    got = both.select(
+        "study", F.when(F.col("status") == "ok", "done").otherwise(F.col("status")).alias("_said"), "plane", "center_row", "center_col", "n_pixels", F.round("mean", 2).alias("hu"), F.round("deviation", 2).alias("deviation"),
+        "complete", qc["passed"].alias("qc_pass"), F.array_join(qc["reasons"], ",").alias("qc_reasons"), rules.l1_class(F.round("mean", 2)).alias("label"), "profile",
+    )
+    return with_status(got, t["voxels"]).withColumn("status", F.coalesce("_said", "status")).drop("_said")
+
+
+def bmd_extract(series: DataFrame, t: dict[str, DataFrame], cfg: dict) -> DataFrame:
+    """One row a series (case_id, series_id, study) with the figures of l1_hu; what can't be measured is a row with its status."""
+    return series.select("case_id", "series_id", "study").join(l1_hu(t, cfg).hint("merge"), "study", "left").withColumn("status", F.coalesce("status", F.lit("not_present"))).drop("study", "profile")
+
+
+def adjacent_grades(graded: DataFrame, group: list[str], ordinal: str, valid: Column) -> DataFrame:
+    """Grades of the levels against their neighbours: the loss of the height that the pattern names, or the lowest.
+
+    graded has anterior_height, middle_height, posterior_height and pattern. The neighbours are the next levels up and down;
+    only valid ones are a reference, two by their mean. A level without one has no grade.
+    """
+    h = [F.col(f"{k}_height") for k in ("anterior", "middle", "posterior")]
+    low = F.least(*h)
+    at = F.when(F.col("pattern") == "wedge", 0).when(F.col("pattern") == "biconcave", 1).when(h[0] == low, 0).when(h[1] == low, 1).otherwise(2)
+    w = W.partitionBy(*group).orderBy(ordinal)
+    sides = [f(F.when(valid, F.array(*h))).over(w) for f in (F.lag, F.lead)]
+    out = graded.withColumns({"_at": at, "_below": sides[0], "_above": sides[1]})
+    pick = lambda c: F.get(F.col(c), F.col("_at"))
+    ref = F.when(F.col("_below").isNotNull() & F.col("_above").isNotNull(), (pick("_below") + pick("_above")) / 2).otherwise(F.coalesce(pick("_below"), pick("_above")))
+    loss = F.when(ref > 0, (1 - F.get(F.array(*h), F.col("_at")) / ref) * 100)
+    return out.withColumns({"reference_mm": ref, "adjacent_loss": loss, "grade": rules.grade_of_loss(loss)}).drop("_at", "_below", "_above")
+
+
 @metric("fracture")
 def fracture(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
-    """Heights of each vertebra in three parts front to back, its grade alone and against its neighbours, rolled up by study.
+    """Heights of each vertebra's body in seven slabs, its grade and pattern alone, its grade against its neighbours, and by study.
 
-    The parts are thirds of the extent along y; the height of a part is the median span along z of its columns.
+    cfg["levels"] names the masks from top to bottom. Vertebrae that the volume cuts off are counted and not graded. A
+    vertebra is a reference if it has grade 0, a clear front, and a body of at least 35 percent of its mask.
     """
-    v = t["voxels"]
-    lim = v.groupBy("study", "mask").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
-    col = v.groupBy("study", "mask", "x", "y").agg((F.max("z") - F.min("z") + 1).alias("h")).join(lim.hint("merge"), ["study", "mask"])
-    third = F.least(F.lit(2), F.floor(3 * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0") + 1))).cast("int")
-    med = lambda k: F.percentile(F.when(third == k, F.col("h")), 0.5)
-    heights = col.groupBy("study", "mask").agg(med(0).alias("anterior"), med(1).alias("middle"), med(2).alias("posterior"))
-    g = rules.fracture_grade(F.col("anterior"), F.col("middle"), F.col("posterior"))
-    graded = heights.select("*", g["grade"].alias("grade"), F.greatest("anterior", "middle", "posterior").alias("height"))
-    ref = windows.adjacent_reference(graded, ["study"], "mask", "height", F.col("grade") == 0)
-    again = F.when(F.col("loss").isNull(), F.col("grade")).otherwise(F.greatest("grade", F.when(F.col("loss") < 0.2, 0).when(F.col("loss") < 0.25, 1).when(F.col("loss") < 0.4, 2).otherwise(3)))
-    return windows.fracture_rollup(ref.withColumn("grade", again), ["study"])
+    key = ["study", "mask"]
+    v = t["voxels"].where(F.col("mask").isin(cfg["levels"])).select(*key, "x", "y", "z")
+    body = cut(vertebrae.isolate_body(v, cfg["spacing"], key))
+    heights = vertebrae.parasagittal_heights(body, cfg["spacing"], key)
+    size = v.groupBy(*key).agg(F.count("*").alias("_n")).join(body.groupBy(*key).agg(F.count("*").alias("_b")).hint("merge"), key, "left")
+    each = vertebrae.complete_along(v, cfg["n_slices"], key).join(size.hint("merge"), key).join(heights.hint("merge"), key, "left")
+    g = rules.fracture_grade(F.col("anterior_height"), F.col("middle_height"), F.col("posterior_height"), F.col("depth"), F.col("confidence") >= 0.2)
+    each = each.withColumn("_g", g).withColumns({"grade": F.col("_g.grade"), "pattern": F.col("_g.pattern"), "ordinal": F.array_position(F.array(*[F.lit(x) for x in cfg["levels"]]), F.col("mask"))})
+    ok = (F.col("grade") == 0) & (F.col("confidence") >= 0.2) & (F.col("_b") >= 0.35 * F.col("_n"))
+    whole = adjacent_grades(each.where("complete"), ["study"], "ordinal", ok)
+    rest = each.where("not complete").withColumns({"reference_mm": F.lit(None).cast("double"), "adjacent_loss": F.lit(None).cast("double")})
+    return windows.fracture_rollup(whole.unionByName(rest), ["study"], F.col("complete"))
+
+
+def composite(l1: DataFrame, volumetric: DataFrame, fracture: DataFrame, key: str = "case_id") -> DataFrame:
+    """The composite of three metrics' results a case, any of which may lack.
+
+    l1 has trabecular_hu and qc_pass, volumetric trabecular_hu, full_hu and qc_pass, fracture suspicion; one row a case each.
+    The trabecular value and the check of l1 are preferred; the density class follows the preferred value, else the full one.
+    """
+    both = l1.select(key, F.col("trabecular_hu").alias("_t1"), F.col("qc_pass").alias("_q1"))
+    both = both.join(volumetric.select(key, F.col("trabecular_hu").alias("_t2"), "full_hu", F.col("qc_pass").alias("_q2")).hint("merge"), key, "full")
+    both = both.join(fracture.select(key, F.col("suspicion").alias("fracture")).hint("merge"), key, "full")
+    got = both.select(key, F.coalesce("_t1", "_t2").alias("preferred_hu"), "full_hu", "fracture", F.coalesce("_q1", "_q2").alias("qc_pass"))
+    q = rules.osteoporosis_composite(F.col("preferred_hu"), F.col("full_hu"), F.col("fracture"), F.col("qc_pass"))
+    got = got.withColumn("_c", q).select("*", "_c.level", "_c.score", "_c.label", "_c.reasons").drop("_c")
+    return got.withColumn("recommendation", rules.recommendation(F.col("fracture"), F.col("level")))
 
 
 @metric("effusion")

@@ -1,91 +1,60 @@
-"""Erosion, dilation, surfaces and distances of sparse masks as bucketed joins.
-
-The background voxel nearest to a mask voxel is always a neighbour of the mask, so distances go to that shell alone.
-Range joins meet in grid cells as wide as the search radius: the smaller side is copied to the neighbour cells, the
-join is on equality of cells, and the exact test follows.
-"""
+"""Erosion, dilation, surfaces and distances of sparse masks, as stencils on tiles and separable distances."""
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.operators import tiles
 from voxelweave.operators.masks import GROUP
 
 CROSS = [o for o in product((-1, 0, 1), repeat=3) if sum(map(abs, o)) == 1]
 CUBE = [o for o in product((-1, 0, 1), repeat=3) if any(o)]
 
 
-def shifted(voxels: DataFrame, offsets: list[tuple[int, int, int]], group: list[str] = GROUP) -> DataFrame:
-    """Every voxel moved by every offset."""
-    o = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip("xyz", d)]) for d in offsets]))
-    return voxels.select(*group, "x", "y", "z", o.alias("_o")).select(*group, *[(F.col(a) + F.col(f"_o.{a}")).alias(a) for a in "xyz"])
+def reach_of(offsets: list[tiles.Offset], rounds: int = 1) -> tiles.Offset:
+    """How far the offsets go along each axis."""
+    return tuple(rounds * max((abs(o[k]) for o in offsets), default=0) for k in range(3))
 
 
-def shell(voxels: DataFrame, offsets: list[tuple[int, int, int]] = CROSS, group: list[str] = GROUP) -> DataFrame:
+def shell(voxels: DataFrame, offsets: list[tiles.Offset] = CROSS, group: list[str] = GROUP) -> DataFrame:
     """Background voxels beside the mask."""
-    key = [*group, "x", "y", "z"]
-    return shifted(voxels, offsets, group).distinct().join(voxels.select(*key).hint("merge"), key, "left_anti")
+    return tiles.stencil(voxels, group, reach_of(offsets), lambda v: tiles.dilated(v, offsets) & ~v)
 
 
-def surface(voxels: DataFrame, offsets: list[tuple[int, int, int]] = CUBE, group: list[str] = GROUP) -> DataFrame:
+def surface(voxels: DataFrame, offsets: list[tiles.Offset] = CUBE, group: list[str] = GROUP) -> DataFrame:
     """Mask voxels that have a background neighbour."""
-    key = [*group, "x", "y", "z"]
-    near = shifted(shell(voxels, offsets, group), offsets, group).distinct()
-    return voxels.select(*key).join(near.hint("merge"), key, "left_semi")
-
-
-def squared(a: str, b: str, spacing: tuple[float, float, float]) -> Column:
-    """Squared distance in mm between two sets of x, y, z columns with prefixes."""
-    d = [(F.col(f"{a}{c}") - F.col(f"{b}{c}")) * F.lit(float(s)) for c, s in zip("xyz", spacing)]
-    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-
-
-def within(points: DataFrame, others: DataFrame, radius: float, spacing: tuple[float, float, float], group: list[str]) -> DataFrame:
-    """Pairs of a point and another (columns ox, oy, oz) whose cells touch; the exact distance test is the caller's."""
-    cell = lambda c, s: F.floor(F.col(c) * F.lit(float(s)) / radius).cast("int")
-    p = points
-    o = others.select(*group, *[F.col(c).alias(f"o{c}") for c in "xyz"])
-    for c, s in zip("xyz", spacing):
-        p = p.withColumn(f"_c{c}", cell(c, s))
-        o = o.withColumn(f"_c{c}", F.explode(F.sequence(cell(f"o{c}", s) - 1, cell(f"o{c}", s) + 1)))
-    return p.join(o.hint("merge"), [*group, "_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz")
+    return tiles.stencil(voxels, group, reach_of(offsets), lambda v: v & ~tiles.eroded(v, offsets))
 
 
 def background_distance(voxels: DataFrame, most: float, spacing: tuple[float, float, float], group: list[str] = GROUP) -> DataFrame:
     """Squared distance in mm of each voxel to the background, null where it is over `most`."""
-    key = [*group, "x", "y", "z"]
-    v = voxels.select(*key)
-    pairs = within(v, shell(v, CROSS, group), max(most, *spacing), spacing, group)
-    near = pairs.groupBy(*key).agg(F.min(squared("", "o", spacing)).alias("d2")).where(F.col("d2") <= most * most)
-    return v.join(near.hint("merge"), key, "left")
+    reach = tuple(int(most // s) for s in spacing)
 
+    def work(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = tiles.to_empty(v, spacing, reach)
+        return v, np.where(d <= most * most, d, np.nan)
 
-def erode_mm(voxels: DataFrame, mm: float, spacing: tuple[float, float, float], group: list[str] = GROUP) -> DataFrame:
-    """Voxels at least `mm` away from the background."""
-    d = background_distance(voxels, mm, spacing, group)
-    return d.where(F.col("d2").isNull() | (F.col("d2") >= mm * mm)).drop("d2")
+    return tiles.stencil(voxels, group, reach, work, "d2")
 
 
-def erode(voxels: DataFrame, rounds: int = 1, offsets: list[tuple[int, int, int]] = CROSS, group: list[str] = GROUP) -> DataFrame:
-    """`rounds` erosions by the neighbourhood that the offsets make; all around the mask is background."""
-    key = [*group, "x", "y", "z"]
-    v = voxels.select(*key)
-    for _ in range(rounds):
-        near = shifted(shell(v, offsets, group), offsets, group).distinct()
-        v = v.join(near.hint("merge"), key, "left_anti")
-    return v
+def erode_mm(voxels: DataFrame, mm: float, spacing: tuple[float, float, float], group: list[str] = GROUP) -> DataFrame:
+    """Voxels at least `mm` away from the background."""
+    reach = tuple(int(mm // s) for s in spacing)
+    return tiles.stencil(voxels, group, reach, lambda v: v & (tiles.to_empty(v, spacing, reach) >= mm * mm))
 
 
-def ball_l1(k: int) -> list[tuple[int, int, int]]:
-    return [o for o in product(range(-k, k + 1), repeat=3) if sum(map(abs, o)) <= k]
+def erode(voxels: DataFrame, rounds: int = 1, offsets: list[tiles.Offset] = CROSS, group: list[str] = GROUP) -> DataFrame:
+    """`rounds` erosions by the neighbourhood that the offsets make; all around the mask is background. One shuffle."""
+    return tiles.stencil(voxels, group, reach_of(offsets, rounds), lambda v: tiles.eroded(v, offsets, rounds))
 
 
-def dilate(voxels: DataFrame, rounds: int = 1, dims: tuple[int, int, int] | None = None, group: list[str] = GROUP) -> DataFrame:
-    """`rounds` dilations by the cross: only surface voxels send copies out; clipped to the grid if its size is given."""
-    out = voxels.select(*group, "x", "y", "z").union(shifted(surface(voxels, CROSS, group), ball_l1(rounds), group)).distinct()
+def dilate(voxels: DataFrame, rounds: int = 1, dims: tuple[int, int, int] | None = None, group: list[str] = GROUP, offsets: list[tiles.Offset] = CROSS) -> DataFrame:
+    """`rounds` dilations by the cross, or by other offsets; clipped to the grid if its size is given. One shuffle."""
+    out = tiles.stencil(voxels, group, reach_of(offsets, rounds), lambda v: tiles.dilated(v, offsets, rounds))
     for a, n in zip("xyz", dims or ()):
         out = out.where(F.col(a).between(0, n - 1))
     return out
@@ -95,7 +64,7 @@ def dilate_disc(voxels: DataFrame, mm: float, spacing: tuple[float, float], grou
     """Dilation of each slice by a disc of a radius in mm."""
     rx, ry = (int(mm // s) for s in spacing)
     disc = [(dx, dy, 0) for dx in range(-rx, rx + 1) for dy in range(-ry, ry + 1) if (dx * spacing[0]) ** 2 + (dy * spacing[1]) ** 2 <= mm * mm]
-    return shifted(voxels, disc, group).distinct()
+    return tiles.stencil(voxels, group, (rx, ry, 0), lambda v: tiles.dilated(v, disc))
 
 
 def erosion_profile(voxels: DataFrame, value: str, steps: list[float], spacing: tuple[float, float, float], group: list[str] = GROUP) -> DataFrame:
@@ -105,24 +74,12 @@ def erosion_profile(voxels: DataFrame, value: str, steps: list[float], spacing:
     return each.groupBy(*group, "step").agg(F.count("*").alias("n_voxels"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
 
 
-def nearest(points: DataFrame, others: DataFrame, spacing: tuple[float, float, float], group: list[str], most: float, first: float = 4.0) -> DataFrame:
-    """Distance in mm of each point to the nearest of the others in its group: the radius doubles for those still without.
+def nearest(points: DataFrame, others: DataFrame, spacing: tuple[float, float, float], group: list[str], most: float) -> DataFrame:
+    """Distance in mm of each point to the nearest of the others in its group.
 
     Points farther than `most` from any other, or in a group without others, are left out.
     """
-    from voxelweave.session import cut
-
-    radius, rest, found = first, points, None
-    while True:
-        near = within(rest, others, radius, spacing, group).withColumn("d2", squared("", "o", spacing)).where(F.col("d2") <= radius * radius)
-        got = cut(near.groupBy(*points.columns).agg(F.sqrt(F.min("d2")).alias("distance")))
-        found = got if found is None else found.unionByName(got)
-        if radius >= most:
-            return found
-        rest = cut(rest.join(got.select(*points.columns).hint("merge"), points.columns, "left_anti"))
-        if rest.isEmpty():
-            return found
-        radius *= 2
+    return tiles.distance_to(points, others, spacing, group).where(F.col("distance") <= most)
 
 
 def lateralize(points: DataFrame, left: DataFrame, right: DataFrame, spacing: tuple[float, float, float], group: list[str], by: str, most: float, gap: float = 5.0) -> DataFrame:

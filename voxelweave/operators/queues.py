@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelweave.functions.scalars import epoch_s
+from voxelweave.session import config_rows, small_side
 
 ACTIVE = ["pending", "claimed"]
 
@@ -55,10 +56,10 @@ def cancel(rows: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def prioritize(rows: DataFrame, cases: DataFrame, queue: str) -> DataFrame:
-    """Pending rows of the listed cases move a second before the oldest of their queue. Queues are few, so their heads are broadcast."""
+    """Pending rows of the listed cases move a second before the oldest of their queue. The queues' heads are broadcast if they are few."""
     head = rows.where(F.col("status") == "pending").groupBy(queue).agg(F.min("created_at").alias("_head"))
     hit = cases.select("case_id", F.lit(True).alias("_hit")).distinct()
-    both = rows.join(F.broadcast(head), queue, "left").join(hit.hint("merge"), "case_id", "left")
+    both = rows.join(small_side(head), queue, "left").join(hit.hint("merge"), "case_id", "left")
     moved = F.coalesce("_hit", F.lit(False)) & (F.col("status") == "pending")
     return both.withColumn("created_at", F.when(moved, F.col("_head") - F.expr("interval 1 second")).otherwise(F.col("created_at"))).drop("_head", "_hit")
 
@@ -135,17 +136,19 @@ def method_agreement(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFra
 def fanout(items: DataFrame, destinations: DataFrame, kind: str) -> DataFrame:
     """Items to the enabled destinations that take their kind (null takes all); one row an item and destination.
 
-    Destinations are configuration, so their table is small and broadcast; the join has no equality to shuffle on.
+    Those that take one kind meet their items by it; those that take all are configuration, so each item gets their list.
     """
-    d = destinations.where("enabled").select(F.col("name").alias("destination"), "accepts", "ordinal")
-    takes = F.col("accepts").isNull() | (F.col("accepts") == F.col(kind))
-    return items.join(F.broadcast(d), takes).drop("accepts", "ordinal").dropDuplicates()
+    d = destinations.where("enabled").select(F.col("name").alias("destination"), "accepts")
+    one = items.join(small_side(d.where("accepts is not null")), F.col("accepts") == F.col(kind)).drop("accepts")
+    names = [r.destination for r in config_rows(d.where("accepts is null").select("destination").distinct())]
+    every = items.withColumn("destination", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
+    return one.unionByName(every).dropDuplicates()
 
 
 def first_subscribed(items: DataFrame, destinations: DataFrame, kind: str) -> DataFrame:
-    """Events to the first destination, by ordinal, that subscribes to their kind. The subscriptions are configuration and broadcast."""
+    """Events to the first destination, by ordinal, that subscribes to their kind. The subscriptions are broadcast if they are few."""
     first = destinations.where("enabled").groupBy("accepts").agg(F.min_by("name", "ordinal").alias("destination"))
-    return items.join(F.broadcast(first), F.col("accepts") == F.col(kind)).drop("accepts")
+    return items.join(small_side(first), F.col("accepts") == F.col(kind)).drop("accepts")
 
 
 def digest_upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -204,3 +207,8 @@ def alerts(rows: DataFrame, age_s: Column, limits: dict[str, int]) -> DataFrame:
     """Rows of a stage that have been there for longer than its limit."""
     limit = F.coalesce(*[F.when(F.col("stage") == s, F.lit(v)) for s, v in limits.items()])
     return rows.withColumn("age_s", age_s).where(F.col("age_s") > limit)
+
+
+def case_recent(rows: DataFrame, case: str, at: str) -> DataFrame:
+    """When each case was last touched, the latest first; the order is a range shuffle."""
+    return rows.groupBy(case).agg(F.max(at).alias("updated")).orderBy(F.col("updated").desc_nulls_last(), case)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.functions import predicates as P
 from voxelweave.functions import scalars as S
+from voxelweave.session import config_rows
 
 
 def series_geometry(instances: DataFrame, series: str, position: str, thickness: str, spacing: str) -> DataFrame:
@@ -65,11 +66,12 @@ def reject(df: DataFrame, modality: str, least_slices: int, description: list[st
 def hint_rules(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """Sum of the weights of the rules whose maker matches (empty matches all) and whose token is in the text.
 
-    `rules` (maker, token, weight) is a configuration table of bounded size; it is broadcast for a contains join.
+    `rules` (maker_token, token, weight) is a configuration table of bounded size, so each row tries all rules as expressions.
     """
-    hit = (F.col("maker_token") == "") | F.contains("maker", F.col("maker_token"))
-    both = df.join(F.broadcast(rules), hit & F.contains("text", F.col("token")), "left")
-    return both.groupBy(key).agg(F.coalesce(F.sum("weight"), F.lit(0).cast("bigint")).alias("score"), F.count("token").alias("n_rules"))
+    hits = [((F.lit(r.maker_token == "") | F.contains("maker", F.lit(r.maker_token))) & F.contains("text", F.lit(r.token)), r.weight) for r in config_rows(rules) if r.token is not None]
+    weight = sum((F.when(hit, F.lit(w)).otherwise(0) for hit, w in hits if w is not None), F.lit(0)).cast("bigint")
+    n = sum((F.when(hit, 1).otherwise(0) for hit, _ in hits), F.lit(0)).cast("bigint")
+    return df.groupBy(key).agg(F.coalesce(F.sum(weight), F.lit(0).cast("bigint")).alias("score"), F.sum(n).alias("n_rules"))
 
 
 def coverage_tier(df: DataFrame, study: str, rank: str, coverage: str, ratio: float = 0.92, mm: float = 50.0) -> DataFrame:
@@ -173,3 +175,9 @@ def classify(df: DataFrame) -> DataFrame:
         (F.col("modality") == "MR", "no_configured_mr_segmenter"), (~F.col("modality").isin("CT", "MR"), "unsupported_modality"), (~F.col("converted"), "no_converted_volume"), (fit, "ct_compatible"),
     )
     return df.select("*", volumetric.alias("volumetric"), fit.alias("segmentable"), F.array_join(why, ",").alias("reasons"), F.when(fit, "segmentation_pending").otherwise("not_segmentable").alias("status"))
+
+
+def join_converted(raw: DataFrame, converted: DataFrame, uid: str) -> DataFrame:
+    """Raw series with the attributes of their converted one; those that were not converted have none, and converted is false."""
+    there = converted.withColumn("converted", F.lit(True)).hint("merge")
+    return raw.join(there, uid, "left").withColumn("converted", F.coalesce("converted", F.lit(False)))

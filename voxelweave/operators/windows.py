@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelweave.session import cut
+
 
 def first_by(df: DataFrame, group: list[str], *order: Column, top: int = 1) -> DataFrame:
     """The first rows of each group in an order. Ties must be broken by the order itself."""
@@ -66,9 +68,20 @@ def interpolate(df: DataFrame, group: list[str], order: str, value: str) -> Data
     return out.withColumn("filled", F.coalesce(F.col(value).cast("double"), line, F.col("_p.v"), F.col("_n.v"))).drop("_p", "_n")
 
 
-def fracture_rollup(grades: DataFrame, group: list[str]) -> DataFrame:
-    """Highest grade and whether any is above zero."""
-    return grades.groupBy(*group).agg(F.max("grade").alias("max_grade"), F.coalesce(F.bool_or(F.col("grade") > 0), F.lit(False)).alias("suspicion"))
+def fracture_rollup(grades: DataFrame, group: list[str], complete: Column | None = None) -> DataFrame:
+    """Highest grade and worst severity of the complete levels, whether any is suspected, and how many were analysed and left out.
+
+    A level without a grade is indeterminate, which ranks below none; so is a group without complete levels.
+    """
+    complete = F.lit(True) if complete is None else complete
+    grade = F.when(complete, F.col("grade"))
+    worst = F.max(F.when(complete, F.coalesce("grade", F.lit(-1))))
+    severity = F.coalesce(F.get(F.array(*[F.lit(x) for x in ("none", "mild", "moderate", "severe")]), F.greatest(worst, F.lit(0)).cast("int")), F.lit("indeterminate"))
+    severity = F.when(F.coalesce(worst, F.lit(-1)) < 0, "indeterminate").otherwise(severity)
+    return grades.groupBy(*group).agg(
+        F.max(grade).alias("max_grade"), F.coalesce(F.bool_or(grade > 0), F.lit(False)).alias("suspicion"), severity.alias("severity"),
+        F.count_if(F.coalesce(complete, F.lit(False))).alias("n_analyzed"), F.count_if(~F.coalesce(complete, F.lit(False))).alias("n_incomplete"),
+    )
 
 
 def effusion_qc(sides: DataFrame, group: list[str], volume: str, least: float) -> DataFrame:
@@ -89,19 +102,38 @@ def artifact_order(df: DataFrame, group: list[str], position: str, original: str
     return df.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.col(position).asc_nulls_last(), original)))
 
 
-def purge_plan(df: DataFrame, order: list[str], size: str, need: float) -> DataFrame:
-    """Oldest rows whose removal frees at least `need`: a row goes while what is freed before it is less.
+def purge_plan(
+    cases: DataFrame, order: list[str], size: str, total_bytes: float, most_percent: float = 0.0, least_free: float = 0.0, most_cases: int = 0, expired: Column | None = None, protected: DataFrame | None = None, key: str = "case_id"
+) -> DataFrame:
+    """The oldest unprotected cases to delete until every rule that is on holds, with freed_before, place and used_percent_after.
+
+    A case goes while, with all older ones gone, the disk is used to `most_percent` of `total_bytes` or more, less than
+    `least_free` bytes are free, or more than `most_cases` cases (protected ones too) are left; or if it is `expired`
+    itself, which must be monotone in the order. A limit of 0 is off. What is used is the sum of all sizes.
 
-    The running sum is built in two steps, so that no task holds the whole table: sums of ranges of the order, whose
+    Running sums are built in two steps, so that no task holds the whole table: sums of ranges of the order, whose
     number is that of the shuffle partitions, and sums within a range.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    from voxelweave.session import cut
-
-    dealt = cut(dealt)
-    sums = dealt.groupBy("_part").agg(F.sum(size).alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).drop("_sum")
-    within = F.coalesce(F.sum(size).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    both = dealt.withColumn("_within", within).join(F.broadcast(before), "_part")  # one row a partition
-    return both.withColumn("freed_before", F.col("_before") + F.col("_within")).where(F.col("freed_before") < need).drop("_part", "_within", "_before")
+    n = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    used, resident = cases.agg(F.coalesce(F.sum(size), F.lit(0)).cast("double"), F.count("*")).first()
+    free = cases if protected is None else cases.join(protected.select(key).distinct().hint("merge"), key, "left_anti")
+    dealt = cut(free.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum(size).alias("_sum"), F.count("*").alias("_n"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_freed"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_gone"))
+    mine = W.partitionBy("_part").orderBy(*order)
+    within = F.coalesce(F.sum(size).over(mine.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    both = dealt.withColumns({"_within": within, "_row": F.row_number().over(mine)}).join(F.broadcast(before), "_part")  # one row a partition
+    both = both.withColumns({"freed_before": F.col("_freed") + F.col("_within"), "place": F.col("_gone") + F.col("_row")})
+    left = F.lit(used) - F.col("freed_before")
+    rules = [expired] if expired is not None else []
+    if most_percent > 0:
+        rules.append(left / total_bytes * 100 >= most_percent)
+    if least_free > 0:
+        rules.append(total_bytes - left < least_free)
+    if most_cases > 0:
+        rules.append(F.lit(resident) - F.col("place") + 1 > most_cases)
+    fires = F.lit(False)
+    for rule in rules:
+        fires = fires | F.coalesce(rule, F.lit(False))
+    return both.where(fires).withColumn("used_percent_after", (left - F.col(size)) / total_bytes * 100).drop("_part", "_within", "_row", "_freed", "_gone")

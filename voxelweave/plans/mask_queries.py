@@ -141,7 +141,8 @@ CROSS6, CUBE26 = AROUND.format("abs(a.d) + abs(b.d) + abs(c.d) = 1"), AROUND.for
 
 
 def _full(n: int, around: str, src: str = "blobs") -> str:
-    return f"select a.study, a.mask, a.x, a.y, a.z from {src} a cross join {around} o join {src} b on a.study = b.study and a.mask = b.mask and b.x = a.x + o.dx and b.y = a.y + o.dy and b.z = a.z + o.dz group by a.study, a.mask, a.x, a.y, a.z having count(*) = {n}"
+    """Voxels with all n neighbours: each voxel tells its neighbours of itself, and those told n times count."""
+    return f"select a.study, a.mask, a.x, a.y, a.z from {src} a join (select study, mask, x + dx as x, y + dy as y, z + dz as z from {src} cross join {around} o group by 1, 2, 3, 4, 5 having count(*) = {n}) s on a.study = s.study and a.mask = s.mask and a.x = s.x and a.y = s.y and a.z = s.z"
 
 
 @query(f"select * from blobs except {_full(26, CUBE26)}")
@@ -159,9 +160,9 @@ def dilate_iter(t: Tables):
     return morphology.dilate(t.blobs, 2, (56, 56, 56))
 
 
-@query("select distinct study, mask, x + a.d as x, y + b.d as y, z from blobs cross join (select unnest(generate_series(-4, 4)) as d) a cross join (select unnest(generate_series(-4, 4)) as d) b where z = 20 and (a.d * 0.7) * (a.d * 0.7) + (b.d * 0.9) * (b.d * 0.9) <= 9")
+@query("select distinct study, mask, x + a.d as x, y + b.d as y, z from blobs cross join (select unnest(generate_series(-4, 4)) as d) a cross join (select unnest(generate_series(-4, 4)) as d) b where (a.d * 0.7) * (a.d * 0.7) + (b.d * 0.9) * (b.d * 0.9) <= 9")
 def dilate_ellipse(t: Tables):
-    return morphology.dilate_disc(t.blobs.where("z = 20"), 3.0, (0.7, 0.9))
+    return morphology.dilate_disc(t.blobs, 3.0, (0.7, 0.9))
 
 
 # the shell is within 3 mm at most 4, 3 and 1 voxels away along the axes
@@ -185,7 +186,7 @@ def erode_mm(t: Tables):
 
 def _flood(group: str, planar: bool) -> str:
     near = "b.z = a.z" if planar else "abs(b.z - a.z) <= 1"
-    return f"""with recursive v as materialized (select *, row_number() over (order by study, mask, z, y, x) as i from (select distinct study, mask, x, y, z from lattice where y <= 25)),
+    return f"""with recursive v as materialized (select *, row_number() over (order by study, mask, z, y, x) as i from (select distinct study, mask, x, y, z from lattice)),
  e as materialized (select a.i as a, b.i as b from v a join v b on a.study = b.study and a.mask = b.mask and abs(b.x - a.x) <= 1 and abs(b.y - a.y) <= 1 and {near} and a.i <> b.i),
  r(i, root) as (select i, i from v union select e.b, r.root from r join e on e.a = r.i where r.root < e.b),
  m as (select i, min(root) as root from r group by i)
@@ -194,13 +195,13 @@ def _flood(group: str, planar: bool) -> str:
 
 @query(_flood("", False))
 def components_3d(t: Tables):
-    runs = components.label_runs(t.lattice.where("y <= 25"))
+    runs = components.label_runs(t.lattice)
     return components.describe(runs).select("study", "mask", "n_voxels")
 
 
 @query(_flood("z,", True))
 def components_2d(t: Tables):
-    runs = components.label_runs(t.lattice.where("y <= 25"), ["study", "mask"], planar=True)
+    runs = components.label_runs(t.lattice, ["study", "mask"], planar=True)
     return runs.groupBy("study", "mask", "z", "component").agg(F.sum(c("x1") - c("x0") + 1).alias("n_voxels")).drop("component")
 
 
@@ -209,13 +210,13 @@ FLOOD = _flood("", False).replace("\n select study, mask,", ",\n f as (select st
 
 @query(FLOOD + " select study, mask, max(n_voxels) as n_voxels from f group by study, mask")
 def largest_component(t: Tables):
-    runs = components.label_runs(t.lattice.where("y <= 25"))
+    runs = components.label_runs(t.lattice)
     return components.largest(components.describe(runs)).select("study", "mask", "n_voxels")
 
 
 @query(FLOOD + " select study, mask, n_voxels, row_number() over (partition by study, mask order by n_voxels desc) as rank from f")
 def component_rank(t: Tables):
-    runs = components.label_runs(t.lattice.where("y <= 25"))
+    runs = components.label_runs(t.lattice)
     return components.ranked(components.describe(runs)).select("study", "mask", "n_voxels", "rank")
 
 
@@ -240,19 +241,18 @@ def infer_axes(t: Tables):
     return shapes.infer_axes(masks.bounds(t.blobs), SPACING).select("study", "mask", "si_axis", "ap_axis")
 
 
-@query("select a.study, a.x, a.y, a.z, min(sqrt(((a.x - b.x) * 0.7) * ((a.x - b.x) * 0.7) + ((a.y - b.y) * 0.9) * ((a.y - b.y) * 0.9) + ((a.z - b.z) * 2.5) * ((a.z - b.z) * 2.5))) as distance from blobs a join blobs b on a.study = b.study and b.mask = 0 and b.z % 5 = 0 where a.mask = 1 and a.z % 4 = 0 and a.x % 3 = 0 group by a.study, a.x, a.y, a.z")
+@query("select a.study, a.x, a.y, a.z, round(min(sqrt(((a.x - b.x) * 0.7) * ((a.x - b.x) * 0.7) + ((a.y - b.y) * 0.9) * ((a.y - b.y) * 0.9) + ((a.z - b.z) * 2.5) * ((a.z - b.z) * 2.5))), 6) as distance from blobs a join blobs b on a.study = b.study and b.mask = 0 where a.mask = 1 group by a.study, a.x, a.y, a.z")
 def nearest_surface(t: Tables):
-    a = t.blobs.where("mask = 1 and z % 4 = 0 and x % 3 = 0").drop("mask")
-    b = t.blobs.where("mask = 0 and z % 5 = 0").drop("mask")
-    return morphology.nearest(a, b, SPACING, ["study"], 256.0)
+    a, b = (t.blobs.where(f"mask = {m}").drop("mask") for m in (1, 0))
+    return morphology.nearest(a, b, SPACING, ["study"], 256.0).withColumn("distance", F.round("distance", 6))
 
 
 def _side(mask: int) -> str:
-    return f"(select a.study, a.mask, quantile_cont(d, 0.1) as d from (select a.study, a.mask, a.x, a.y, a.z, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) as d from blobs a join blobs b on a.study = b.study and b.mask = {mask} and b.z % 5 = 0 where a.mask = 2 and a.z % 4 = 0 and a.x % 3 = 0 group by 1, 2, 3, 4, 5) a group by 1, 2)"
+    return f"(select a.study, quantile_cont(d, 0.1) as d from (select a.study, a.x, a.y, a.z, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) as d from blobs a join blobs b on a.study = b.study and b.mask = {mask} where a.mask = 2 group by 1, 2, 3, 4) a group by 1)"
 
 
-@query(f"select l.study, l.mask, l.d as d_left, r.d as d_right, case when abs(l.d - r.d) < 1.5 then 'indeterminate' when l.d < r.d then 'left' else 'right' end as side from {_side(0)} l join {_side(1)} r on l.study = r.study and l.mask = r.mask")
+@query(f"select l.study, 2 as mask, round(l.d, 6) as d_left, round(r.d, 6) as d_right, case when abs(l.d - r.d) < 0.5 then 'indeterminate' when l.d < r.d then 'left' else 'right' end as side from {_side(0)} l join {_side(1)} r on l.study = r.study")
 def lateralize(t: Tables):
-    p = t.blobs.where("mask = 2 and z % 4 = 0 and x % 3 = 0")
-    side = lambda m: t.blobs.where(f"mask = {m} and z % 5 = 0")
-    return morphology.lateralize(p, side(0), side(1), (1.0, 1.0, 1.0), ["study"], "mask", 256.0, 1.5)
+    side = lambda m: t.blobs.where(f"mask = {m}")
+    got = morphology.lateralize(side(2), side(0), side(1), (1.0, 1.0, 1.0), ["study"], "mask", 256.0, 0.5)
+    return got.select("study", "mask", F.round("d_left", 6).alias("d_left"), F.round("d_right", 6).alias("d_right"), "side")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelweave.operators import metrics
+from voxelweave.operators import metrics, vertebrae
 from voxelweave.plans.catalog import Tables, query
+from voxelweave.plans.mask_queries import NEAR
 
 c, L = F.col, F.lit
 SPACING = (0.7, 0.9, 2.5)
@@ -21,25 +22,58 @@ def _expected(t: Tables):
     return t.lattice.select("study").distinct().select("study", F.explode(F.array(*[L(m) for m in "ANRX"])).alias("mask"))
 
 
-@query(f"select s.study, n as n_pixels, n * cast(0.0063 as double) as cm2, mean, case when n is null then 'not_present' else 'done' end as status from (select distinct study from lattice) s left join (select l.study, count(*) as n, avg(hu) as mean from lattice l join {CENTER} k on l.study = k.study and l.z = k.z where mask = 'A' group by 1) m on m.study = s.study")
+PATIENTS = "(select study, case study % 3 when 0 then true when 1 then false end as contrast, cast(0.75 as double) + study % 8 * cast(0.25 as double) as height_m, cast(15 + study % 50 * 9 as double) as weight_kg, cast(112 + study % 4 * 4 as double) as kvp from (select distinct study from lattice))"
+
+
+def _patients(v):
+    s = c("study")
+    rows = v.select("study").distinct()
+    return rows.select(s, F.when(s % 3 == 0, True).when(s % 3 == 1, False).alias("contrast"), (0.75 + s % 8 * 0.25).alias("height_m"), (15 + s % 50 * 9).cast("double").alias("weight_kg"), (112 + s % 4 * 4).cast("double").alias("kvp"))
+
+
+@query(f"""select s.study, n as raw_pixels, n as n_pixels, n - n as excluded, n * cast(0.0063 as double) as cm2, case when not coalesce(contrast, false) then mean end as mean, case when not coalesce(contrast, false) then sd end as deviation,
+  case when height_m between 0.8 and 2.5 then n * cast(0.0063 as double) / (height_m * height_m) end as smi, case when n is not null and height_m between 0.8 and 2.5 and weight_kg between 20 and 400 then weight_kg / (height_m * height_m) end as bmi, case when n is null then 'not_present' else 'done' end as status
+ from {PATIENTS} s left join (select l.study, count(*) as n, round(avg(hu), 2) as mean, round(stddev_pop(hu), 2) as sd from lattice l join {CENTER} k on l.study = k.study and l.z = k.z where mask = 'A' group by 1) m on m.study = s.study""")
 def m_l3_muscle(t: Tables):
-    return metrics.l3_muscle({"voxels": t.lattice}, {"level": "R", "muscle": "A", "pixel_cm2": 0.0063})
+    """Without arm bones; those are in appendicular_filter and its test."""
+    return metrics.l3_muscle({"voxels": t.lattice, "patients": _patients(t.lattice)}, {"level": "R", "muscle": "A", "pixel_cm2": 0.0063})
 
 
-@query(f"select study, a as vat_cm2, b as sat_cm2, round(a / nullif(b, 0), 4) as ratio, 'done' as status from (select l.study, count(*) filter (mask = 'A') * cast(0.0063 as double) as a, count(*) filter (mask = 'N') * cast(0.0063 as double) as b from lattice l join {CENTER} k on l.study = k.study and l.z = k.z group by 1)")
+@query(f"""with v as (select * from lattice where mask <> 'N' or study % 5 <> 0), m as (select l.study, count(*) filter (mask = 'A') * cast(0.0063 as double) as a, count(*) filter (mask = 'N') * cast(0.0063 as double) as b from v l join {CENTER} k on l.study = k.study and l.z = k.z group by 1)
+ select s.study, case when ok then a end as vat_cm2, case when ok then b end as sat_cm2, case when ok then 0 end as vat_excluded, case when ok then 0 end as sat_excluded, case when ok then round(a / nullif(b, 0), 4) end as ratio, case when ok then 'done' else 'not_present' end as status from (select study, count(distinct mask) = 3 as ok from v group by 1) s left join m on m.study = s.study""")
 def m_vat_sat(t: Tables):
-    return metrics.vat_sat({"voxels": t.lattice}, {"level": "R", "visceral": "A", "subcutaneous": "N", "pixel_cm2": 0.0063})
+    """Every fifth study lacks one of the masks."""
+    return metrics.vat_sat({"voxels": t.lattice.where("mask <> 'N' or study % 5 <> 0")}, {"level": "R", "visceral": "A", "subcutaneous": "N", "pixel_cm2": 0.0063})
+
 
+INNER = "x > 0 and not (mask <> 'A' and (x > 62 or y > 49 or y < 1 or z in (0, 31)))"
+ORGANS = f"""select e.study, e.mask, case when n is null then 'missing' when b then 'truncated' else 'complete' end as status, case when not coalesce(contrast, false) then round(mean, 2) end as hu, case when n is not null and not b then n * cast(0.2 as double) end as cm3,
+  case when not coalesce(contrast, false) then round(greatest(0.0, cast(-0.58 as double) * mean + cast(38.2 as double)), 2) end as pdff, case when e.mask = 'N' and not b and n * cast(0.2 as double) < 100 then 'small_kidney' end as alert, kvp
+ from (select study, contrast, kvp, unnest(['A', 'N', 'R', 'X']) as mask from {PATIENTS}) e left join (select study, mask, count(*) as n, avg(hu) as mean, min(x) <= 0 or max(x) >= 63 or min(y) <= 0 or max(y) >= 50 or min(z) <= 0 or max(z) >= 31 as b from lattice where {INNER} group by 1, 2) s on s.study = e.study and s.mask = e.mask"""
 
-@query("select e.study, e.mask, case when n is null then 'missing' else 'truncated' end as status, round(mean, 2) as hu, cast(null as double) as cm3, round(greatest(0.0, cast(-0.58 as double) * mean + cast(38.2 as double)), 2) as pdff from (select study, m as mask from (select distinct study from lattice) cross join (select unnest(['A', 'N', 'R', 'X']) as m)) e left join (select study, mask, count(*) as n, avg(hu) as mean from lattice group by 1, 2) s on s.study = e.study and s.mask = e.mask")
+
+def _organs(t: Tables):
+    return metrics.organs({"voxels": t.lattice.where(INNER), "expected": _expected(t), "patients": _patients(t.lattice)}, {"dims": (64, 51, 32), "voxel_cm3": 0.2, "alerts": {"N": "kidney"}})
+
+
+@query(f"select * exclude (kvp) from ({ORGANS})")
 def m_organs(t: Tables):
-    return metrics.organs({"voxels": t.lattice, "expected": _expected(t)}, {"dims": (64, 51, 32), "voxel_cm3": 0.002})
+    """A reaches the border, N and R don't, X is missing; every third study has contrast."""
+    return _organs(t)
+
 
+@query(f"""with o as ({ORGANS}), s as (select study, any_value(kvp) as kvp, max(hu) filter (mask = 'R') as l, max(hu) filter (mask = 'N') as s, coalesce(bool_or(mask = 'R' and cm3 >= 90), false) as lok, coalesce(bool_or(mask = 'N' and cm3 >= 90), false) as sok, bool_or(cm3 is not null) as pub from o group by study)
+ select study, status as steatosis, case when status = 'estimated' then cast(floor(greatest(0.0, cast(-0.58 as double) * l + cast(38.2 as double)) + 0.5) as int) end as percent, pub or (lok and l is not null) as publishable
+ from (select *, case when l is null then null when not lok then 'liver_sample_insufficient' when kvp not between 115 and 125 then 'kvp_out_of_range' when l >= 50 then 'normal' when not sok or s = 0 then 'spleen_sample_insufficient' when l / s > 1 then 'normal' else 'estimated' end as status from s)""")
+def m_liver_fat(t: Tables):
+    return metrics.liver_fat(_organs(t), _patients(t.lattice), "R", "N", 90.0)
 
-@query("select study, 'complete' as status, round(count(*) * cast(0.1 as double), 1) as cm3 from blobs where mask = 0 group by study")
+
+@query("select s.study, case when n is null then 'missing' when b then 'truncated' else 'complete' end as status, case when not b then round(n * cast(0.1 as double), 1) end as cm3 from (select distinct study from blobs) s left join (select study, count(*) as n, max(x) >= 55 or max(y) >= 55 or max(z) >= 50 or min(x) <= 0 or min(y) <= 0 or min(z) <= 0 as b from blobs where mask = 0 and study % 6 <> 4 group by study) k on k.study = s.study")
 def m_brain(t: Tables):
-    v = _blobs(t)
-    return metrics.brain({"voxels": v, "expected": v.select("study", "mask").distinct()}, {"mask": "m0", "dims": (90, 90, 90), "voxel_cm3": 0.1})
+    """In a grid that some of the balls reach out of; every sixth study has none."""
+    v = _blobs(t).where("mask <> 'm0' or study % 6 <> 4")
+    return metrics.brain({"voxels": v, "expected": v.select("study", L("m0").alias("mask")).distinct()}, {"mask": "m0", "dims": (56, 56, 51), "voxel_cm3": 0.1})
 
 
 @query("""with s as materialized (select distinct study, x + a.d as x, y + b.d as y, z + c.d as z from blobs cross join (select unnest([-1, 0, 1]) as d) a cross join (select unnest([-1, 0, 1]) as d) b cross join (select unnest([-1, 0, 1]) as d) c where mask <> 2 and abs(a.d) + abs(b.d) + abs(c.d) <= 1)
@@ -83,13 +117,54 @@ def m_liver_segments(t: Tables):
     return metrics.liver_segments({"voxels": _blobs(t)}, {"voxel_cm3": 0.0016})
 
 
-@query("""with k as (select study, mask, x, y, max(z) - min(z) + 1 as h from blobs group by 1, 2, 3, 4), l as (select study, mask, min(y) as y0, max(y) as y1 from blobs group by 1, 2), p as (select k.study, k.mask, h, least(2, cast(floor(3 * (y - y0) / (y1 - y0 + 1)) as int)) as t from k join l on l.study = k.study and l.mask = k.mask),
- g as (select study, mask, median(h) filter (t = 0) as a, median(h) filter (t = 1) as m, median(h) filter (t = 2) as p from p group by 1, 2), q as (select *, greatest(a, m, p) as top, (greatest(a, m, p) - least(a, m, p)) / greatest(a, m, p) as loss from g), r as (select *, case when loss < 0.2 then 0 when loss < 0.25 then 1 when loss < 0.4 then 2 else 3 end as grade from q),
- n as (select *, last_value(case when grade = 0 then top end ignore nulls) over (partition by study order by mask rows between unbounded preceding and 1 preceding) as b, first_value(case when grade = 0 then top end ignore nulls) over (partition by study order by mask rows between 1 following and unbounded following) as f from r),
- z as (select *, 1 - top / case when b is not null and f is not null then (b + f) / 2 else coalesce(b, f) end as l2 from n)
- select study, max(g2) as max_grade, bool_or(g2 > 0) as suspicion from (select study, case when l2 is null then grade else greatest(grade, case when l2 < 0.2 then 0 when l2 < 0.25 then 1 when l2 < 0.4 then 2 else 3 end) end as g2 from z) group by study""")
+@query(None)
 def m_fracture(t: Tables):
-    return metrics.fracture({"voxels": _blobs(t)}, {})
+    return metrics.fracture({"voxels": t.spine}, {"levels": [f"v{k}" for k in range(5)], "spacing": (1.0, 1.0, 1.0), "n_slices": 79})
+
+
+@query(None)
+def isolate_body(t: Tables):
+    return vertebrae.isolate_body(t.spine, (1.0, 1.0, 1.0)).groupBy("study", "mask").agg(F.count("*").alias("n_voxels"))
+
+
+@query(None)
+def parasagittal_heights(t: Tables):
+    return vertebrae.parasagittal_heights(t.spine.select("study", "mask", "x", "y", "z"), (1.0, 1.0, 1.0))
+
+
+@query(None)
+def height_screen(t: Tables):
+    return vertebrae.height_screen(_blobs(t), SPACING)
+
+
+@query(f"""{NEAR}, f as (select study, mask, min(z) > 0 and max(z) < 50 as complete from v group by 1, 2), p as (select study, mask, step, count(*) as n, round(avg(hu), 2) as mean, round(stddev_pop(hu), 2) as sd from j cross join (select cast(unnest([0, 1, 2, 3]) as double) as step) where d2 is null or d2 >= step * step group by 1, 2, 3)
+ select f.study, f.mask, complete, complete as included, s.step, coalesce(n, 0) as n_voxels, mean, sd as deviation from f join (select cast(unnest([0, 1, 2, 3]) as double) as step) s on complete or s.step = 0 left join p on complete and p.study = f.study and p.mask = f.mask and p.step = s.step""")
+def vertebra_measure(t: Tables):
+    v = t.blobs.withColumn("hu", c("x") % 7 * 10 + c("y"))
+    return vertebrae.vertebra_measure(v, SPACING, 51, (0, 1, 2, 3))
+
+
+@query(None)
+def l1_sagittal_roi(t: Tables):
+    return vertebrae.l1_sagittal_roi(t.spine, (1.0, 1.0, 1.0), erosion_mm=2.0)
+
+
+def _l1(t: Tables):
+    v = t.spine
+    p = _patients(v).select("study", F.when(c("study") % 5 == 4, "MR").otherwise("CT").alias("modality"), "kvp", "contrast", (c("study") % 8).cast("double").alias("thickness_mm"))
+    return {"voxels": v, "patients": p}, {"mask": "v3", "spacing": (1.0, 1.0, 1.0), "n_slices": 79, "erosion_mm": 2.0}
+
+
+@query(None)
+def m_l1_hu(t: Tables):
+    return metrics.l1_hu(*_l1(t)).withColumn("profile", F.to_json("profile"))
+
+
+@query(None)
+def m_bmd_extract(t: Tables):
+    """Every supplier is a series; those of studies without the mask get a row too."""
+    s = t.supplier.select((c("s_suppkey") % 7).cast("string").alias("case_id"), c("s_suppkey").cast("string").alias("series_id"), (c("s_suppkey") % 30).alias("study"))
+    return metrics.bmd_extract(s, *_l1(t))
 
 
 @query("""with l as (select study, ordinal, center, lag(center) over w as b, lead(center) over w as a from (select distinct study, k as ordinal, 10.0 + k * 9 + study % 3 as center from (select distinct study from blobs) cross join (select unnest([0, 1, 2, 3]) as k)) window w as (partition by study order by ordinal)),
@@ -102,9 +177,9 @@ def m_body_fat(t: Tables):
     return got.withColumn("total_cm3", F.round("total_cm3", 2))
 
 
-@query("select study, z, count(*) as n from blobs where mask = 1 and z % 3 = 0 and not exists (select 1 from blobs b where b.mask = 9 and b.study = blobs.study) group by 1, 2")
+@query(None)
 def appendicular_filter(t: Tables):
-    """Without arm bones in the picture nothing is removed; the removal itself is covered by a test."""
+    """m1 as tissue and m0 as arm bones, on all slices."""
     v = _blobs(t)
-    kept = metrics.appendicular_filter(v.where("mask = 'm1' and z % 3 = 0").select("study", "x", "y", "z"), v.where("mask = 'm9'"), 2.0, SPACING[:2])
-    return kept.groupBy("study", "z").agg(F.count("*").alias("n"))
+    kept = metrics.appendicular_filter(v.where("mask = 'm1'").select("study", "x", "y", "z"), v.where("mask = 'm0'"), 2.0, SPACING[:2])
+    return kept.groupBy("study", "z").agg(F.count("*").alias("n"), F.max("removed_fraction").alias("removed_fraction"))

@@ -152,10 +152,14 @@ def search_filter(t: Tables):
     return Q.search_filter(t.queue, "17", ["case_id", "queue"], "created_at", "1996-01-01", "1997-06-30").select("item")
 
 
-@query("select item, round(freed, 2) as freed_before from (select item, coalesce(sum(bytes) over (order by created_at, item rows between unbounded preceding and 1 preceding), 0) as freed from queue) where freed < 500000000")
+@query("""with a as (select sum(bytes) as used, count(*) as n from queue), p as (select distinct case_id from queue where status = 'claimed' and attempts = 4),
+ r as (select item, bytes, created_at, coalesce(sum(bytes) over w, 0) as freed, row_number() over (order by created_at, item) as place from queue where case_id not in (select case_id from p) window w as (order by created_at, item rows between unbounded preceding and 1 preceding))
+ select item, place, round(freed, 2) as freed_before, round((used - freed - bytes) / used * 100, 6) as used_percent_after from r, a where (used - freed) / used * 100 >= 97.5 or used - (used - freed) < 0.03 * used or n - place + 1 > 0.96 * n or created_at < date '1992-03-01'""")
 def purge_plan(t: Tables):
-    got = windows.purge_plan(t.queue, ["created_at", "item"], "bytes", 5e8)
-    return got.select("item", F.round("freed_before", 2).alias("freed_before"))
+    """All four rules at once on a disk that the cases fill; cases with a claim at its last attempt are protected."""
+    used, n = t.queue.agg(F.sum("bytes"), F.count("*")).first()
+    got = windows.purge_plan(t.queue, ["created_at", "item"], "bytes", used or 1.0, 97.5, 0.03 * (used or 0), int(0.96 * n), c("created_at") < F.lit("1992-03-01").cast("date"), t.queue.where("status = 'claimed' and attempts = 4"))
+    return got.select("item", "place", F.round("freed_before", 2).alias("freed_before"), F.round("used_percent_after", 6).alias("used_percent_after"))
 
 
 @query("select coalesce(a.case_id, b.case_id) as case_id, a.s as intake, b.s as metrics from (select case_id, max(status) as s from queue where queue = '1-URGENT' group by 1) a full join (select case_id, max(status) as s from queue where queue = '2-HIGH' group by 1) b on a.case_id = b.case_id")
@@ -178,4 +182,4 @@ def backlog_top(t: Tables):
 
 @query("select case_id, max(created_at) as updated from queue group by case_id")
 def case_recent(t: Tables):
-    return t.queue.groupBy("case_id").agg(F.max("created_at").alias("updated")).orderBy(c("updated").desc_nulls_last(), "case_id")
+    return Q.case_recent(t.queue, "case_id", "created_at")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.functions import predicates as P
 from voxelweave.functions import rules as R
-from voxelweave.operators import windows
+from voxelweave.operators import metrics, windows
 from voxelweave.plans.catalog import Tables, query
 
 c, L = F.col, F.lit
@@ -33,11 +33,16 @@ def bone_qc(t: Tables):
     return counted(t.measures, F.concat(F.when(q["passed"], "pass:").otherwise("fail:"), F.array_join(q["reasons"], ",")))
 
 
-@query("""select case_id, concat(case when hu is null and not coalesce(flag, false) then 'indeterminate' when s >= 70 then 'high' when s >= 35 then 'moderate' else 'low' end, ':', cast(least(s, 100) as varchar)) as value, count(*) as n
- from (select *, case when complete then s0 else greatest(0, s0 - 20) end as s from (select *, case when hu is null then 0 when hu > 160 then 5 when hu >= 100 then 35 else 60 end + case when flag then 35 else 0 end as s0 from (select case_id, flag, complete, case when voxels < 10 then null else hu end as hu from measures))) group by 1, 2""")
+COMPOSITE = """select *, case when hu is null and not coalesce(flag, false) then 'indeterminate' when s >= 70 then 'high' when s >= 35 then 'moderate' else 'low' end as level,
+  concat_ws(',', case label when 'osteoporosis' then 'low_hu' when 'osteopenia' then 'borderline_hu' when 'normal' then 'preserved_hu' end, case when flag then 'fracture_suspicion' when flag is null then 'fracture_unknown' end, case when not ok then 'qc_failed' when ok is null then 'qc_unknown' end) as why
+ from (select *, case when ok = false then greatest(0, s0 - 20) else s0 end as s from (select *, case label when 'osteoporosis' then 60 when 'osteopenia' then 35 when 'normal' then 5 else 0 end + case when flag then 35 else 0 end as s0
+ from (select *, case when hu is null then 'indeterminate' when hu > 160 then 'normal' when hu >= 100 then 'osteopenia' else 'osteoporosis' end as label from ({}))))"""
+
+
+@query("select case_id, concat_ws(':', level, cast(least(s, 100) as varchar), label, why) as value, count(*) as n from (" + COMPOSITE.format("select case_id, flag, case when ordinal % 3 = 0 then null else complete end as ok, case when voxels < 10 then null else hu end as hu from measures") + ") group by 1, 2")
 def osteoporosis_composite(t: Tables):
-    q = R.osteoporosis_composite(L(None).cast("bigint"), F.when(c("voxels") >= 10, c("hu")), c("flag"), c("complete"))
-    return counted(t.measures, F.concat_ws(":", q["level"], q["score"].cast("string")))
+    q = R.osteoporosis_composite(L(None).cast("bigint"), F.when(c("voxels") >= 10, c("hu")), c("flag"), F.when(c("ordinal") % 3 != 0, c("complete")))
+    return counted(t.measures, F.concat_ws(":", q["level"], q["score"].cast("string"), q["label"], F.array_join(q["reasons"], ",")))
 
 
 @query("""select case_id, case when liver is null then 'none' when not complete then 'liver_sample_insufficient' when kvp is null or kvp not between 115 and 125 then 'kvp_out_of_range' when liver >= 50 then 'normal' when voxels < 20 or spleen_hu = 0 then 'spleen_sample_insufficient' when liver / cast(spleen_hu as double) > 1 then 'normal'
@@ -58,19 +63,34 @@ def volume_alert(t: Tables):
     return counted(t.measures, P.volume_alert(organ, c("volume"), c("voxels"), c("flag")))
 
 
-FRAC = "select case_id, a, m, p, greatest(a, m, p) as top, least(a, m, p) as low from (select case_id, 10 + voxels / 10.0 as a, 10 + cast(thickness as double) as m, 14 + spleen_hu / 20.0 as p from measures)"
+# heights and depths on a grid of twentieths, so that every limit is met exactly by some
+FRAC = """select *, case when a is null or top <= 0 then null else (1 - low / top) * 100 end as loss, top / nullif(d, 0) as flat from (select *, greatest(a, m, p) as top, least(a, m, p) as low
+ from (select case_id, ordinal, complete, case when voxels % 17 = 0 then null else cast(voxels % 12 + 9 as double) end as a, cast(spleen_hu % 13 + 8 as double) as m, cast(20 - ordinal % 9 * 2 as double) as p, cast(case when flag then 20 else 40 end as double) as d from measures))"""
+GRADE = f"""select *, case when g > 0 then case when a / p <= cast(0.8 as double) and m / p >= cast(0.85 as double) then 'wedge' when m <= cast(0.8 as double) * least(a, p) and abs(a - p) / greatest(a, p) <= cast(0.15 as double) then 'biconcave'
+  when flat <= cast(0.55 as double) then 'crush' when a = low then 'wedge' when m = low then 'biconcave' when flat <= cast(0.65 as double) then 'crush' end end as pattern
+ from (select *, case when loss > 40 then 3 when loss >= 25 then 2 when loss >= 20 then 1 when loss is not null then 0 end as g from ({FRAC}))"""
+
+
+def _graded(t: Tables):
+    a = F.when(c("voxels") % 17 != 0, (c("voxels") % 12 + 9).cast("double"))
+    m, p = (c("spleen_hu") % 13 + 8).cast("double"), (20 - c("ordinal") % 9 * 2).cast("double")
+    return t.measures.select("*", R.fracture_grade(a, m, p, F.when(c("flag"), 20.0).otherwise(40.0)).alias("g"))
 
 
-@query(f"select case_id, concat(case when (top - low) / top < 0.2 then '0 none' else concat(case when (top - low) / top < 0.25 then '1 ' when (top - low) / top < 0.4 then '2 ' else '3 ' end, case when p = low then 'crush' when m = low then 'biconcave' else 'wedge' end) end) as value, count(*) as n from ({FRAC}) group by 1, 2")
+@query(f"select case_id, concat_ws(' ', cast(g as varchar), coalesce(case g when 0 then 'none' when 1 then 'mild' when 2 then 'moderate' when 3 then 'severe' end, 'indeterminate'), pattern) as value, count(*) as n from ({GRADE}) group by 1, 2")
 def fracture_grade(t: Tables):
-    g = R.fracture_grade(10 + c("voxels") / 10.0, 10 + c("thickness"), 14 + c("spleen_hu") / 20.0)
-    return counted(t.measures, F.concat_ws(" ", g["grade"].cast("string"), g["pattern"]))
+    return counted(_graded(t), F.concat_ws(" ", c("g.grade").cast("string"), c("g.severity"), c("g.pattern")))
 
 
-@query(f"select case_id, max(g) as max_grade, bool_or(g > 0) as suspicion from (select case_id, case when (top - low) / top < 0.2 then 0 when (top - low) / top < 0.25 then 1 when (top - low) / top < 0.4 then 2 else 3 end as g from ({FRAC})) group by case_id")
+@query(f"select case_id, max(g) filter (complete) as max_grade, coalesce(bool_or(g > 0) filter (complete), false) as suspicion, coalesce(case max(coalesce(g, -1)) filter (complete) when 0 then 'none' when 1 then 'mild' when 2 then 'moderate' when 3 then 'severe' end, 'indeterminate') as severity, count(*) filter (complete) as n_analyzed, count(*) filter (not complete) as n_incomplete from ({GRADE}) group by case_id")
 def fracture_rollup(t: Tables):
-    g = R.fracture_grade(10 + c("voxels") / 10.0, 10 + c("thickness"), 14 + c("spleen_hu") / 20.0)
-    return windows.fracture_rollup(t.measures.select("case_id", g["grade"].alias("grade")), ["case_id"])
+    return windows.fracture_rollup(_graded(t).select("case_id", "complete", c("g.grade").alias("grade")), ["case_id"], c("complete"))
+
+
+@query("select case_id, coalesce(try_cast(v as double) > 0.1, false) as value, count(*) as n from (select case_id, case when flag is null then null when ordinal % 3 = 0 then 'none' else cast(spleen_hu * cast(0.01 as double) as varchar) end as v from measures) group by 1, 2")
+def hemorrhage_flag(t: Tables):
+    v = F.when(c("flag").isNotNull(), F.when(c("ordinal") % 3 == 0, "none").otherwise((c("spleen_hu") * 0.01).cast("string")))
+    return counted(t.measures, R.hemorrhage(v))
 
 
 @query("select case_id, case when flag and complete then 'processed' when flag then 'metrics' when voxels > 90 then 'segmentation' when voxels > 80 then 'queued' when voxels > 70 then 'ineligible' when voxels > 60 then 'failed' when voxels > 50 then 'prepare' when voxels > 40 then 'prepared' else 'intake' end as value, count(*) as n from measures group by 1, 2")
@@ -108,9 +128,20 @@ def effusion_qc(t: Tables):
     return windows.effusion_qc(sides, ["case_id"], "v", 50)
 
 
-@query("select case_id, max(case when metric = 'view' then k end) as trabecular, max(case when metric = 'click' then k end) as full, coalesce(max(case when metric = 'view' then k end), max(case when metric = 'click' then k end)) as hu from (select study as case_id, metric, cast(json_extract(measurement, '$.k') as double) as k from payloads) group by case_id")
+PAYLOADS = """select case_id, max(k) filter (metric = 'view' and k % 4 <> 0) as hu_mean, max(k) filter (metric = 'click' and k % 3 <> 0) as vol_hu, max(k) filter (metric = 'click') as full_hu, max(case when k > 80 then 1 when k > 30 then 0 end) filter (metric = 'purchase') = 1 as flag,
+  coalesce(max(case when k > 20 then 1 else 0 end) filter (metric = 'view'), max(case when k > 20 then 1 else 0 end) filter (metric = 'click')) = 1 as ok from (select study as case_id, metric, cast(json_extract(measurement, '$.k') as double) as k from payloads) group by case_id"""
+
+
+@query("select case_id, coalesce(hu_mean, vol_hu) as preferred_hu, full_hu, flag as fracture, ok as qc_pass, level, least(s, 100) as score, label, why as reasons, case when flag then 'review_for_vertebral_fracture_and_consider_dxa' when level = 'high' then 'consider_dxa_or_bone_health_follow_up' when level = 'moderate' then 'nonurgent_bone_health_review' else 'no_immediate_bone_health_escalation' end as recommendation from (" + COMPOSITE.format(f"select *, coalesce(hu_mean, vol_hu, full_hu) as hu from ({PAYLOADS})") + ")")
 def composite_join(t: Tables):
+    """Payloads of three metrics under one case, with values that lack in some."""
     k = F.get_json_object("measurement", "$.k").cast("double")
-    rows = t.payloads.select(c("study").alias("case_id"), "metric", k.alias("k"))
-    got = rows.groupBy("case_id").pivot("metric", ["view", "click"]).agg(F.max("k"))
-    return got.select("case_id", c("view").alias("trabecular"), c("click").alias("full"), F.coalesce("view", "click").alias("hu"))
+    of = lambda m, v: F.max(F.when(c("metric") == m, v))
+    flag = F.when(k > 80, 1).when(k > 30, 0)
+    ok = F.when(k > 20, 1).when(k.isNotNull(), 0)
+    rows = t.payloads.select(c("study").alias("case_id"), "metric", k.alias("k"), flag.alias("flag"), ok.alias("ok"))
+    hu = rows.groupBy("case_id").agg(of("view", F.when(c("k") % 4 != 0, c("k"))).alias("trabecular_hu"), (of("view", c("ok")) == 1).alias("qc_pass"))
+    vol = rows.where("metric = 'click'").groupBy("case_id").agg(F.max(F.when(c("k") % 3 != 0, c("k"))).alias("trabecular_hu"), F.max("k").alias("full_hu"), (F.max("ok") == 1).alias("qc_pass"))
+    frac = rows.groupBy("case_id").agg((of("purchase", c("flag")) == 1).alias("suspicion"))
+    got = metrics.composite(hu, vol, frac, "case_id")
+    return got.select("case_id", "preferred_hu", "full_hu", "fracture", "qc_pass", "level", "score", "label", F.array_join("reasons", ",").alias("reasons"), "recommendation")

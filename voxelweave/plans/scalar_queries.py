@@ -31,10 +31,10 @@ def phase_contrast(t: Tables):
     return t.series.select("uid", S.phase_contrast(c("phase")).alias("contrast"), S.phase_normalize(c("phase")).alias("normal"), S.is_contrast(c("phase")).alias("is_contrast"))
 
 
-@query("select doc_id, strip_accents(lower(substr(text, 1, 200))) as folded from documents where lang <> 'de' or not regexp_matches(text, 'ß')")
+@query("select doc_id, replace(strip_accents(replace(lower(coalesce(text, '')), 'ß', chr(1))), chr(1), 'ß') as folded from documents")
 def text_fold(t: Tables):
     docs = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")
-    return docs.where("lang <> 'de' or not contains(text, 'ß')").select("doc_id", S.text_fold(F.substring("text", 1, 200)).alias("folded"))
+    return docs.select("doc_id", S.text_fold(c("text")).alias("folded"))
 
 
 @query("select p_partkey, try_cast(replace(nullif(regexp_extract(w, '[-+]?[0-9]+(?:[.,][0-9]+)?', 0), ''), ',', '.') as double) as value from (select p_partkey, case p_size % 3 when 0 then concat('W ', replace(cast(p_retailprice as varchar), '.', ','), ' x') when 1 then p_brand else p_name end as w from part)")
@@ -151,10 +151,10 @@ def deidentify_headers(t: Tables):
     return rows.select("p_partkey", c("m")["note"].alias("note"), c("m")["name"].alias("name"))
 
 
-@query("select doc_id, length(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) >= 40 as flagged, length(array_to_string(list_filter(list_transform(string_split(w, chr(10)), lambda s: trim(regexp_replace(s, ' +', ' ', 'g'))), lambda s: s <> ''), chr(10))) as n from (select doc_id, substr(text, 1, 120) as w from documents)")
+@query("select doc_id, length(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) >= 40 as flagged, length(array_to_string(list_filter(list_transform(string_split(w, chr(10)), lambda s: trim(regexp_replace(s, '[\t\n\x0b\f\r ]+', ' ', 'g'))), lambda s: s <> ''), chr(10))) as n from (select doc_id, text as w from documents)")
 def text_normalize_gate(t: Tables):
     docs = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet")
-    g = S.text_gate(F.substring("text", 1, 120), 40)
+    g = S.text_gate(c("text"), 40)
     return docs.select("doc_id", g["flagged"].alias("flagged"), F.length(g["text"]).alias("n"))
 
 

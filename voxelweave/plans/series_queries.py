@@ -173,3 +173,15 @@ def interpolate_gaps(t: Tables):
 def artifact_order(t: Tables):
     df = t.events.withColumn("pos", F.when(c("event_id") % 3 != 0, c("event_id") % 100))
     return windows.artifact_order(df, ["user_id"], "pos", "event_id").select(c("user_id").alias("case_id"), "place", "event_id")
+
+
+@query("select uid, slice_count >= 2 and (probability > 0.8 or modality <> 'CT' or (phase <> 'native' and slice_count % 3 <> 0)) as convertible from (select *, phase from series)")
+def qc_convertible(t: Tables):
+    keep = P.qc_convertible(c("slice_count"), c("probability") > 0.8, c("modality"), c("phase") == "native", c("slice_count") % 3 == 0)
+    return t.series.select("uid", keep.alias("convertible"))
+
+
+@query("select a.uid, a.study, b.slice_count as n_converted, b.uid is not null as converted from series a left join (select * from series where phase_detected) b on a.uid = b.uid")
+def join_converted(t: Tables):
+    done = t.series.where("phase_detected").select("uid", c("slice_count").alias("n_converted"))
+    return S.join_converted(t.series.select("uid", "study"), done, "uid")

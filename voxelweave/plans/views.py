@@ -1,6 +1,7 @@
 """Imaging-shaped views over the driver's star tables, as one SQL text that Spark and DuckDB both read.
 
-{name} stands for a table; {axis} for the engine's way to list the offsets from -6 to 6.
+{name} stands for a table; {offsets} for the engine's way to give each row all offsets from -6 to 6 along three axes,
+{box} for that to give it all places of a box.
 """
 
 from __future__ import annotations
@@ -12,7 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from voxelweave.session import table
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-AXIS = {"spark": "(select explode(sequence(-6, 6)) as d)", "duckdb": "(select unnest(generate_series(-6, 6)) as d)"}
+LATTICES = {"{offsets}": [("dx", -6, 6), ("dy", -6, 6), ("dz", -6, 6)], "{box}": [("dx", 0, 10), ("dy", 0, 8), ("dz", 0, 13)]}
+WAYS = {"spark": "lateral view explode(sequence({1}, {2})) _{0} as {0}", "duckdb": "cross join (select unnest(generate_series({1}, {2})) as {0}) _{0}"}
+
+
+def _spelt(text: str, engine: str) -> str:
+    for name, axes in LATTICES.items():
+        text = text.replace(name, " ".join(WAYS[engine].format(*axis) for axis in axes))
+    return text
+
 
 VIEWS = {
     # sparse label voxels: study, mask, x, y, z and a density value
@@ -21,23 +30,30 @@ VIEWS = {
                cast(l_quantity as int) as y, cast(l_suppkey % 32 as int) as z,
                min(cast(floor(l_extendedprice) as bigint) % 400 - 100) as hu
         from {lineitem} group by 1, 2, 3, 4, 5""",
-    # overlapping balls, three masks a study
+    # balls of three masks a study; three by three they lie so near to each other that some share voxels, some touch and some are apart
     "blobs": """
-        select distinct study, mask, cx + a.d as x, cy + b.d as y, cz + c.d as z
-        from (select cast(floor(s_suppkey / 20) as bigint) as study, cast(s_suppkey % 3 as int) as mask, cast(s_suppkey * 7 % 40 + 8 as int) as cx,
-                     cast(s_suppkey * 11 % 40 + 8 as int) as cy, cast(s_suppkey * 13 % 40 + 8 as int) as cz, cast(3 + s_suppkey % 4 as int) as r from {supplier}) s
-        cross join {axis} a cross join {axis} b cross join {axis} c
-        where a.d * a.d + b.d * b.d + c.d * c.d <= r * r""",
+        select distinct study, mask, cx + dx as x, cy + dy as y, cz + dz as z
+        from (select cast(floor(s_suppkey / 21) as bigint) as study, cast(s_suppkey % 3 as int) as mask,
+                     cast(cast(floor(s_suppkey / 3) as int) * 7 % 40 + 8 + s_suppkey % 3 * (floor(s_suppkey / 3) % 6) as int) as cx,
+                     cast(cast(floor(s_suppkey / 3) as int) * 11 % 40 + 8 as int) as cy, cast(cast(floor(s_suppkey / 3) as int) * 13 % 40 + 8 as int) as cz,
+                     cast(3 + s_suppkey % 4 as int) as r from {supplier}) s {offsets}
+        where dx * dx + dy * dy + dz * dz <= r * r""",
+    # spines of five vertebrae, a box each that is lower in front, in the middle or all along by a loss of up to 6 of 14 voxels, with a gap in front
+    "spine": """
+        select study, mask, x, y, z, (x * 7 + y * 5 + z * 3) % 90 + level * 20 as hu
+        from (select cast(floor(s_suppkey / 5) as bigint) as study, concat('v', cast(s_suppkey % 5 as string)) as mask, s_suppkey % 5 as level, cast(s_suppkey % 7 as int) as loss, cast(floor(s_suppkey / 7) % 3 as int) as kind,
+                     cast(dx + 3 as int) as x, cast(dy + 2 as int) as y, cast(dz + s_suppkey % 5 * 16 + 1 as int) as z, dy, dz from {supplier} s {box}) v
+        where dz < 14 - case when kind = 0 and dy < 3 then loss when kind = 1 and dy between 3 and 5 then loss when kind = 2 then loss else 0 end and not (dy < 2 and dz between 3 and 5)""",
     # work-queue rows
     "queue": """
         select o_orderkey as item, cast(o_custkey as string) as case_id, case o_orderstatus when 'F' then 'done' when 'P' then 'pending' else 'claimed' end as status,
                o_orderdate as created_at, o_orderpriority as queue, cast(o_totalprice as double) as bytes, cast(o_orderkey % 5 as int) as attempts
         from {orders}""",
     "arrivals": "select user_id as study, ts, event_type as caller, event_id from {events}",
-    "telemetry": "select cast(user_id % 20 as bigint) as case_id, event_type as stage, ts, value as gauge, event_id from {events}",
+    "telemetry": "select cast(floor(user_id / 4) as bigint) as case_id, event_type as stage, ts, value as gauge, event_id from {events}",
     # series headers: one row a part and supplier pair, several a study
     "series": """
-        select cast(p_partkey % 97 as bigint) as study, concat('s', lpad(cast(p_partkey as string), 8, '0')) as uid, cast(p_partkey as string) as series_number,
+        select cast(floor(p_partkey / 20) as bigint) as study, concat('s', lpad(cast(p_partkey as string), 8, '0')) as uid, cast(p_partkey as string) as series_number,
                case when p_partkey % 11 = 0 then 'MR' else 'CT' end as modality, concat(p_type, ' ', p_name) as description,
                case p_size % 6 when 0 then 'native' when 1 then 'portal_venous' when 2 then 'arterial' when 3 then 'unknown' when 4 then 'venous' else ' ' end as phase,
                case p_size % 4 when 0 then 'B30f' when 1 then 'Lung 60' when 2 then 'soft standard' else 'bone sharp' end as kernel,
@@ -69,7 +85,10 @@ VIEWS = {
         select l_orderkey as case_id, l_linenumber as ordinal, cast(floor(l_extendedprice) as bigint) % 250 - 20 as hu, cast(floor(l_extendedprice) as bigint) % 90 as spleen_hu,
                case when l_quantity < 5 then null else 90 + l_quantity end as kvp, cast(l_quantity * 2 as int) as voxels, l_linestatus = 'F' as complete,
                case l_returnflag when 'A' then true when 'R' then false else null end as flag, l_discount * 50 as thickness, l_extendedprice / 30 as volume from {lineitem}""",
-    "job_needs": "select concat('j', cast(p_partkey as string)) as job, concat('j', cast(p_partkey + 1 + p_size % 5 as string)) as need, p_size from {part} where p_partkey % 10 < 6",
+    # jobs, fifty a module, and what each needs; the last ones of a module need nothing
+    "job_needs": """
+        select concat('j', cast(p_partkey as string)) as job, p_size,
+               case when floor((p_partkey + 1 + p_size % 5) / 50) = floor(p_partkey / 50) then concat('j', cast(p_partkey + 1 + p_size % 5 as string)) end as need from {part}""",
 }
 
 
@@ -77,14 +96,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or one of the driver's tables, as a DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
-    text = VIEWS[name].replace("{axis}", AXIS["spark"])
+    text = _spelt(VIEWS[name], "spark")
     names = [t for t in TABLES if "{" + t + "}" in text]
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in names})
 
 
 def oracle(sql: str) -> str:
     """DuckDB SQL with the views that it names put before it."""
-    ddl = {n: t.replace("{axis}", AXIS["duckdb"]) for n, t in VIEWS.items()}
+    ddl = {n: _spelt(t, "duckdb") for n, t in VIEWS.items()}
     for t in TABLES:
         ddl = {n: x.replace("{" + t + "}", t) for n, x in ddl.items()}
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]

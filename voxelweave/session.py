@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+#: A frame of at most so many rows may be broadcast; one of more rows is shuffled.
+BROADCAST_ROWS = 100_000
+#: A configuration table has at most so many rows.
+CONFIG_ROWS = 2_000
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,11 +33,16 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or, where that is unset on a local master, a folder of our own.
+
+    On a cluster a folder of the driver's own would be missing on the executors, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-voxelweave-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -48,6 +60,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A join side: broadcast if it has been counted to be small, else sorted and merged."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+def config_rows(df: DataFrame, most: int = CONFIG_ROWS) -> list[Row]:
+    """The rows of a configuration table; ValueError if it is too large to be one."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of configuration")
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -86,12 +86,24 @@ def sink_outbox(events: DataFrame, current: DataFrame) -> DataFrame:
     return new.join(current.select("event_key", "destination").hint("merge"), ["event_key", "destination"], "left_anti")
 
 
-def sink_results(results: DataFrame, path: str) -> None:
-    """The newest published result of each case and metric, by metric partition; a retracted one leaves nothing."""
-    spark = results.sparkSession
-    latest = queues.latest(results, ["case_id", "metric_key"], ["result_ts"], F.col("publish"))
-    latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric_key").parquet(path)
-    spark.catalog.refreshByPath(path)
+def sink_results(results: DataFrame, path: str, batch: int) -> None:
+    """Write the newest result of each case and metric as a batch of the results table; batches are numbered upwards.
+
+    A batch holds its own changes alone, retractions too, and an older batch is never touched; a repeated batch replaces
+    itself. What holds is told by current_results(), newest result_ts first, and of equal ones the later batch.
+    """
+    latest = queues.latest(results, ["case_id", "metric_key"], ["result_ts"], F.lit(True))
+    latest.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def current_results(spark: SparkSession, path: str) -> DataFrame:
+    """The newest published result of each case and metric over all batches; a retracted one is left out."""
+    return queues.latest(spark.read.parquet(path), ["case_id", "metric_key"], ["result_ts", "batch"], F.col("publish")).drop("batch")
+
+
+def compact_results(spark: SparkSession, path: str, to: str, batch: int) -> None:
+    """What all batches say, retractions too, as one batch of a new table; so reading stays cheap after many batches."""
+    queues.latest(spark.read.parquet(path), ["case_id", "metric_key"], ["result_ts", "batch"], F.lit(True)).drop("batch").write.mode("overwrite").parquet(f"{to}/batch={batch}")
 
 
 def materialize_fields(results: DataFrame, payload: str, fields: dict[str, str]) -> DataFrame:
