@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelweave.session import work_uri
+
 SLICE_BYTES = 1 << 19
 U = np.uint64
 _M1, _M2, _BASE = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C55
-_POWERS: dict[str, np.ndarray] = {}
+#: Bytes that hash_spans works on at a time.
+HASH_BYTES = 1 << 20
+_POWERS: list[np.ndarray] = []
 
 #: ASCII white space, by byte.
 SPACE = np.zeros(256, bool)
@@ -34,14 +39,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(20, int(n).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
+def _powers() -> list[np.ndarray]:
+    """The base's powers and those of its inverse, as many as a window has bytes."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(HASH_BYTES + 1, base, np.uint64)
             p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+            _POWERS.append(np.multiply.accumulate(p))
+    return _POWERS
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,11 +77,26 @@ def row_starts(n: int, offs: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, from prefix sums of one polynomial."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _SAME)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * U(_M1))
+    """A 64-bit hash of data[start:end] for each span, from prefix sums of one polynomial.
+
+    Spans are in order and don't overlap. Prefix sums are made for a window at a time; a span that reaches into several
+    adds up what each window has of it.
+    """
+    up, down = _powers()
+    value, out = _LOWER if lower else _SAME, np.zeros(len(start), np.uint64)
+    for a in range(0, len(data), HASH_BYTES):
+        b = min(a + HASH_BYTES, len(data))
+        lo, hi = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
+        if lo >= hi:
+            continue
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(value[data[a:b]] * up[: b - a], out=sums[1:])
+        s, e = np.maximum(start[lo:hi] - a, 0), np.minimum(end[lo:hi], b) - a
+        part = (sums[e] - sums[s]) * down[s]
+        if start[lo] < a:
+            part[:1] *= U(pow(_BASE, int(a - start[lo]), 1 << 64))
+        out[lo:hi] += part
+    return mix(out + (end - start).astype(np.uint64) * U(_M1))
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,12 +144,28 @@ def arrow_rows(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(column))
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """The frame itself, with Arrow batches of few rows from now on in its session: texts are long, and a batch is held whole on both sides."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of few rows for the jobs that run inside; the session's own setting holds again afterwards.
+
+    Texts are long, and a batch is held whole on both sides.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: compressed, and without lineage."""
+    out = work_uri(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that the operators read, under fixed names; so extra columns can't clash."""
-    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import U, arrow_rows, crc_mod3, mix, small_batches, text_slices, words
+from voxelweave.llm.common import U, arrow_rows, crc_mod3, id_and_text, mix, small_batches, text_slices, words
 
 #: Hashed byte n-grams of each of the two lengths.
 TABLE, SIZES = 8192, (3, 4)
@@ -21,23 +21,52 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 OFF_SCRIPT = -40.0
 UNKNOWN = "und"
+#: At most this many values of lang are learnt, the most frequent ones.
+LANGUAGES = 256
+
+# Code points (first, last) by script. 1 Latin, 2 Greek and Coptic, 3 Cyrillic, 4 Armenian and Hebrew,
+# 5 Arabic, 6 Indic, 7 Thai to Georgian, 8 kana, 9 Han, 10 Hangul; any other letter is of script 11, what is no letter of 0
+RANGES = {
+    1: [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA7FF), (0xAB30, 0xAB64), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)],
+    2: [(0x370, 0x3FF), (0x1F00, 0x1FFF), (0x2C80, 0x2CFF)],
+    3: [(0x400, 0x52F), (0x1C80, 0x1C8F), (0xA640, 0xA69F)],
+    4: [(0x530, 0x5FF), (0xFB13, 0xFB4F)],
+    5: [(0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)],
+    6: [(0x900, 0xDFF)],
+    7: [(0xE00, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    8: [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)],
+    9: [(0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
+    10: [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xFFA0, 0xFFDC)],
+}
+_SCRIPT: list[np.ndarray] = []
+
+
+def script_table() -> np.ndarray:
+    """The script of every code point: 0 where it is no letter, else that of its range."""
+    if not _SCRIPT:
+        table = np.full(0x110000, 11, np.int8)
+        for script, ranges in RANGES.items():
+            for first, last in ranges:
+                table[first : last + 1] = script
+        table[~np.fromiter((chr(c).isalpha() for c in range(len(table))), bool, len(table))] = 0
+        _SCRIPT.append(table)
+    return _SCRIPT[0]
+
+
+def scripts_of(data: np.ndarray) -> np.ndarray:
+    """For each byte the script of the character that begins there; 0 within a character."""
+    table = script_table()
+    out = np.where(data < 0x80, table[:128][data & 0x7F], np.int8(0))
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        tail = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int32)
+        first = tail[lead]
+        b1, b2, b3 = (tail[lead + k] & 0x3F for k in (1, 2, 3))
+        two, three = (first & 0x1F) << 6 | b1, (first & 0xF) << 12 | b1 << 6 | b2
+        four = (first & 0x7) << 18 | b1 << 12 | b2 << 6 | b3
+        out[lead] = table[np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))]
+    return out
 
-# Script of a character by its UTF-8 lead byte: 0 none, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian and Hebrew, 5 Arabic,
-# 6 Indic, 7 Thai to Georgian, 8 kana and CJK marks, 9 Han, 10 Hangul, 11 other
-_SCRIPT = np.zeros(256, np.int8)
-_SCRIPT[65:91] = _SCRIPT[97:123] = 1
-_SCRIPT[0xC3:0xCA] = 1
-_SCRIPT[0xCA:0xCD] = 11
-_SCRIPT[0xCD:0xD0] = 2
-_SCRIPT[0xD0:0xD4] = 3
-_SCRIPT[0xD4:0xD8] = 4
-_SCRIPT[0xD8:0xE0] = 5
-_SCRIPT[0xE0] = 6
-_SCRIPT[0xE1] = 7
-_SCRIPT[0xE3] = 8
-_SCRIPT[0xE4:0xEA] = 9
-_SCRIPT[0xEA:0xEE] = 10
-_SCRIPT[0xF0:0xF5] = 11
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -51,7 +80,7 @@ class Features:
         self.start, self.end, self.at = words(data, offs)
         self.script = np.zeros(0, np.int64)
         if len(self.start):  # reduceat runs on to the next word; white space between has script 0
-            self.script = np.maximum.reduceat(_SCRIPT[data], self.start).astype(np.int64)
+            self.script = np.maximum.reduceat(scripts_of(data), self.start).astype(np.int64)
         b = np.concatenate((_FOLD[data], np.full(4, 32, np.uint8))).astype(np.uint64)
         self.rows = []
         for k, size in enumerate(SIZES):
@@ -66,20 +95,23 @@ def _counts(languages: list[str]):
     code = {x: k for k, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * ROWS, np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             lang = np.array([code[x] for x in arrow_rows(batch, "lang").to_pylist()], np.int64)
             for i, j, data, offs in text_slices(batch, "text"):
                 f = Features(data, offs)
                 if not len(f.start):
                     continue
-                of_byte = np.repeat(lang[i:j], np.diff(offs)) * ROWS
+                here, mine = np.unique(lang[i:j], return_inverse=True)
+                of_byte, of_word = np.repeat(mine, np.diff(offs)) * ROWS, np.repeat(mine, np.diff(f.at)) * ROWS
+                n = np.bincount(of_word + TABLE * len(SIZES) + f.script, minlength=len(here) * ROWS)
                 for rows in f.rows:
-                    total += np.bincount(of_byte + rows, minlength=len(total))
-                of_word = np.repeat(lang[i:j], np.diff(f.at)) * ROWS
-                total += np.bincount(of_word + TABLE * len(SIZES) + f.script, minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used // ROWS), pa.array(used % ROWS), pa.array(total[used])], ["lang", "row", "n"])
+                    n += np.bincount(of_byte + rows, minlength=len(n))
+                for x, counts in zip(here.tolist(), n.reshape(len(here), ROWS)):
+                    total[x] = total[x] + counts if x in total else counts.copy()
+        for x, counts in total.items():
+            used = np.flatnonzero(counts)
+            yield pa.record_batch([pa.array(np.full(len(used), x)), pa.array(used), pa.array(counts[used])], ["lang", "row", "n"])
 
     return run
 
@@ -142,14 +174,18 @@ def viterbi(s: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
 def learn(docs: DataFrame) -> Model | None:
     """A model of all documents with text and language whose id is not held out; None where there are none.
 
-    Every task sends its counts by language and n-gram row; these are summed by key, and what comes to the driver has
+    Of more than LANGUAGES values the most frequent are learnt, ties by name. Rows that repeat an id all count; empty
+    texts teach nothing. Every task sends its counts by language and n-gram row; these are summed by key, and what comes to the driver has
     languages x ROWS rows at most, whatever the size of the corpus.
     """
-    rows = small_batches(docs).where("text is not null and lang is not null and doc_id is not null").where(crc_mod3(F.col("doc_id")) != 1).select("text", "lang")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(crc_mod3(F.col("doc_id")) != 1).select("text", "lang")
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    languages = sorted(r[0] for r in often.collect())
     if not languages:
         return None
-    got = rows.mapInArrow(_counts(languages), "lang long, row long, n long").groupBy("lang", "row").agg(F.sum("n").alias("n")).toPandas()
+    with small_batches(docs.sparkSession):
+        counted = rows.where(F.col("lang").isin(languages)).mapInArrow(_counts(languages), "lang long, row long, n long")
+        got = counted.groupBy("lang", "row").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), ROWS))
     counts[got["lang"].to_numpy(), got["row"].to_numpy()] = got["n"].to_numpy()
     return Model(languages, counts)
@@ -164,7 +200,6 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.strin
 
 def _label(model: Model | None, batch: pa.RecordBatch) -> Iterator[tuple[int, int, list, list, list]]:
     """For slices of a batch: language, score and spans (code points) of each row."""
-    texts = arrow_rows(batch, "text")
     for i, j, data, offs in text_slices(batch, "text"):
         f = Features(data, offs)
         lang, score, spans = [UNKNOWN] * (j - i), [0.0] * (j - i), [[] for _ in range(j - i)]
@@ -176,7 +211,7 @@ def _label(model: Model | None, batch: pa.RecordBatch) -> Iterator[tuple[int, in
             if scores is None or a == b:
                 continue
             mine, scripts = scores[a:b], f.script[a:b]
-            if not scripts.any() or not (scripts == 1).any() and not _lettered(texts[i + k].as_py()):
+            if not scripts.any():  # no letter
                 continue
             path = viterbi(mine)
             weight = np.bincount(path, weights=size[a:b] * (scripts > 0), minlength=len(model.languages))
@@ -196,8 +231,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """doc_id, lang_pred, score and spans (array of start, end, lang; code points) of every whole text.
 
     The language is the one that most of the letters' words were labelled with; the score is its share of them times
-    how sure those words are against the other languages. `und` with score 0 where the text is null or has no letter,
-    or where nothing could be learnt.
+    how sure those words are against the other languages. `und` with score 0 where the text is null or has no letter (of
+    any script), or where nothing could be learnt. Ties go to the first language by name. Rows that repeat an id or have
+    none are labelled each; columns besides the two are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +241,14 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             for i, j, lang, score, spans in _label(model, batch):
                 yield pa.record_batch([arrow_rows(batch, "doc_id").slice(i, j - i), pa.array(lang), pa.array(score), pa.array(spans, pa.list_(_SPAN))], ["doc_id", "lang_pred", "score", "spans"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
 
 
 def kept_by_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, all columns, whose language is known with a score of at least `least`.
+    """The documents, all columns whatever their names, whose language is known with a score of at least `least`.
 
-    The model is learnt from the documents themselves. Where nothing can be learnt all lettered texts stay.
+    The model is learnt from the documents themselves. Where nothing can be learnt all lettered texts stay. Null, empty
+    and letterless texts go; rows that repeat an id are judged each by their own text.
     """
     model, names = learn(docs), docs.columns
 
@@ -229,6 +265,7 @@ def kept_by_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score and n_spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, learn(docs))
     held = (F.coalesce(crc_mod3(F.col("doc_id")), F.lit(0)) == 1).alias("held_out")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import SPACE, U, arrow_rows, crc_mod3, hash_spans, id_and_text, mix, row_starts, text_slices
+from voxelweave.llm.common import SPACE, U, arrow_rows, crc_mod3, hash_spans, id_and_text, mix, row_starts, small_batches, text_slices
 
 #: Rows of the word-vector table, its first ones for the shapes of words; dimensions of a vector.
 TABLE, SHAPES, DIMS = 8192, 64, 32
@@ -27,7 +27,8 @@ _KIND = np.where(_CLASS == 2, 1, _CLASS)  # capitals and small letters are one k
 
 #: Each table row has a sparse index vector: two dimensions, each with a sign.
 _H = mix(np.arange(TABLE, dtype=np.uint64) + U(0xABCDEF))
-NONZERO = [((_H >> U(8 * k)) % U(DIMS)).astype(np.int64) for k in range(2)]
+NONZERO = [(_H % U(DIMS)).astype(np.int64)]
+NONZERO.append((NONZERO[0] + 1 + ((_H >> U(8)) % U(DIMS - 1)).astype(np.int64)) % DIMS)  # never the first one again
 SIGN = [np.where((_H >> U(40 + k)) & U(1), 1.0, -1.0) for k in range(2)]
 
 
@@ -88,7 +89,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """
     names = [f"d{k}" for k in range(DIMS)]
     rows = docs.mapInArrow(_contexts, "row long, " + ", ".join(f"{c} long" for c in names))
-    got = rows.groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    with small_batches(docs.sparkSession):
+        got = rows.groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
     vectors = np.zeros((TABLE, DIMS))
     vectors[got["row"].to_numpy()] = got[names].to_numpy()
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -161,8 +163,20 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(known), "doc_id")
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row (doc_id, quality, x) an id: where several rows share an id, that with the least features x.
+
+    Each task sends at most a row an id, so what is learnt from is bounded by the number of ids however often one repeats.
+    """
+    return rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("least")).select("doc_id", "least.quality", "least.x")
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, Network | float]:
-    """Word vectors of all documents and a network learnt from the labelled ones; a constant if they are of one kind."""
+    """Word vectors of all documents and a network learnt from the labelled ones; a constant if they are of one kind.
+
+    Held-out rows teach nothing. A document with several labels has the highest, rows that repeat an id count once, and
+    without any label the constant is 0.5.
+    """
     docs = id_and_text(docs)
     vectors = word_vectors(docs)
 
@@ -173,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.
                 x = pooled(vectors, data, offs)
                 yield pa.record_batch([arrow_rows(batch, "doc_id").slice(i, j - i), y.slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = learning_rows(docs, labels, most).mapInArrow(features, "doc_id long, quality int, x binary").toPandas().sort_values(["doc_id", "x"])
+    with small_batches(docs.sparkSession):
+        got = one_each(learning_rows(docs, labels, most).mapInArrow(features, "doc_id long, quality int, x binary")).toPandas().sort_values("doc_id")
     y = got["quality"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return vectors, float(y[0]) if len(y) else 0.5
@@ -181,7 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network | float]) -> DataFrame:
-    """doc_id, score, predicted of every whole text; a null or empty text is scored as one without words."""
+    """doc_id, score, predicted of every whole text; a null or empty text is scored as one without words.
+
+    Rows that repeat an id or have none are scored each; columns besides the two are not read.
+    """
     vectors, network = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +213,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | float]) -> DataFra
 
 
 def kept_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, that the classifier does not reject (score at least 0.5)."""
+    """The documents, all columns whatever their names, that the classifier does not reject (score at least 0.5).
+
+    Null and empty texts are judged as texts without words; rows that repeat an id are judged each by their own text.
+    """
     vectors, network = fit(docs, labels)
     names = docs.columns
 
@@ -210,6 +231,7 @@ def kept_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", (F.coalesce(crc_mod3(F.col("doc_id")), F.lit(0)) == 1).alias("held_out"), "score", "predicted")

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voxelweave.llm.common import U, arrow_rows, hash_spans, id_and_text, mix, text_slices, words
-from voxelweave.llm.quality_classifier import learning_rows
+from voxelweave.llm.common import U, arrow_rows, hash_spans, id_and_text, mix, small_batches, text_slices, words
+from voxelweave.llm.quality_classifier import learning_rows, one_each
 
 #: Hashed dimensions (half for words and pairs of words, half for character n-grams), and labelled rows at most.
 DIMS, TRAIN_ROWS = 4096, 6000
@@ -110,7 +110,10 @@ class Regression:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Regression | float:
-    """A regression learnt from at most `most` labelled documents that are not held out; a constant if all are alike."""
+    """A regression learnt from at most `most` labelled documents that are not held out; a constant if all are alike.
+
+    A document with several labels has the highest, rows that repeat an id count once, and without any label all pass.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Regressio
                 x = ngrams(data, offs).astype(np.float16)
                 yield pa.record_batch([arrow_rows(batch, "doc_id").slice(i, j - i), arrow_rows(batch, "quality").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = learning_rows(id_and_text(docs), labels, most).mapInArrow(features, "doc_id long, quality int, x binary").toPandas().sort_values(["doc_id", "x"])
+    with small_batches(docs.sparkSession):
+        got = one_each(learning_rows(id_and_text(docs), labels, most).mapInArrow(features, "doc_id long, quality int, x binary")).toPandas().sort_values("doc_id")
     y = got["quality"].to_numpy().astype(np.float32)
     if len(set(y)) < 2:
         return float(y[0]) if len(y) else 1.0
@@ -133,7 +137,7 @@ def judge(docs: DataFrame, model: Regression | float, threshold: float = THRESHO
 
     base_failed: fewer than `least_words` words, or over `most_repeated` percent of them in three-word windows that
     the text has twice. kept: not base_failed, and the probability reaches the threshold. A null or empty text has no words and
-    fails.
+    fails. Rows that repeat an id or have none are judged each; columns besides the two are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,5 +153,6 @@ def judge(docs: DataFrame, model: Regression | float, threshold: float = THRESHO
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Per document: the counted features, base_failed, quality and kept."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return judge(docs, fit(docs, labels))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import arrow_rows, id_and_text
+from voxelweave.llm.common import arrow_rows, id_and_text, small_batches
 from voxelweave.llm.token_cache import encoded_slices, encoder
 from voxelweave.session import cut, work_uri
 
@@ -117,7 +117,8 @@ def write_tokens(docs: DataFrame, uri: str, path: str, kind: str = "plain", end:
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_order = id_and_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return cut(in_order.mapInArrow(_writer(uri, path, kind, end, shard_bytes), _MANIFEST))
+    with small_batches(docs.sparkSession):
+        return cut(in_order.mapInArrow(_writer(uri, path, kind, end, shard_bytes), _MANIFEST))
 
 
 def _reader(uri: str, shuffled: bool):

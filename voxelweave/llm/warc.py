@@ -76,7 +76,10 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
 
 
 class Archive:
-    """Numbered files of one task, under attempt names until whole."""
+    """Numbered files of one task attempt, named by it.
+
+    No attempt touches another's files; the manifest names those of the attempt that Spark committed.
+    """
 
     def __init__(self, uri: str, task: int, attempt: int, most: int):
         self.fs, self.root = pafs.FileSystem.from_uri(uri)
@@ -86,8 +89,8 @@ class Archive:
 
     def add(self, data: bytes) -> None:
         if self.out is None:
-            self.name, self.size = f"part-{self.task:06d}-{self.number:04d}.warc.gz", 0
-            self.out = self.fs.open_output_stream(f"{self.root}/_{self.name}.{self.attempt}", compression=None)
+            self.name, self.size = f"part-{self.task:06d}-{self.number:04d}-{self.attempt}.warc.gz", 0
+            self.out = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None)
         self.out.write(data)
         self.size += len(data)
         if self.size >= self.most:
@@ -96,7 +99,6 @@ class Archive:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(f"{self.root}/_{self.name}.{self.attempt}", f"{self.root}/{self.name}")
             self.done.append(self.name)
             self.out, self.number = None, self.number + 1
 
@@ -139,10 +141,10 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     Of rows with equal payloads of at least `least_bytes` the one with the smallest id is the response and the others
     revisit it; the smallest id is a partial aggregate over digests, and only digests and ids meet in the join. Payloads
     are shuffled once. A null payload counts as empty. Rows that repeat both id and payload are records of their own
-    and share their kind; rows without an id are responses.
+    and share their kind; rows without an id are responses. An empty table gives no file; other columns are not read.
     """
     payload = F.encode(F.coalesce(pages[payload_col].cast("string"), F.lit("")), "UTF-8")
-    base = small_batches(pages).select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
+    base = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumn("sha", F.sha2("payload", 256))
     ids = base.where(F.octet_length("payload") >= least_bytes).select("page_id", "sha")
     first = ids.groupBy("sha").agg(F.min("page_id").alias("first_id"))
@@ -152,7 +154,8 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     first_key = F.when(F.col("first_id").isNotNull(), F.concat_ws("-", F.col("first_id").cast("string"), "sha"))
     copy = F.row_number().over(W.partitionBy("page_id", "sha").orderBy("url"))
     rows = rows.select("page_id", "url", "payload", "first_id", key.alias("key"), first_key.alias("first_key"), copy.alias("copy"))
-    return cut(rows.mapInArrow(_writer(uri, segment_bytes, file_bytes), "file string"))
+    with small_batches(pages.sparkSession):
+        return cut(rows.mapInArrow(_writer(uri, segment_bytes, file_bytes), "file string"))
 
 
 def _members(stream) -> Iterator[bytes]:
@@ -252,10 +255,12 @@ def read_warc(files: DataFrame, uri: str) -> DataFrame:
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
+    """Per page, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     uri = work_uri(spark, "warc")
     files = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), uri)
     records = read_warc(files, uri)
-    records = cut(records.select("record_id", "page_id", F.octet_length("payload").cast("long").alias("n"), "payload_digest", "record_type", "refers_to_record", "refers_to"))
+    with small_batches(spark):
+        records = cut(records.select("record_id", "page_id", F.octet_length("payload").cast("long").alias("n"), "payload_digest", "record_type", "refers_to_record", "refers_to"))
     full = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("n").alias("full"))
     out = records.join(full.hint("merge"), "refers_to_record", "left")
     return out.select("page_id", F.coalesce("n", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
