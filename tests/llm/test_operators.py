@@ -151,6 +151,7 @@ def test_repeated_passages_go(spark, edge):
             left.append(src[last : s.start])
             last = s.end
         assert r.text == "".join([*left, src[last:]])
+        assert r.n_words == len(WORD.findall(r.text)) and r.n_words_before == len(WORD.findall(src))
 
 
 def test_chunks_resist_shifts():

@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import SPACE, U, arrow_rows, id_and_text, mix, row_starts, text_slices, words
-from voxelweave.session import cut
+from voxelweave.llm.common import SPACE, U, arrow_rows, id_and_text, mix, row_starts, small_batches, text_slices, words, written
 
 #: Mean words of a chunk, and the fewest words in a row that count as a repeated passage.
 MEAN_WORDS, RUN_WORDS = 4, 16
@@ -108,7 +107,12 @@ def _units(mean_words: int, whole: bool):
     return run
 
 
-OUT = "doc_id long, text string, n_words long, n_chunks long, n_repeated_chunks long, removed_words long, removed_spans array<struct<start:long,end:long>>"
+OUT = "doc_id long, text string, n_words long, n_words_before long, n_chunks long, n_repeated_chunks long, removed_words long, removed_spans array<struct<start:long,end:long>>"
+
+
+def _n_words(text: str) -> int:
+    data = np.frombuffer(text.encode("utf-8"), np.uint8)
+    return len(words(data, np.array([0, len(data)]))[0])
 
 
 def _remove(mean_words: int, run_words: int, run_chars: int):
@@ -143,7 +147,7 @@ def _remove(mean_words: int, run_words: int, run_chars: int):
                             if n >= run_words or solid[e] - solid[s] >= run_chars:
                                 spans.append((s - int(lo), e - int(lo)))
                                 gone += n
-                    text = texts[i + k].as_py()
+                    text, before = texts[i + k].as_py(), int(word_at[k + 1] - word_at[k])
                     if spans:
                         kept, last = [], 0
                         for s, e in spans:
@@ -153,27 +157,28 @@ def _remove(mean_words: int, run_words: int, run_chars: int):
                         # spans are told in code points
                         chars = np.concatenate(([0], np.cumsum((data[lo:hi] & 0xC0) != 0x80)))
                         spans = [{"start": int(chars[s]), "end": int(chars[e])} for s, e in spans]
-                    rows.append({"doc_id": ids[i + k].as_py(), "text": text, "n_words": int(word_at[k + 1] - word_at[k]), "n_chunks": len(mine), "n_repeated_chunks": hits, "removed_words": gone, "removed_spans": spans})
+                    rows.append({"doc_id": ids[i + k].as_py(), "text": text, "n_words": _n_words(text) if spans else before, "n_words_before": before, "n_chunks": len(mine), "n_repeated_chunks": hits, "removed_words": gone, "removed_spans": spans})
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
     return run
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_chunks", pa.int64()), ("n_repeated_chunks", pa.int64()), ("removed_words", pa.int64()), ("removed_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_words_before", pa.int64()), ("n_chunks", pa.int64()), ("n_repeated_chunks", pa.int64()), ("removed_words", pa.int64()), ("removed_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
 def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
     """doc_id and its units that an earlier (doc_id, place) has too, as (idx, digest).
 
     A first pass counts digests alone, summed before the shuffle; only units whose digest occurs more than once are then
-    told apart by place. The joins are on digests that both sides have been dealt by, so adaptive execution splits a
-    passage that a third of the documents hold.
+    told apart by place. These and the first place of each are written out before they meet, so the joins stand on
+    exchanges of their own, which adaptive execution splits where a third of the documents hold a passage.
     """
     named = docs.where("doc_id is not null")
     often = named.mapInArrow(_units(mean_words, False), "digest long").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     every = named.mapInArrow(_units(mean_words, True), "digest long, doc_id long, idx int")
-    some = cut(every.join(often.hint("merge"), "digest"))
-    first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "idx")).alias("first"))
+    with small_batches(docs.sparkSession):
+        some = written(every.join(often.hint("merge"), "digest"), "repeated-units")
+    first = written(some.groupBy("digest").agg(F.min(F.struct("doc_id", "idx")).alias("first")), "first-units")
     later = some.join(first.hint("merge"), "digest").where("struct(doc_id, idx) <> first")
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("idx", "digest")).alias("__repeated"))
 
@@ -184,7 +189,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are cut into variable chunks by a gear hash; a unit of two chunks is repeated if its digest
     occurs at an earlier (doc_id, place). Chunks in a row that repeated units cover go if they hold at least `run_words` words together,
     or `run_chars` code points outside white space, so stock phrases and single lines stay and text without white space
-    is not spared. Returns doc_id, the text that is left, n_words, n_chunks,
+    is not spared. Returns doc_id, the text that is left, n_words (of that text), n_words_before (of the whole one), n_chunks,
     n_repeated_chunks (those that repeated units cover), removed_words (those that begin in what went; none
     inside a longer unspaced run) and removed_spans (code points of the original, end exclusive).
 
@@ -197,11 +202,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Per document: the text that is left, its words, and what went."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def repeats_removed(docs: DataFrame) -> DataFrame:
-    """The documents, all columns in place whatever their names, with repeated passages taken out of their text."""
+    """The documents, all columns in place whatever their names, with repeated passages taken out of their text.
+
+    Nulls, empty texts and rows that repeat an id as in remove_repeats().
+    """
     names = docs.columns
     marks = repeated_chunks(id_and_text(docs))
     inner = _remove(MEAN_WORDS, RUN_WORDS, RUN_CHARS)
