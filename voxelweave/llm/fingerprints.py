@@ -69,9 +69,11 @@ def merge_groups(sketches: DataFrame, keys: list[str], column: str = "sketch", k
     return near.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set("_hash")), 1, k).alias(column))
 
 
-def followed(docs: DataFrame, key: str, columns: list[str], tie: str) -> DataFrame:
+def followed(docs: DataFrame, key: str, columns: list[str], tie: str, derive=lambda rows: rows) -> DataFrame:
     """Every row with its successor's columns (next_<name>) by descending key; the last is followed by the first.
 
+    derive adds columns to the rows before they are dealt, once to each row.
+
     Rows are dealt by ranges of the key into buckets, of which there are a few times as many as shuffle partitions. Each
     bucket's first row also goes to the end of the bucket before it, so one shuffle gives every row its
     successor. To the driver come one quantile and one first key a bucket.
@@ -94,7 +96,7 @@ def followed(docs: DataFrame, key: str, columns: list[str], tie: str) -> DataFra
     copies = docs.join(F.broadcast(ends), docs[key] == ends["_head"]).drop("_head")
     copies = copies.withColumnRenamed("_to", "_bucket").withColumn("_end", F.lit(1))
     w = W.partitionBy("_bucket").orderBy(F.col("_end"), F.col(key).desc(), F.col(tie).desc())
-    both = ordered.withColumn("_end", F.lit(0)).unionByName(copies)
+    both = derive(ordered.withColumn("_end", F.lit(0)).unionByName(copies))
     for c in columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
     return both.where("_end = 0").drop("_end", "_bucket")
@@ -112,9 +114,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    base = base.withColumn("_key", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("_words", words_of(F.col("text")))
-    base = base.withColumn("sketch", sketch_of(F.col("_words"), width, k)).drop("_words")
-    rows = followed(base, "_key", ["text", "sketch"], "text")
+    base = base.withColumn("_key", F.coalesce("doc_id", F.lit(LOWEST)))
+    sketched = lambda rows: rows.withColumn("_words", words_of(F.col("text"))).withColumn("sketch", sketch_of(F.col("_words"), width, k)).drop("_words")
+    rows = followed(base, "_key", ["text", "sketch"], "text", sketched)
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))
@@ -130,4 +132,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Per document: fingerprints of its text and its edited text, and how alike they and the next one's are."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
