@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     before = None
     while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # written out, so that the join's exchanges can be split
         large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: neighbours that are smaller, and the node itself, go to the smallest of them

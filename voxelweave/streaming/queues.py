@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -77,7 +77,10 @@ def handoff_dedup(handoffs: DataFrame, key: str = "digest") -> DataFrame:
 
 
 class _Flush(StatefulProcessor):
-    """Per study the open session; it closes by a timer once idle, or at once by a control row."""
+    """Per study the open session; it closes by a timer once idle, or at once by a control row.
+
+    Rows that lie the limit or more before the open session came late: they are sessions of their own, told at once.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -86,20 +89,32 @@ class _Flush(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "n long, first long, last long, caller string")
 
+    @staticmethod
+    def _told(key, n, first, last, caller) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], n, pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), caller)], columns=["study", "n", "first_at", "last_at", "caller"])
+
     def _closed(self, key) -> Iterator[pd.DataFrame]:
-        n, first, last, caller = self.open.get()
+        said = self.open.get()
         self.open.clear()
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        yield pd.DataFrame([(key[0], n, pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), caller)], columns=["study", "n", "first_at", "last_at", "caller"])
+        yield self._told(key, *said)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        idle, early = self.idle_ms * 1000, None
         for frame in rows:
             for r in frame.sort_values("ts").itertuples(index=False):
                 at = r.ts.value // 1000
                 if self.open.exists():
                     n, first, last, caller = self.open.get()
-                    if r.flush or at - last >= self.idle_ms * 1000:
+                    if not r.flush and first - at >= idle:
+                        if early and at - early[2] >= idle:
+                            yield self._told(key, *early)
+                            early = None
+                        n, first, last, caller = early or (0, at, at, None)
+                        early = (n + 1, min(first, at), max(last, at), r.caller if r.caller else caller)
+                        continue
+                    if r.flush or at - last >= idle:
                         yield from self._closed(key)
                 if r.flush:
                     continue
@@ -108,6 +123,8 @@ class _Flush(StatefulProcessor):
                 for t in self.handle.listTimers():
                     self.handle.deleteTimer(t)
                 self.handle.registerTimer(max(last, at) // 1000 + self.idle_ms)
+        if early:
+            yield self._told(key, *early)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
@@ -141,23 +158,62 @@ def queue_current(events: DataFrame, key: str = "item_id") -> DataFrame:
     return events.groupBy("queue", key).agg(F.max_by("status", "event_time").alias("status"), F.max("event_time").alias("event_time"))
 
 
-def upsert_sink(stream: DataFrame, target: str, key: list[str], checkpoint: str):
-    """Start writing update-mode rows to a Parquet table as its newest state: each batch replaces the rows of its keys.
+def force_flush(open_studies: DataFrame, at: Column) -> DataFrame:
+    """A control row (study, ts, caller, flush) for every open study, to be added to the arrivals: all sessions close at once."""
+    return open_studies.select("study", at.alias("ts"), F.lit(None).cast("string").alias("caller"), F.lit(True).alias("flush")).distinct()
+
+
+#: Parts that a table of newest states is kept in; a batch writes those anew that it has keys in.
+BUCKETS = 64
+
 
-    The table is written anew beside the old one and its name is kept in a pointer directory by batch number, so a
-    repeated batch gives the same table.
+def upsert_sink(stream: DataFrame, target: str, key: list[str], checkpoint: str, buckets: int = BUCKETS):
+    """Start writing update-mode rows to a table of newest states: each batch replaces the rows of its keys.
+
+    Rows are kept in buckets by a hash of the key. A batch writes the buckets that it has keys in as
+    target/bucket=B/batch=N, and which batch holds each bucket as target/_latest/N. A repeated batch starts from the
+    list before it, so it gives the same table; what neither this list nor the one before names is deleted.
     """
+    import pyarrow.fs as pafs
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, out = batch.sparkSession, f"{target}/batch={batch_id}"
-        old = f"{target}/batch={batch_id - 1}"
-        try:
-            before = spark.read.parquet(old)
-            kept = before.join(batch.select(*key).distinct().hint("merge"), key, "left_anti").unionByName(batch)
-        except Exception as missing:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(missing) or batch_id > 0:
-                raise
-            kept = batch
-        kept.write.mode("overwrite").parquet(out)
+        spark = batch.sparkSession
+        fs, root = pafs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
+        before = _latest(fs, root, batch_id - 1)
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # a number of buckets at most
+        old = [f"{target}/bucket={b}/batch={before[b]}" for b in touched if b in before]
+        merged = rows
+        if old:
+            kept = spark.read.option("basePath", target).parquet(*old).drop("batch")
+            merged = kept.join(rows.select(*key).distinct().hint("merge"), key, "left_anti").unionByName(rows)
+        merged.withColumn("batch", F.lit(batch_id)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(target)
+        rows.unpersist()
+        now = before | {b: batch_id for b in touched}
+        fs.create_dir(f"{root}/_latest", recursive=True)
+        with fs.open_output_stream(f"{root}/_latest/{batch_id}") as out:
+            out.write("".join(f"{b} {n}\n" for b, n in sorted(now.items())).encode())
+        for b in touched:
+            for f in fs.get_file_info(pafs.FileSelector(f"{root}/bucket={b}")):
+                if f.base_name.startswith("batch=") and int(f.base_name[6:]) not in (batch_id, before.get(b)):
+                    fs.delete_dir(f.path)
 
     return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def _latest(fs, root: str, batch_id: int) -> dict[int, int]:
+    """The batch that holds each bucket after a batch; none before the first."""
+    if batch_id < 0:
+        return {}
+    with fs.open_input_stream(f"{root}/_latest/{batch_id}") as f:
+        return {int(b): int(n) for b, n in (line.split() for line in f.read().decode().splitlines())}
+
+
+def read_states(spark, target: str) -> DataFrame:
+    """The table that upsert_sink() keeps, as of its last whole batch."""
+    import pyarrow.fs as pafs
+
+    fs, root = pafs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
+    last = max(int(f.base_name) for f in fs.get_file_info(pafs.FileSelector(f"{root}/_latest")))
+    paths = [f"{target}/bucket={b}/batch={n}" for b, n in _latest(fs, root, last).items()]
+    return spark.read.option("basePath", target).parquet(*paths).drop("bucket", "batch")
