@@ -15,30 +15,46 @@ from voxelweave.session import work_uri
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; texts without letters and mixtures without a main language go."""
+    """Documents in a language that the model knows; texts without letters and mixtures without a main language go.
+
+    So do null and empty texts. Rows without an id teach nothing and are judged as any other; without rows to learn from
+    all texts with a letter stay. An empty table stays empty, in this stage and all others.
+    """
     return language_id.kept_by_language(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labelled ones, does not reject."""
+    """Documents that the classifier, learnt from the labelled ones, does not reject; without labels all stay.
+
+    Null and empty texts are judged as texts without words, rows without an id by their text alone.
+    """
     return quality_classifier.kept_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; similarity from 0.8 on."""
+    """One document of each group of near copies, that with the smallest id; similarity from 0.8 on.
+
+    Rows without an id and texts without words link with nothing and stay; rows that repeat the smallest id all stay.
+    """
     gone = near_dedup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without passages that an earlier one has; documents of which no word is left go."""
+    """The documents without passages that an earlier one has; documents of which no word is left go.
+
+    Null and wordless texts that came without words stay if n_chars says 0 or is null; rows without an id stay whole.
+    """
     left = substring_dedup.repeats_removed(docs)
     gone = (F.col("n_chars") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     return left.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row a piece of the documents packed into sequences of 1024 tokens."""
+    """A row a piece of the documents packed into sequences of 1024 tokens.
+
+    A null or empty text is one piece, the end id; rows without an id and rows that repeat one are packed as they come.
+    """
     import public_tokenizers
 
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
