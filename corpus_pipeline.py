@@ -3,10 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the
 columns of documents. The stages are written as Parquet and read again by whoever runs them; run() does so in the
 shared folder.
+
+Texts are long, and a batch of rows is held whole by the JVM and by Python; so each stage asks its session for Arrow batches of
+1000 rows, which hold from there on, as a stage is computed by whoever writes it. run() puts the setting back. The
+operators by themselves set nothing.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +20,21 @@ from voxelweave.llm import language_id, near_dedup, packing, quality_classifier,
 from voxelweave.session import work_uri
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage(f):
+    """A stage whose session works on small batches."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(ROWS, "1000")
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; texts without letters and mixtures without a main language go.
 
@@ -23,6 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.kept_by_language(docs)
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labelled ones, does not reject; without labels all stay.
 
@@ -31,6 +53,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.kept_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; similarity from 0.8 on.
 
@@ -40,6 +63,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
+@stage
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without passages that an earlier one has; documents of which no word is left go.
 
@@ -50,6 +74,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a piece of the documents packed into sequences of 1024 tokens.
 
@@ -69,9 +94,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        out = work_uri(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(ROWS)
+    try:
+        for name, f in STAGES:
+            out = work_uri(spark, f"pipeline-{name}")
+            f(spark, docs, sf_dir).write.parquet(out)
+            docs = spark.read.parquet(out)
+    finally:
+        spark.conf.set(ROWS, before)
     return docs
