@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import U, arrow_rows, id_and_text, mix, shingle_hashes, text_slices
+from voxelweave.llm.common import U, arrow_rows, id_and_text, mix, shingle_hashes, small_batches, text_slices
 from voxelweave.operators.graph import connected_components
 from voxelweave.session import cut
 
@@ -198,14 +198,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable, itself included) and kept. Equal shingle sets
     are folded to one representative first, so thousands of copies cost one row. Representatives that share a band of
     registers meet in a bucket; each is compared with the bucket's smallest and with its largest, and the verified
-    links are contracted to components. What a bucket then still holds of different components is compared in blocks
-    by registers, so no link is lost to the first choice of partners while a group of near copies never
-    becomes all its pairs. Every candidate is confirmed on whole shingle sets.
+    links are contracted to components, so a group of near copies takes comparisons in proportion to its rows. What a
+    bucket then still holds of different components, texts that are alike but mostly below the limit, is compared in
+    blocks by registers, so no link is lost to the choice of partners; only there comparisons of registers, not rows that
+    are shuffled, grow with the square of a bucket. Every candidate is confirmed on whole shingle sets.
 
     Null or wordless texts have empty sets and link with nothing. Rows without an id are kept and link with nothing
     (component_id null). Rows that repeat a doc_id count as one document; each gets its row in the result.
+    An empty table gives an empty result; columns besides the two are not read.
     """
-    docs = id_and_text(docs, id_col, text_col)
+    with small_batches(docs.sparkSession):
+        return _groups(id_and_text(docs, id_col, text_col), percent)
+
+
+def _mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (band, rep, component) of the buckets that hold more than one component, with the number of a bucket's rows.
+
+    The aggregate is written out before it meets the rows, so the join stands on exchanges of its own, which adaptive
+    execution splits where a bucket is large.
+    """
+    rest = buckets.join(parts.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    rest = cut(rest.select("band", "rep", F.coalesce("component", "rep").alias("component")))
+    mixed = cut(rest.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 < c2"))
+    return rest.join(mixed.select("band", "size").hint("merge"), "band")
+
+
+def _groups(docs: DataFrame, percent: int) -> DataFrame:
     marked = cut(signatures(docs))
     classes = marked.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = cut(classes)
@@ -219,10 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_links(lows.union(highs).distinct(), reps, docs, percent))
     parts = cut(connected_components(links, "a", "b"))
     # what is left: members of buckets that still hold more than one component, without the two already compared
-    rest = buckets.where("rep <> low and rep <> high").join(parts.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-    rest = cut(rest.select("band", "rep", F.coalesce("component", "rep").alias("component")))
-    mixed = rest.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 < c2")
-    rest = rest.join(mixed.select("band", "size").hint("merge"), "band")
+    rest = _mixed(buckets.where("rep <> low and rep <> high").select("band", "rep"), parts)
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
     rest = rest.select("band", "rep", "component", n_blocks.alias("n"), block.alias("mine"))
@@ -233,8 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.join(reps.hint("merge"), "rep")
     pairs = rest.groupBy("band", "x", "y").applyInArrow(_blocks(percent / 100), "a long, b long").distinct()
     more = cut(_links(pairs, reps, docs, percent, estimated=True))
-    over = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    parts = connected_components(over.union(more), "a", "b")
+    parts = connected_components(_stars(parts).union(more), "a", "b")
     named = classes.join(parts.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = marked.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("digest")).alias("digest"))
@@ -243,5 +257,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _stars(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -16,7 +16,7 @@ from voxelweave.llm.token_cache import encoded_slices, encoder
 #: Pieces that are sorted and placed together.
 BLOCK = 16_384
 #: Encoded parts that a worker keeps in each of two generations, about 130 bytes each.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 200_000
 
 
 def pieces(n: int, most: int) -> list[tuple[int, int]]:
@@ -122,7 +122,11 @@ def pack(docs: DataFrame, path: str, kind: str = "marked", end: int = 2, capacit
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; windows of 1024 tokens."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; windows of 1024 tokens.
+
+    The caps on documents and attention cost are those of a window of 1024 tokens, which no choice can exceed, so they cost
+    no sequences and only weigh the choice between bins.
+    """
     import public_tokenizers
 
     packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
