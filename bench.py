@@ -24,7 +24,7 @@ def main() -> None:
     known, took = catalog.queries(), {}
     for name in HEADLINE:
         runs = []
-        for _ in range(1 + int(os.environ.get("BENCH_REPEATS", "2"))):  # the first warms up
+        for _ in range(1 + int(os.environ.get("BENCH_REPEATS", "3"))):  # the first warms up
             began = time.time()
             known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - began)

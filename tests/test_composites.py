@@ -71,6 +71,25 @@ def test_renal_regions(blobs):
             assert (r.n, r.n_native, r.n_pelvic) == (len(cz), sum(z >= max(l3, l4) for z in cz), sum(z <= min(l3, l4) for z in cz))
 
 
+def test_renal_roles(spark):
+    """A kidney of its own, one with a graft below it, two that compete, one in the pelvis alone, and fragments."""
+    box = lambda study, mask, z, n=3, x=0: [(study, mask, x + a, b, z + c, 30.0 + z) for a in range(n) for b in range(n) for c in range(n)]
+    level = lambda study: [(study, "L3", 50, 50, 60, 0.0), (study, "L4", 50, 50, 40, 0.0)]
+    rows = level(1) + box(1, "r", 80) + box(1, "l", 85) + box(1, "l", 10) + box(1, "l", 20, 1)
+    rows += level(2) + box(2, "r", 70) + box(2, "r", 90) + box(2, "l", 5)
+    rows += level(3) + box(3, "r", 49) + box(3, "l", 50, 3, 20) + box(4, "r", 49)
+    v = spark.createDataFrame(rows, "study int, mask string, x int, y int, z int, hu double")
+    p = spark.createDataFrame([(1, False), (2, True), (3, None), (4, False)], "study int, contrast boolean")
+    got = {}
+    for r in metrics.renal_roles({"voxels": v, "patients": p}, {"kidneys": ["r", "l"], "l3": "L3", "l4": "L4", "least_voxels": 20}).collect():
+        got.setdefault((r.study, r.mask), set()).add((r.role, r.measured, r.hu))
+    assert got[1, "r"] == {("native_kidney", True, 110.0)} and got[2, "l"] == {("indeterminate_pelvic_renal_component", True, None)}
+    assert got[1, "l"] == {("native_kidney", True, 115.0), ("suspected_renal_allograft", False, 40.0), ("segmentation_fragment", False, 50.0)}
+    assert got[2, "r"] == {("unclassified_native_region_component", False, None)}
+    assert {x[0] for x in got[3, "r"] | got[3, "l"]} == {"native_kidney"}  # each by the other's overlap
+    assert got[4, "r"] == {("native_kidney", True, 79.0)}
+
+
 def test_effusion(blobs):
     v, by = blobs
     got = {r.study: r for r in metrics.effusion({"voxels": v}, {"mask": "m2", "left": "m0", "right": "m1", "spacing": SPACING, "voxel_ml": 0.1, "least_ml": 60}).collect()}

@@ -133,3 +133,18 @@ def test_metric_order():
         metrics.planned(["nothing"])
     with pytest.raises(ValueError):
         metrics.metric("Not Allowed")
+
+
+def test_labels_follow_the_first_voxel(voxels, grids):
+    """Components are numbered in the order of their first voxel by x, then y, then z; sizes, bounds and centres are theirs."""
+    got = {}
+    for r in components.describe(components.label_runs(voxels)).collect():
+        got.setdefault(r.mask, {})[r.label] = (r.n_voxels, (r.x_min, r.y_min, r.z_min), (r.x_max, r.y_max, r.z_max), round(r.cx, 6), round(r.cz, 6))
+    near = [o for o in itertools.product((-1, 0, 1), repeat=3) if any(o)]
+    for k, g in grids.items():
+        parts = sorted(flood(map(tuple, np.argwhere(g).tolist()), near), key=min)
+        want = {}
+        for i, c in enumerate(parts, 1):
+            p = np.array(list(c))
+            want[i] = (len(c), tuple(p.min(axis=0)), tuple(p.max(axis=0)), round(float(p[:, 0].mean()), 6), round(float(p[:, 2].mean()), 6))
+        assert got[k] == want

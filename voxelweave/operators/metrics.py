@@ -256,6 +256,16 @@ def kidney_stone(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     return both.groupBy("study", "mask").agg(F.count("*").alias("n_stones"), F.sum("n_voxels").alias("n_voxels"), F.max("n_voxels").alias("largest"), F.max_by("extent_1", F.struct("n_voxels", F.negative("label"))).alias("largest_mm"))
 
 
+def renal_components(t: dict[str, DataFrame], cfg: dict) -> tuple[DataFrame, DataFrame]:
+    """Labelled runs of the kidney masks, and their components with region and whether they are significant (computed)."""
+    z = masks.axial_extent(t["voxels"].where(F.col("mask").isin(cfg["l3"], cfg["l4"]))).select("study", "mask", "center_z")
+    ref = z.groupBy("study").agg(F.max(F.when(F.col("mask") == cfg["l3"], F.col("center_z"))).alias("l3"), F.max(F.when(F.col("mask") == cfg["l4"], F.col("center_z"))).alias("l4"))
+    labelled = cut(components.label_runs(t["voxels"].where(F.col("mask").isin(cfg["kidneys"]))))
+    d = components.describe(labelled).join(ref.hint("merge"), "study", "left")
+    region = F.when(F.col("l3").isNull() | F.col("l4").isNull(), "unknown").when(F.col("cz") >= F.greatest("l3", "l4"), "native_renal_region").when(F.col("cz") <= F.least("l3", "l4"), "pelvic_region").otherwise("between")
+    return labelled, cut(d.withColumns({"region": region, "significant": F.col("n_voxels") >= cfg["least_voxels"]}).drop("l3", "l4"))
+
+
 @metric("renal_anatomy")
 def renal_anatomy(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     """Significant components of each kidney mask by region, and which one is native: above L3, below L4, or between.
@@ -263,12 +273,34 @@ def renal_anatomy(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     The only native-region component of a side is native; a single one that lies between the levels counts if its
     extent along the body overlaps the other side's single, not pelvic one by at least half. Order matters.
     """
-    z = masks.axial_extent(t["voxels"].where(F.col("mask").isin(cfg["l3"], cfg["l4"]))).select("study", "mask", "center_z")
-    ref = z.groupBy("study").agg(F.max(F.when(F.col("mask") == cfg["l3"], F.col("center_z"))).alias("l3"), F.max(F.when(F.col("mask") == cfg["l4"], F.col("center_z"))).alias("l4"))
-    d = components.describe(components.label_runs(t["voxels"].where(F.col("mask").isin(cfg["kidneys"])))).where(F.col("n_voxels") >= cfg["least_voxels"])
-    d = d.join(ref.hint("merge"), "study", "left")
-    region = F.when(F.col("l3").isNull() | F.col("l4").isNull(), "unknown").when(F.col("cz") >= F.greatest("l3", "l4"), "native_renal_region").when(F.col("cz") <= F.least("l3", "l4"), "pelvic_region").otherwise("between")
-    d = d.withColumn("region", region)
+    return native_sides(renal_components(t, cfg)[1].where("significant"))
+
+
+def renal_roles(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
+    """Every component of the kidney masks with its role, the reason, its density, and whether it is measured as a kidney.
+
+    A pelvic component beside a native one is a suspected allograft. Without a native one the only significant component
+    is measured, if it lies between the levels or in the pelvis. patients has study and contrast; with contrast there is no density.
+    """
+    labelled, d = renal_components(t, cfg)
+    d = d.join(native_sides(d.where("significant")).select("study", "mask", "n", F.col("native").alias("why")).hint("merge"), ["study", "mask"], "left")
+    found = F.col("why") != "indeterminate"
+    native = F.col("significant") & found & ((F.col("why") != "single_native_region_component") | (F.col("region") == "native_renal_region"))
+    alone = F.col("significant") & ~found & (F.col("n") == 1) & F.col("region").isin("between", "pelvic_region")
+    pelvic, upper = F.col("region") == "pelvic_region", F.col("region") == "native_renal_region"
+    role = F.when(~F.col("significant"), "segmentation_fragment").when(native, "native_kidney").when(pelvic & found, "suspected_renal_allograft").when(pelvic, "indeterminate_pelvic_renal_component")
+    role = role.when(upper, "unclassified_native_region_component").otherwise("unclassified_renal_component")
+    reason = F.when(~F.col("significant"), "below_minimum_significant_component_volume").when(native, F.col("why")).when(pelvic & found, "pelvic_component_separate_from_native_component")
+    reason = reason.when(pelvic, "pelvic_position_without_identified_native_component").when(upper, "multiple_native_region_components").otherwise("topographic_classification_indeterminate")
+    said = d.select("study", "mask", "component", "label", "n_voxels", "region", role.alias("role"), reason.alias("reason"), F.coalesce(native | alone, F.lit(False)).alias("measured"))
+    px = labelled.select("study", "mask", "component", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z").join(t["voxels"].select("study", "mask", "x", "y", "z", "hu").hint("merge"), ["study", "mask", "x", "y", "z"])
+    hu = px.groupBy("study", "mask", "component").agg(F.round(F.avg("hu"), 2).alias("_hu"))
+    both = said.join(hu.hint("merge"), ["study", "mask", "component"], "left").join(t["patients"].select("study", "contrast").hint("merge"), "study", "left")
+    return both.withColumn("hu", F.when(~F.coalesce("contrast", F.lit(False)), F.col("_hu"))).drop("_hu", "contrast", "component")
+
+
+def native_sides(d: DataFrame) -> DataFrame:
+    """Per study and mask the significant components by region, and how the native one is told, if it is."""
     side = d.groupBy("study", "mask").agg(F.count("*").alias("n"), F.count_if(F.col("region") == "native_renal_region").alias("n_native"), F.count_if(F.col("region") == "pelvic_region").alias("n_pelvic"), F.min("z_min").alias("lo"), F.max("z_max").alias("hi"), F.max("region").alias("only"))
     o = side.select("study", F.col("mask").alias("_m"), F.col("n").alias("_n"), F.col("n_pelvic").alias("_p"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     both = side.join(o.hint("merge"), "study", "left").where("_m is null or _m <> mask or n is not null")

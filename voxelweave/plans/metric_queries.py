@@ -107,6 +107,12 @@ def m_renal_anatomy(t: Tables):
     return metrics.renal_anatomy({"voxels": _blobs(t)}, {"kidneys": ["m0", "m1"], "l3": "m2", "l4": "m1", "least_voxels": 50})
 
 
+@query(None)
+def renal_roles(t: Tables):
+    v = _blobs(t)
+    return metrics.renal_roles({"voxels": v, "patients": _patients(v)}, {"kidneys": ["m0", "m1"], "l3": "m2", "l4": "m1", "least_voxels": 50})
+
+
 @query(None)
 def m_effusion(t: Tables):
     return metrics.effusion({"voxels": _blobs(t)}, {"mask": "m2", "left": "m0", "right": "m1", "spacing": SPACING, "voxel_ml": 0.1})

@@ -114,6 +114,18 @@ def affine_world(t: Tables):
     return e.select("vec_id", F.get(w, L(0)).alias("wx"), F.get(w, L(2)).alias("wz"), code["axis"].alias("axis"), code["positive"].alias("up"))
 
 
+AXIS = "case when abs(e[{0}]) >= abs(e[{1}]) and abs(e[{0}]) >= abs(e[{2}]) then 0 when abs(e[{1}]) >= abs(e[{2}]) then 1 else 2 end"
+WORLD = {"lateral": (1, 2, 3), "ap": (5, 6, 7), "si": (9, 10, 11)}
+
+
+@query("select vec_id, " + ", ".join(f"{AXIS.format(*at)} as {name}_axis, e[{at[0]} + {AXIS.format(*at)}] >= 0 as {name}_up" for name, at in WORLD.items()) + " from (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings)")
+def axis_codes(t: Tables):
+    """The array axes that run along the three world axes, and which way."""
+    e = t.spark.read.parquet(f"{t.sf_dir}/embeddings.parquet").select("vec_id", c("embedding").cast("array<double>").alias("e"))
+    codes = {name: S.axis_code(c("e"), row) for row, name in enumerate(WORLD)}
+    return e.select("vec_id", *[x for name, code in codes.items() for x in (code["axis"].alias(f"{name}_axis"), code["positive"].alias(f"{name}_up"))])
+
+
 @query("""select p_partkey, sha256(concat('{"p_name":"', p_name, '","p_size":', cast(p_size as varchar), ',"none":null}')) as signature from part""")
 def canonical_signature(t: Tables):
     return t.part.select("p_partkey", S.canonical_signature(c("p_name"), c("p_size"), L(None).cast("string").alias("none")).alias("signature"))
