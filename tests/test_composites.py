@@ -51,10 +51,10 @@ def test_nodules_and_lesions(blobs):
 
 def test_stones(blobs):
     v, by = blobs
-    got = {(r.study, r.mask): r for r in metrics.kidney_stone({"voxels": v}, {"kidneys": ["m0", "m1"], "spacing": SPACING}).collect()}
+    got = {(r.study, r.mask): r for r in metrics.kidney_stone({"voxels": v}, {"kidneys": ["m0", "m1"], "spacing": SPACING, "least_mm3": 5.0}).collect()}
     for study, m in by.items():
         for side in ("m0", "m1"):
-            parts = [c for c in flood([p for p, hu in m[side].items() if hu > 130], CUBE) if len(c) >= 2]
+            parts = [c for c in flood([p for p, hu in m[side].items() if hu > 130], CUBE) if len(c) >= 2 and len(c) * np.prod(SPACING) >= 5]
             r = got[study, side]
             assert (r.n_stones, r.n_voxels, r.largest) == (len(parts), sum(map(len, parts)), max(map(len, parts)))
 
@@ -120,3 +120,12 @@ def test_arms_are_left_out(spark):
     assert (got[3].n_pixels, got[3].bmi, got[4].status) == (100, None, "not_present")
     fat = metrics.vat_sat({"voxels": v}, cfg | {"visceral": "muscle", "subcutaneous": "L3"}).where("study < 3").collect()
     assert {r.study: (r.vat_excluded, round(r.vat_cm2, 6), r.sat_cm2) for r in fat} == {1: (16, 1.0, 0.01), 2: (0, 1.16, 0.01)}
+
+
+def test_recalculate_tells_what_it_can_not_do(spark):
+    v = spark.createDataFrame([(1, "a", 1, 1, 1, 5.0)], "study int, mask string, x int, y int, z int, hu double")
+    errors = {}
+    got = metrics.recalculate(["liver_segments", "body_fat", "vat_sat"], {"voxels": v}, {"liver_segments": {"voxel_cm3": 1.0}}, v.study == 1, errors)
+    assert set(got) == {"liver_segments"} and set(errors) == {"body_fat", "vat_sat"} and errors["body_fat"].startswith("KeyError")
+    with pytest.raises(KeyError):
+        metrics.recalculate(["body_fat"], {"voxels": v}, {})

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -246,10 +247,14 @@ def l1_volumetric(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
 
 @metric("kidney_stone")
 def kidney_stone(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
-    """Components of voxels over 130 HU in the kidneys: number, voxels, the largest and its longest axis by side."""
+    """Components of voxels over 130 HU in the kidneys: number, voxels, the largest and its longest axis by side.
+
+    A component counts from `least_voxels` and `least_mm3` on.
+    """
+    voxel = cfg["spacing"][0] * cfg["spacing"][1] * cfg["spacing"][2]
     v = t["voxels"].where(F.col("mask").isin(cfg["kidneys"]) & (F.col("hu") > cfg.get("threshold", 130)))
     labelled = components.label_runs(v)
-    d = components.describe(labelled).where(F.col("n_voxels") >= cfg.get("least_voxels", 2))
+    d = components.describe(labelled).where((F.col("n_voxels") >= cfg.get("least_voxels", 2)) & (F.col("n_voxels") * voxel >= cfg.get("least_mm3", 0.0)))
     pts = labelled.select("study", "mask", "component", "y", "z", F.explode(F.sequence("x0", "x1")).alias("x"))
     axis = shapes.pca_extent(pts.join(d.select("component").hint("merge"), "component", "left_semi"), ["study", "mask", "component"], cfg["spacing"]).select("component", "extent_1")
     both = d.join(axis.hint("merge"), "component")
@@ -419,8 +424,19 @@ def effusion(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     return windows.effusion_qc(vol, ["study"], "ml", cfg.get("least_ml", 50))
 
 
-def recalculate(names: list[str], tables: dict[str, DataFrame], configs: dict[str, dict], studies: Column | None = None) -> dict[str, DataFrame]:
-    """The named metrics and what they need, for all or for selected studies; nothing is computed until it is asked for."""
+def recalculate(names: list[str], tables: dict[str, DataFrame], configs: dict[str, dict], studies: Column | None = None, errors: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The named metrics and what they need, for all or for selected studies; most is computed only when it is asked for.
+
+    A metric that lacks a table, a column or a setting is left out and told in `errors`, if that is given, else raised.
+    """
     if studies is not None:
         tables = {k: d.where(studies) if "study" in d.columns else d for k, d in tables.items()}
-    return {m.name: m.run(tables, configs.get(m.name, {})) for m in planned(names)}
+    out = {}
+    for m in planned(names):
+        try:
+            out[m.name] = m.run(tables, configs.get(m.name, {}))
+        except (KeyError, AnalysisException) as why:
+            if errors is None:
+                raise
+            errors[m.name] = f"{type(why).__name__}: {why}".split("\n")[0]
+    return out
