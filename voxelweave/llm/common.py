@@ -99,12 +99,12 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
     return mix(out + (end - start).astype(np.uint64) * U(_M1))
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of anything but ASCII white space), and where each row's words begin."""
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of anything but `space`, by byte), and where each row's words begin."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    first, word = row_starts(n, offs), ~SPACE[data]
+    first, word = row_starts(n, offs), ~space[data]
     begins, ends = word & first, word.copy()
     begins[1:] |= word[1:] & ~word[:-1]
     ends[:-1] &= ~word[1:] | first[1:]
