@@ -93,7 +93,7 @@ def test_border_vectors_are_in_several_lists_and_searches_prune():
     first = np.array([to[row == i][0] for i in range(300)])
     assert np.mean(first == d[:300].argmin(axis=1)) > 0.97  # the graph finds the nearest centroid
     q = neighbours.turned(clustered(rng, 50))
-    looked, _ = neighbours.lists_of_queries(g, q, 1.1, 4)
+    looked, _, _ = neighbours.lists_of_queries(g, q, 1.1, 4)
     assert len(looked) < 0.6 * 50 * 80
     sizes = np.bincount(to, minlength=80)
     assert sizes.max() < 8 * sizes.mean()

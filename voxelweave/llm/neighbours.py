@@ -30,6 +30,8 @@ LIST_ROWS, MOST_LISTS, SAMPLE_EACH = 256, 16_384, 16
 REPLICAS, BORDER = 4, 1.15
 #: Queries that the reach is measured with, and the share of their neighbours that it has to find.
 TRIALS, RECALL = 256, 0.96
+#: Lists that a query looks into before it asks the others for what is better alone.
+NEAREST = 8
 #: Neighbours of a centroid in the graph, centroids that a search keeps for a vector to be filed, and those it goes on from at a time.
 DEGREE, BEAM, STEP = 24, 24, 4
 #: Vectors that search the graph side by side; cells of one block of inner products.
@@ -162,20 +164,22 @@ def lists_of_vectors(g: Graph, points: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(lists)
 
 
-def lists_of_queries(g: Graph, points: np.ndarray, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of the lists that each query looks into: those within `reach` of the nearest one; a search that ends with nothing but such lists goes on with a wider beam."""
-    rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def lists_of_queries(g: Graph, points: np.ndarray, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, place among them) of the lists that each query looks into: those within `reach` of the nearest one; a search that ends with nothing but such lists goes on with a wider beam."""
+    rows, lists, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, ids, d in nearest_lists(g, points, beam):
         near = np.isfinite(d) & (d <= reach * d[:, :1] + 1e-6)
         full = near.all(axis=1) & (beam < len(g.centroids))
         row, col = np.nonzero(near & ~full[:, None])
         rows.append(row + lo)
         lists.append(ids[row, col])
+        places.append(col)
         if full.any():
-            row, more = lists_of_queries(g, points[lo + np.flatnonzero(full)], reach, 2 * beam)
+            row, more, col = lists_of_queries(g, points[lo + np.flatnonzero(full)], reach, 2 * beam)
             rows.append(lo + np.flatnonzero(full)[row])
             lists.append(more)
-    return np.concatenate(rows), np.concatenate(lists)
+            places.append(col)
+    return np.concatenate(rows), np.concatenate(lists), np.concatenate(places)
 
 
 def reach_of(g: Graph, queries: np.ndarray, owner: np.ndarray, neighbours: np.ndarray, recall: float) -> tuple[float, int]:
@@ -224,22 +228,22 @@ def _packed(kind: str, most: int):
 
 
 def _filed(kind: str, graph, place, carry: str):
-    """Each vector in its lists: rows (list, key, what it carries)."""
+    """Each vector in its lists: rows (list, key, what it carries), and for queries the place of the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(arrow_rows(batch, "key"), kind)
             if not len(v):
                 continue
-            row, to = place(graph.value, v)
+            row, to, *rest = place(graph.value, v)
             part = batch.take(pa.array(row))
-            yield pa.record_batch([pa.array(to, pa.int64()), arrow_rows(part, "key"), arrow_rows(part, carry)], ["list", "key", carry])
+            yield pa.record_batch([pa.array(to, pa.int64()), arrow_rows(part, "key"), arrow_rows(part, carry), *map(pa.array, rest)], ["list", "key", carry, *["place"] * len(rest)])
 
     return run
 
 
 def _compared(kind: str, most: int):
-    """Of the vectors of one list, for each query the nearest ones by (score, id): rows (q, vec_id, score)."""
+    """Of the vectors of one list, for each query the nearest ones by (score, id) whose score is not below its floor: rows (q, vec_id, score)."""
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_id, out_s = [], [], []
@@ -247,11 +251,16 @@ def _compared(kind: str, most: int):
             ids = vectors.column("ids").combine_chunks()
             size, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()
             begin = np.concatenate(([0], np.cumsum(size)))
-            v, number = _matrix(vectors.column("key"), kind), queries.column("q").to_numpy()
+            v, number, floor = _matrix(vectors.column("key"), kind), queries.column("q").to_numpy(), queries.column("floor").to_numpy()
             step = max(1, CELLS // len(v))
             for lo in range(0, len(number), step):
                 q = _matrix(queries.column("key").slice(lo, step), kind)
                 rough = q @ v.T
+                bound = floor[lo : lo + len(q)]
+                some = np.flatnonzero(rough.max(axis=1) >= bound - 1e-9 * np.abs(bound))
+                if not len(some):
+                    continue
+                q, rough, bound, who = q[some], rough[some], bound[some], number[lo + some]
                 take = min(len(v), most + 8)
                 best = np.argpartition(-rough, take - 1, axis=1)[:, :take]
                 exact = (v[best] * q[:, None, :]).sum(axis=2)  # added in the same order wherever a pair meets
@@ -260,7 +269,8 @@ def _compared(kind: str, most: int):
                     own = np.concatenate([flat[begin[b] : begin[b + 1]] for b in best[k]])
                     score = exact[k][at]
                     order = np.lexsort((own, -score))[:most]
-                    out_q.append(np.full(len(order), number[lo + k]))
+                    order = order[score[order] >= bound[k]]
+                    out_q.append(np.full(len(order), who[k]))
                     out_id.append(own[order])
                     out_s.append(score[order])
         join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
@@ -337,12 +347,21 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     true = _matrix(pa.array([bytes(r.key) for r in best], pa.binary()), kind)
     reach, beam = reach_of(graph, turned(tried), np.array([r.q for r in best], np.int64), lifted(true, longest2), recall) if best else (1.0, 1)
     shared = spark.sparkContext.broadcast(graph)
-    filed = base.mapInArrow(_filed(kind, shared, lambda g, v: lists_of_vectors(g, lifted(v, longest2)), "ids"), "list long, key binary, ids array<long>")
-    looked = forms.mapInArrow(_filed(kind, shared, lambda g, v: lists_of_queries(g, turned(v), reach, beam), "q"), "list long, key binary, q long")
-    found = filed.groupBy("list").cogroup(looked.groupBy("list")).applyInArrow(_compared(kind, k + 1), "q long, vec_id long, score double")
-    found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
+    filed = written(base.mapInArrow(_filed(kind, shared, lambda g, v: lists_of_vectors(g, lifted(v, longest2)), "ids"), "list long, key binary, ids array<long>"), "ann-lists")
+    looked = written(forms.mapInArrow(_filed(kind, shared, lambda g, v: lists_of_queries(g, turned(v), reach, beam), "q"), "list long, key binary, q long, place long"), "ann-looks")
+
+    def compared(queries: DataFrame) -> DataFrame:
+        return filed.groupBy("list").cogroup(queries.groupBy("list")).applyInArrow(_compared(kind, k + 1), "q long, vec_id long, score double")
+
+    def first(found: DataFrame) -> DataFrame:
+        order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        return found.groupBy("q", "vec_id").agg(F.max("score").alias("score")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1).drop("at")
+
+    # the nearest lists give each query a floor, and the others send only what is not below it
+    near = written(first(compared(looked.where(F.col("place") < NEAREST).withColumn("floor", F.lit(float("-inf"))))), "ann-near")
+    floors = written(near.groupBy("q").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("floor")), "ann-floors")
+    rest = looked.where(F.col("place") >= NEAREST).join(floors.hint("merge"), "q")
+    found = first(near.union(compared(rest)))
     found = written(found.groupBy("q").agg(F.collect_list(F.struct("vec_id", "score")).alias("near")), "ann-found")
     who = written(asked.withColumnRenamed("vec_id", "query_id").join(forms.hint("merge"), "key").select("query_id", "q"), "ann-asked")
     out = who.join(found.hint("merge"), "q").select("query_id", F.inline("near")).where("vec_id <> query_id")
