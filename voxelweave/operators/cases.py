@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.functions.scalars import epoch_s
+from voxelweave.operators.grids import steps
 from voxelweave.operators.queues import ACTIVE
 
 
@@ -75,10 +76,11 @@ def abdominal_aggregate(levels: DataFrame, blocks: DataFrame, group: list[str],
     return both.groupBy(*group).agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count("*").alias("n_levels"))
 
 
-def ellipse_roi(voxels: DataFrame, centres: DataFrame, group: list[str], rx: float, ry: float, spacing: tuple[float, float], value: str = "hu") -> DataFrame:
+def ellipse_roi(voxels: DataFrame, centres: DataFrame, group: list[str], rx: float, ry: float, spacing: tuple[float, ...] | None, value: str = "hu") -> DataFrame:
     """Count and mean of the voxels of one slice inside an ellipse (mm) around each group's centre (cx, cy, z)."""
     both = voxels.join(centres.hint("merge"), [*group, "z"])
-    dx, dy = (F.col("x") - F.col("cx")) * spacing[0] / rx, (F.col("y") - F.col("cy")) * spacing[1] / ry
+    sx, sy = steps(spacing)[:2]
+    dx, dy = (F.col("x") - F.col("cx")) * sx / rx, (F.col("y") - F.col("cy")) * sy / ry
     return both.where(dx * dx + dy * dy <= 1).groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 

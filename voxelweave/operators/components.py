@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelweave.operators import tiles
+from voxelweave.operators.grids import steps
 from voxelweave.operators.graph import connected_components
 from voxelweave.operators.masks import GROUP
 from voxelweave.session import cut
@@ -71,20 +72,20 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(sides)
 
 
-def feret_axial(labelled: DataFrame, spacing: tuple[float, float], group: list[str] = GROUP) -> DataFrame:
+def feret_axial(labelled: DataFrame, spacing: tuple[float, ...] | None, group: list[str] = GROUP) -> DataFrame:
     """The largest in-slice diameter in mm of each component.
 
     The outline runs through the middles between pixels in and out. Only hull corners of a slice's part are compared, and
     of a row only its outermost points, with the pixels of the first and last row, can be such.
     """
-    sx, sy = spacing
+    sx, sy = steps(spacing)[:2]
     rows = labelled.groupBy(*group, "component", "z", "y").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
     parts = rows.groupBy(*group, "component", "z").agg(F.array_sort(F.collect_list(F.struct("y", "lo", "hi"))).alias("rows"))
 
     @F.pandas_udf("double")
-    def diameter(slices: pd.Series) -> pd.Series:
+    def diameter(slices: pd.Series, wide: pd.Series, deep: pd.Series) -> pd.Series:
         out = []
-        for part in slices:
+        for part, sx, sy in zip(slices, wide, deep):
             r = np.array([[x["y"], x["lo"], x["hi"]] for x in part], float)
             y, lo, hi = r.T
             pts = [np.stack([lo - 0.5, y], 1), np.stack([hi + 0.5, y], 1)]
@@ -93,4 +94,4 @@ def feret_axial(labelled: DataFrame, spacing: tuple[float, float], group: list[s
             out.append(float(np.sqrt(((corners[:, None] - corners[None]) ** 2).sum(axis=2)).max()))
         return pd.Series(out, dtype=float)
 
-    return parts.select(*group, "component", diameter("rows").alias("d")).groupBy(*group, "component").agg(F.max("d").alias("diameter_mm"))
+    return parts.select(*group, "component", diameter("rows", sx, sy).alias("d")).groupBy(*group, "component").agg(F.max("d").alias("diameter_mm"))

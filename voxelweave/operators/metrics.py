@@ -1,7 +1,9 @@
 """Composite metrics, each one job over all studies, and the registry that names them.
 
 A metric is a function (tables, config) -> DataFrame with a row a study. `tables` has voxels (study, mask, x, y, z, hu)
-and what else the metric needs. A study that lacks an input gets a status, not an exception.
+and what else the metric needs. A study that lacks an input gets a status, not an exception. Where `tables` has volumes (study,
+nx, ny, nz, sx, sy, sz), each study is measured on its own grid, and the settings of the grid (spacing, dims, voxel_cm3,
+voxel_ml, pixel_cm2, n_slices) are not read; a study without a volume can't be measured then.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.functions import predicates, rules
 from voxelweave.operators import components, masks, morphology, shapes, vertebrae, windows
+from voxelweave.operators.grids import Grid, Spacing, steps
 from voxelweave.session import cut
 
 NAME = re.compile(r"^[a-z][a-z0-9_]*$")
@@ -70,11 +73,11 @@ def with_status(found: DataFrame, studies: DataFrame, key: str = "study") -> Dat
     return both.withColumn("status", F.when(F.col("_there"), "done").otherwise("not_present")).drop("_there")
 
 
-def appendicular_filter(tissue: DataFrame, bones: DataFrame, mm: float, spacing: tuple[float, float], most: float = 0.45) -> DataFrame:
+def appendicular_filter(tissue: DataFrame, bones: DataFrame, mm: float, spacing: tuple[float, ...] | None, most: float = 0.45, grid: list[str] = []) -> DataFrame:
     """Tissue of a slice without the parts that touch the widened arm bones, unless more than `most` of it would go."""
     flat = components.label_runs(tissue.withColumn("mask", F.lit("tissue")), planar=True)
     v = flat.select("study", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
-    near = morphology.dilate_disc(bones.select("study", F.lit("tissue").alias("mask"), "x", "y", "z"), mm, spacing).drop("mask")
+    near = morphology.dilate_disc(bones.select("study", *grid, "x", "y", "z"), mm, spacing, ["study", *grid]).drop(*grid)
     hit = v.join(near.hint("merge"), ["study", "x", "y", "z"], "left_semi").select("study", "z", "component").distinct().withColumn("_hit", F.lit(True))
     marked = v.join(hit.hint("merge"), ["study", "z", "component"], "left")
     share = marked.groupBy("study", "z").agg((F.count("_hit") / F.count("*")).alias("removed_fraction"))
@@ -90,10 +93,11 @@ def without_arms(t: dict[str, DataFrame], tissue: str, at: DataFrame, cfg: dict)
     mine = v.where(F.col("mask") == tissue).join(at.hint("merge"), ["study", "z"]).select("study", "x", "y", "z", "hu")
     if not cfg.get("arms"):
         return mine.withColumn("kept", F.lit(True))
-    sx, sy, sz = cfg["spacing"]
-    bones = v.where(F.col("mask").isin(cfg["arms"])).join(at.withColumnRenamed("z", "_z").hint("merge"), "study")
-    bones = bones.where(F.abs(F.col("z") - F.col("_z")) * sz <= cfg.get("half_window_mm", 80.0)).select("study", "x", "y", F.col("_z").alias("z")).distinct()
-    kept = appendicular_filter(mine.select("study", "x", "y", "z"), bones, cfg.get("margin_mm", 35.0), (sx, sy), cfg.get("most_removed", 0.45))
+    g = Grid.of(t, cfg)
+    sz = steps(g.spacing)[2]
+    bones = g.on(v).where(F.col("mask").isin(cfg["arms"])).join(at.withColumnRenamed("z", "_z").hint("merge"), "study")
+    bones = bones.where(F.abs(F.col("z") - F.col("_z")) * sz <= cfg.get("half_window_mm", 80.0)).select("study", *g.keys, "x", "y", F.col("_z").alias("z")).distinct()
+    kept = appendicular_filter(mine.select("study", "x", "y", "z"), bones, cfg.get("margin_mm", 35.0), g.spacing, cfg.get("most_removed", 0.45), g.keys)
     kept = kept.select("study", "x", "y", "z", F.lit(True).alias("kept"))
     return mine.join(kept.hint("merge"), ["study", "x", "y", "z"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
@@ -113,9 +117,10 @@ def l3_muscle(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     px = without_arms(t, cfg["muscle"], center_slices(t["voxels"], cfg["level"]), cfg)
     kept = F.when(F.col("kept"), F.col("hu"))
     got = px.groupBy("study").agg(F.count("*").alias("raw_pixels"), F.count_if("kept").alias("n_pixels"), F.avg(kept).alias("_mean"), F.stddev_pop(kept).alias("_sd"))
-    got = got.join(t["patients"].select("study", "contrast", "height_m", "weight_kg").hint("merge"), "study", "left")
+    g = Grid.of(t, cfg)
+    got = g.on(got).join(t["patients"].select("study", "contrast", "height_m", "weight_kg").hint("merge"), "study", "left")
     plain = ~F.coalesce("contrast", F.lit(False))
-    cm2, tall = F.col("n_pixels") * cfg["pixel_cm2"], F.col("height_m").between(0.8, 2.5)
+    cm2, tall = F.col("n_pixels") * g.cm2, F.col("height_m").between(0.8, 2.5)
     square = F.col("height_m") * F.col("height_m")
     got = got.select(
         "study", "raw_pixels", "n_pixels", (F.col("raw_pixels") - F.col("n_pixels")).alias("excluded"), cm2.alias("cm2"),
@@ -133,11 +138,12 @@ def vat_sat(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     """
     at = center_slices(t["voxels"], cfg["level"])
     there = t["voxels"].groupBy("study").agg(*[F.bool_or(F.col("mask") == cfg[k]).alias(k) for k in ("level", "visceral", "subcutaneous")]).where("level and visceral and subcutaneous")
-    got = there.select("study")
+    g = Grid.of(t, cfg)
+    got = g.on(there.select("study"))
     for name, tissue in (("vat", cfg["visceral"]), ("sat", cfg["subcutaneous"])):
         n = without_arms(t, tissue, at, cfg).groupBy("study").agg(F.count_if("kept").alias(f"_{name}"), F.count_if(~F.col("kept")).alias(f"{name}_excluded"))
         got = got.join(n.hint("merge"), "study", "left")
-    of = lambda name: (F.coalesce(f"_{name}", F.lit(0)) * cfg["pixel_cm2"]).alias(f"{name}_cm2")
+    of = lambda name: (F.coalesce(f"_{name}", F.lit(0)) * g.cm2).alias(f"{name}_cm2")
     got = got.select("study", of("vat"), of("sat"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("vat_excluded", "sat_excluded")])
     return with_status(got.withColumn("ratio", F.round(F.try_divide("vat_cm2", F.nullif("sat_cm2", F.lit(0.0))), 4)), t["voxels"])
 
@@ -148,7 +154,8 @@ def organs(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
 
     patients has study and contrast. An organ of cfg["alerts"] (mask: (name, least voxels)) is judged by its limit.
     """
-    status = masks.mask_status(t["voxels"], t["expected"], cfg["dims"], cfg["voxel_cm3"])
+    g = Grid.of(t, cfg)
+    status = masks.mask_status(g.on(t["voxels"]), g.on(t["expected"]), g.dims, g.cm3, ["study", "mask", *g.keys])
     stats = masks.mask_stats(t["voxels"])
     both = status.join(stats.drop("n_voxels").hint("merge"), ["study", "mask"], "left").join(t["patients"].select("study", "contrast").hint("merge"), "study", "left")
     plain = ~F.coalesce("contrast", F.lit(False))
@@ -175,7 +182,8 @@ def liver_fat(measured: DataFrame, patients: DataFrame, liver: str, spleen: str,
 @metric("brain")
 def brain(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     """Volume of a mask, withheld where it is truncated."""
-    s = masks.mask_status(t["voxels"], t["expected"].where(F.col("mask") == cfg["mask"]), cfg["dims"], cfg["voxel_cm3"])
+    g = Grid.of(t, cfg)
+    s = masks.mask_status(g.on(t["voxels"]), g.on(t["expected"].where(F.col("mask") == cfg["mask"])), g.dims, g.cm3, ["study", "mask", *g.keys])
     return s.select("study", "status", F.when(F.col("status") == "complete", F.round("cm3", 1)).alias("cm3"))
 
 
@@ -210,18 +218,19 @@ def liver_lesions(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     labelled = components.label_runs(lesion)
     base = masks.merged_runs(masks.runs(t["voxels"].where(F.col("mask").isin(cfg["support"]))).drop("mask"), ["study"])
     o = masks.overlap(labelled.select("study", "z", "y", "x0", "x1", "component"), base, ["study"], "component")
-    d = components.feret_axial(labelled, cfg["spacing"][:2]).drop("mask")
+    g = Grid.of(t, cfg)
+    d = components.feret_axial(g.on(labelled), g.spacing, ["study", *g.keys])
     both = o.join(d.hint("merge"), ["study", "component"]).where((F.col("fraction") >= 0.5) & (F.col("diameter_mm") >= cfg.get("least_mm", 4.0)))
     return both.groupBy("study").agg(F.count("*").alias("n_lesions"), F.sum("n_voxels").alias("n_voxels"), F.max("diameter_mm").alias("largest_mm"))
 
 
-def trabecular_roi(voxels: DataFrame, mm: float, spacing: tuple[float, float, float], least: int = 25) -> DataFrame:
+def trabecular_roi(voxels: DataFrame, mm: float, spacing: Spacing, least: int = 25, grid: list[str] = []) -> DataFrame:
     """The inner part of each mask: eroded in rounds of the cross, of every slice the largest component, of those the largest in space.
 
     A mask that erosion empties stands in whole for its eroded one; that takes the place of a part below `least` voxels.
     """
     key, flat = [*masks.GROUP, "x", "y", "z"], [*masks.GROUP, "z"]
-    left = cut(morphology.erode(voxels, vertebrae.rounds_of(mm, spacing)).select(*key))
+    left = cut(morphology.erode(voxels, vertebrae.rounds_of(mm, spacing), group=[*masks.GROUP, *grid]).select(*key))
     whole = voxels.join(left.select(*masks.GROUP).distinct().hint("merge"), masks.GROUP, "left_anti")
     eroded = left.union(whole.select(*key))
     runs = components.label_runs(eroded, planar=True)
@@ -238,7 +247,8 @@ def l1_volumetric(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     """Density of a vertebra's whole mask and of its inner part."""
     v = t["voxels"].where(F.col("mask") == cfg["mask"])
     full = masks.mask_stats(v, ["study"])
-    core = v.join(trabecular_roi(v, cfg["mm"], cfg["spacing"]).hint("merge"), ["study", "mask", "x", "y", "z"], "left_semi")
+    g = Grid.of(t, cfg)
+    core = v.join(trabecular_roi(g.on(v), cfg["mm"], g.spacing, grid=g.keys).hint("merge"), ["study", "mask", "x", "y", "z"], "left_semi")
     core = masks.mask_stats(core, ["study"]).select("study", F.col("n_voxels").alias("n_core"), F.col("mean").alias("core_mean"))
     both = full.join(core.hint("merge"), "study", "left").withColumn("n_core", F.coalesce("n_core", F.lit(0)))
     hu = F.col("core_mean")
@@ -251,12 +261,13 @@ def kidney_stone(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
 
     A component counts from `least_voxels` and `least_mm3` on.
     """
-    voxel = cfg["spacing"][0] * cfg["spacing"][1] * cfg["spacing"][2]
+    g = Grid.of(t, cfg)
+    x, y, z = steps(g.spacing)
     v = t["voxels"].where(F.col("mask").isin(cfg["kidneys"]) & (F.col("hu") > cfg.get("threshold", 130)))
     labelled = components.label_runs(v)
-    d = components.describe(labelled).where((F.col("n_voxels") >= cfg.get("least_voxels", 2)) & (F.col("n_voxels") * voxel >= cfg.get("least_mm3", 0.0)))
+    d = g.on(components.describe(labelled)).where((F.col("n_voxels") >= cfg.get("least_voxels", 2)) & (F.col("n_voxels") * (x * y * z) >= cfg.get("least_mm3", 0.0))).drop(*g.keys)
     pts = labelled.select("study", "mask", "component", "y", "z", F.explode(F.sequence("x0", "x1")).alias("x"))
-    axis = shapes.pca_extent(pts.join(d.select("component").hint("merge"), "component", "left_semi"), ["study", "mask", "component"], cfg["spacing"]).select("component", "extent_1")
+    axis = shapes.pca_extent(g.on(pts.join(d.select("component").hint("merge"), "component", "left_semi")), ["study", "mask", "component", *g.keys], g.spacing).select("component", "extent_1")
     both = d.join(axis.hint("merge"), "component")
     return both.groupBy("study", "mask").agg(F.count("*").alias("n_stones"), F.sum("n_voxels").alias("n_voxels"), F.max("n_voxels").alias("largest"), F.max_by("extent_1", F.struct("n_voxels", F.negative("label"))).alias("largest_mm"))
 
@@ -321,15 +332,17 @@ def body_fat(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     """Voxels and volume of the fat masks in each slab between the middles of neighbour levels; totals are sums of rounded parts."""
     lv = windows.midpoint_slabs(t["levels"], ["study"], "ordinal", "center").where("low is not null")
     slabs = lv.select("study", "ordinal", F.ceil("low").cast("int").alias("first"), (F.ceil("high") - 1).cast("int").alias("last")).where("first <= last")
-    got = masks.slab_volumes(t["voxels"].where(F.col("mask").isin(cfg["masks"])), slabs, ["study"], "ordinal", cfg["voxel_cm3"])
+    g = Grid.of(t, cfg)
+    got = masks.slab_volumes(g.on(t["voxels"].where(F.col("mask").isin(cfg["masks"]))), g.on(slabs), ["study", *g.keys], "ordinal", g.cm3).drop(*g.keys)
     return got.withColumn("total_cm3", F.sum("cm3").over(W.partitionBy("study")))
 
 
 @metric("liver_segments")
 def liver_segments(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     """Voxels and volume (whole cm3) of each segment's mask."""
-    n = F.count("*")
-    return t["voxels"].groupBy("study", "mask").agg(n.alias("n_voxels"), F.bround(n * cfg["voxel_cm3"], 0).alias("cm3"))
+    g = Grid.of(t, cfg)
+    got = g.on(t["voxels"].groupBy("study", "mask").agg(F.count("*").alias("n_voxels")))
+    return got.select("study", "mask", "n_voxels", F.bround(F.col("n_voxels") * g.cm3, 0).alias("cm3"))
 
 
 @metric("l1_hu")
@@ -339,11 +352,12 @@ def l1_hu(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     patients has study, modality, kvp, contrast and thickness_mm. A study without the mask has status not_present, one
     whose ellipse can't be placed the reason.
     """
-    v = t["voxels"].where(F.col("mask") == cfg["mask"])
-    roi = vertebrae.l1_sagittal_roi(v, cfg["spacing"], ["study"], cfg.get("lateral", "x"), cfg.get("front_low", False), cfg.get("erosion_mm", 5.0), cfg.get("radius_mm", 6.0))
-    steps = morphology.erosion_profile(v.drop("mask"), "hu", [0, 1, 2, 3, 4, 5], cfg["spacing"], ["study"])
-    profile = steps.groupBy("study").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("step").cast("int"), F.round("mean", 2).alias("mean"))))).alias("profile"))
-    both = roi.join(vertebrae.complete_along(v, cfg["n_slices"], ["study"]).hint("merge"), "study").join(profile.hint("merge"), "study", "left").join(t["patients"].hint("merge"), "study", "left")
+    g = Grid.of(t, cfg)
+    v, key = g.on(t["voxels"].where(F.col("mask") == cfg["mask"])), ["study", *g.keys]
+    roi = vertebrae.l1_sagittal_roi(v, g.spacing, key, cfg.get("lateral", "x"), cfg.get("front_low", False), cfg.get("erosion_mm", 5.0), cfg.get("radius_mm", 6.0))
+    deep = morphology.erosion_profile(v.drop("mask"), "hu", [0, 1, 2, 3, 4, 5], g.spacing, key)
+    profile = deep.groupBy("study").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("step").cast("int"), F.round("mean", 2).alias("mean"))))).alias("profile"))
+    both = roi.join(vertebrae.complete_along(v, g.n_slices, key).select("study", "complete").hint("merge"), "study").join(profile.hint("merge"), "study", "left").join(t["patients"].hint("merge"), "study", "left")
     qc = rules.bone_qc(F.col("modality"), F.col("complete"), F.col("n_pixels"), F.col("kvp"), F.col("contrast"), F.col("thickness_mm"), cfg.get("strict", False))
     got = both.select(
         "study", F.when(F.col("status") == "ok", "done").otherwise(F.col("status")).alias("_said"), "plane", "center_row", "center_col", "n_pixels", F.round("mean", 2).alias("hu"), F.round("deviation", 2).alias("deviation"),
@@ -382,12 +396,13 @@ def fracture(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     cfg["levels"] names the masks from top to bottom. Vertebrae that the volume cuts off are counted and not graded. A
     vertebra is a reference if it has grade 0, a clear front, and a body of at least 35 percent of its mask.
     """
-    key = ["study", "mask"]
+    grid, key = Grid.of(t, cfg), ["study", "mask"]
     v = t["voxels"].where(F.col("mask").isin(cfg["levels"])).select(*key, "x", "y", "z")
-    body = cut(vertebrae.isolate_body(v, cfg["spacing"], key))
-    heights = vertebrae.parasagittal_heights(body, cfg["spacing"], key)
+    own = [*key, *grid.keys]
+    body = cut(vertebrae.isolate_body(grid.on(v), grid.spacing, own))
+    heights = vertebrae.parasagittal_heights(body, grid.spacing, own).drop(*grid.keys)
     size = v.groupBy(*key).agg(F.count("*").alias("_n")).join(body.groupBy(*key).agg(F.count("*").alias("_b")).hint("merge"), key, "left")
-    each = vertebrae.complete_along(v, cfg["n_slices"], key).join(size.hint("merge"), key).join(heights.hint("merge"), key, "left")
+    each = vertebrae.complete_along(grid.on(v), grid.n_slices, own).drop(*grid.keys).join(size.hint("merge"), key).join(heights.hint("merge"), key, "left")
     g = rules.fracture_grade(F.col("anterior_height"), F.col("middle_height"), F.col("posterior_height"), F.col("depth"), F.col("confidence") >= 0.2)
     each = each.withColumn("_g", g).withColumns({"grade": F.col("_g.grade"), "pattern": F.col("_g.pattern"), "ordinal": F.array_position(F.array(*[F.lit(x) for x in cfg["levels"]]), F.col("mask"))})
     ok = (F.col("grade") == 0) & (F.col("confidence") >= 0.2) & (F.col("_b") >= 0.35 * F.col("_n"))
@@ -414,13 +429,15 @@ def composite(l1: DataFrame, volumetric: DataFrame, fracture: DataFrame, key: st
 @metric("effusion")
 def effusion(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     """Effusion components by the side of the nearer lung, volumes by side; sides below the least volume don't count."""
+    g = Grid.of(t, cfg)
     labelled = components.label_runs(t["voxels"].where(F.col("mask") == cfg["mask"]))
     pts = labelled.select("study", "component", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z")
     lung = lambda m: morphology.surface(t["voxels"].where(F.col("mask") == m)).drop("mask")
-    sides = morphology.lateralize(pts, lung(cfg["left"]), lung(cfg["right"]), cfg["spacing"], ["study"], "component", cfg.get("most_mm", 512.0))
+    sides = morphology.lateralize(g.on(pts), g.on(lung(cfg["left"])), g.on(lung(cfg["right"])), g.spacing, ["study", *g.keys], "component", cfg.get("most_mm", 512.0))
     n = labelled.groupBy("study", "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
     both = n.join(sides.select("study", "component", "side").hint("merge"), ["study", "component"], "left")
-    vol = both.groupBy("study", F.coalesce("side", F.lit("indeterminate")).alias("side")).agg((F.sum("n") * cfg["voxel_ml"]).alias("ml"))
+    vol = g.on(both.groupBy("study", F.coalesce("side", F.lit("indeterminate")).alias("side")).agg(F.sum("n").alias("n")))
+    vol = vol.select("study", "side", (F.col("n") * g.ml).alias("ml"))
     return windows.effusion_qc(vol, ["study"], "ml", cfg.get("least_ml", 50))
 
 

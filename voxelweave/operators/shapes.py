@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from voxelweave.operators.grids import Spacing, steps
 from voxelweave.operators.masks import GROUP
 
 
@@ -21,21 +22,21 @@ def principal_axes(cov: pd.Series) -> pd.Series:
     return pd.Series(list(v[:, :, ::-1].transpose(0, 2, 1).reshape(-1, 9)))
 
 
-def moments(points: DataFrame, group: list[str], spacing: tuple[float, float, float]) -> DataFrame:
+def moments(points: DataFrame, group: list[str], spacing: Spacing) -> DataFrame:
     """Centre and covariance in mm of each group's points, as one aggregate."""
-    m = [F.col(a) * F.lit(float(s)) for a, s in zip("xyz", spacing)]
+    m = [F.col(a) * s for a, s in zip("xyz", steps(spacing))]
     pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
     return points.groupBy(*group).agg(F.count("*").alias("n_points"), F.array(*[F.avg(c) for c in m]).alias("centre"), F.array(*[F.covar_pop(m[i], m[j]) for i, j in pairs]).alias("cov"))
 
 
-def pca_extent(points: DataFrame, group: list[str] = GROUP, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+def pca_extent(points: DataFrame, group: list[str] = GROUP, spacing: Spacing = (1.0, 1.0, 1.0)) -> DataFrame:
     """Extents in mm along the three principal axes of each group's points, longest variance first."""
     stats = moments(points, group, spacing).withColumn("axes", principal_axes("cov"))
     both = points.join(stats.hint("merge"), group)
     proj = []
     for k in range(3):
         p = F.lit(0.0)
-        for i, (a, s) in enumerate(zip("xyz", spacing)):
+        for i, (a, s) in enumerate(zip("xyz", steps(spacing))):
             p = p + (F.col(a) * s - F.get("centre", F.lit(i))) * F.get("axes", F.lit(3 * k + i))
         proj.append((F.max(p) - F.min(p)).alias(f"extent_{k + 1}"))
     return both.groupBy(*group).agg(F.count("*").alias("n_points"), *proj)
@@ -47,9 +48,9 @@ def inplane_rotation(points: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return got.select(*group, F.degrees(0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy"))).alias("angle"))
 
 
-def infer_axes(bounds: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
+def infer_axes(bounds: DataFrame, spacing: Spacing) -> DataFrame:
     """The axis with the longest span and, of the other two, the shorter one."""
-    s = [(F.col(f"{a}_max") - F.col(f"{a}_min") + 1) * F.lit(float(m)) for a, m in zip("xyz", spacing)]
+    s = [(F.col(f"{a}_max") - F.col(f"{a}_min") + 1) * m for a, m in zip("xyz", steps(spacing))]
     top = F.greatest(*s)
     si = F.when(s[0] == top, 0).when(s[1] == top, 1).otherwise(2)
     ap = F.when(si == 0, F.when(s[1] <= s[2], 1).otherwise(2)).when(si == 1, F.when(s[0] <= s[2], 0).otherwise(2)).otherwise(F.when(s[0] <= s[1], 0).otherwise(1))

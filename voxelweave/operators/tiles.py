@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
+from voxelweave.operators.grids import SPACING, Spacing
+
 #: Edge of a tile in voxels, at least; a longer reach makes larger tiles, so a voxel goes to 27 tiles at most.
 TILE = 32
 Offset = tuple[int, int, int]
@@ -24,11 +26,13 @@ def sizes(reach: Offset) -> Offset:
     return tuple(max(TILE, r) for r in reach)
 
 
-def dealt(voxels: DataFrame, reach: Offset) -> DataFrame:
-    """Each voxel once for every tile (_tx, _ty, _tz) that holds it or is within `reach` of it."""
-    for a, r, n in zip("xyz", reach, sizes(reach)):
+def dealt(voxels: DataFrame, reach: tuple[int | Column, ...]) -> DataFrame:
+    """Each voxel once for every tile (_tx, _ty, _tz) that holds it or is within `reach` of it; a reach that is a column may differ by group."""
+    for a, r in zip("xyz", reach):
+        own = isinstance(r, Column)
+        n = F.greatest(F.lit(TILE), r) if own else max(TILE, r)
         tile = lambda d, a=a, n=n: F.floor((F.col(a) + d) / n).cast("int")
-        voxels = voxels.withColumn(f"_t{a}", F.explode(F.sequence(tile(-r), tile(r))) if r else tile(0))
+        voxels = voxels.withColumn(f"_t{a}", F.explode(F.sequence(tile(-r), tile(r))) if own or r else tile(0))
     return voxels
 
 
@@ -37,30 +41,40 @@ def repeated(key: tuple[pa.Scalar, ...], n: int) -> list[pa.Array]:
     return [pa.repeat(k, n) if k.is_valid else pa.nulls(n, k.type) for k in key]
 
 
-def stencil(voxels: DataFrame, group: list[str], reach: Offset, work: Callable[[np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray]], value: str | None = None) -> DataFrame:
+def spacing_of(group: list[str], key: tuple[pa.Scalar, ...]) -> tuple[float, ...]:
+    """sx, sy and sz among the values of a key."""
+    return tuple(key[group.index(s)].as_py() for s in SPACING)
+
+
+def stencil(voxels: DataFrame, group: list[str], reach: tuple[int | Column, ...], work: Callable, value: str | None = None, spacing: Spacing = (1.0, 1.0, 1.0)) -> DataFrame:
     """The voxels that `work` leaves of each group, as group columns, x, y, z and maybe a value (double, NaN is null).
 
-    work gets the occupied cells of a tile and its surroundings (bool, axes x, y, z) and returns the cells that are
-    occupied afterwards, with their values if `value` names them; only a tile's own cells count. Repeated voxels count once.
+    work gets the occupied cells of a tile and its surroundings (bool, axes x, y, z), the reach and the spacing of its group,
+    and returns the cells that are occupied afterwards, with their values if `value` names them; only a tile's own cells
+    count. Repeated voxels count once.
     """
-    size = sizes(reach)
     flat = voxels.select(*group, "x", "y", "z")
     fields = flat.schema.fields + ([StructField(value, DoubleType())] if value else [])
+    reaches = ["_rx", "_ry", "_rz"]
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        reach = tuple(k.as_py() for k in key[-6:-3])
+        size = sizes(reach)
         own = [k.as_py() * n for k, n in zip(key[-3:], size)]
         cells = np.zeros([n + 2 * r for n, r in zip(size, reach)], bool)
         cells[tuple(rows.column(a).to_numpy() - o + r for a, o, r in zip("xyz", own, reach))] = True
-        got = work(cells)
+        got = work(cells, reach, spacing_of(group, key) if spacing is None else spacing)
         keep, of = got if value else (got, None)
         inner = tuple(slice(r, r + n) for n, r in zip(size, reach))
         at = np.nonzero(keep[inner])
-        cols = repeated(key[:-3], len(at[0])) + [pa.array(i + o).cast(rows.schema.field(a).type) for i, o, a in zip(at, own, "xyz")]
+        cols = repeated(key[:-6], len(at[0])) + [pa.array(i + o).cast(rows.schema.field(a).type) for i, o, a in zip(at, own, "xyz")]
         if value:
             cols.append(pa.array(of[inner][at], pa.float64(), from_pandas=True))
         return pa.Table.from_arrays(cols, [f.name for f in fields])
 
-    return dealt(flat, reach).groupBy(*group, "_tx", "_ty", "_tz").applyInArrow(run, StructType(fields))
+    each = flat.withColumns({n: r if isinstance(r, Column) else F.lit(r) for n, r in zip(reaches, reach)})
+    each = dealt(each, tuple(F.col(n) if isinstance(r, Column) else r for n, r in zip(reaches, reach)))
+    return each.groupBy(*group, *reaches, "_tx", "_ty", "_tz").applyInArrow(run, StructType(fields))
 
 
 def moved(cells: np.ndarray, offset: Offset) -> np.ndarray:
@@ -130,7 +144,7 @@ def _columns(others: DataFrame, planes: DataFrame, group: list[str]) -> DataFram
     return rows.groupBy(*group, "_x", "_y").applyInArrow(run, StructType(fields))
 
 
-def distance_to(points: DataFrame, others: DataFrame, spacing: tuple[float, float, float], group: list[str]) -> DataFrame:
+def distance_to(points: DataFrame, others: DataFrame, spacing: Spacing, group: list[str]) -> DataFrame:
     """The points, all columns, with the distance in mm to the nearest of the others in their group; left out where there are none.
 
     Exact, and linear in the volume that the others' columns and the points' planes span: no radius, no pairs. A task
@@ -139,12 +153,12 @@ def distance_to(points: DataFrame, others: DataFrame, spacing: tuple[float, floa
     planes = points.groupBy(*group).agg(F.min("z").alias("_first"), F.max("z").alias("_last"))
     blocks = _columns(others, planes, group)
     names = points.columns
-    sx, sy, sz = map(float, spacing)
 
-    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], mine: pa.Table, theirs: pa.Table) -> pa.Table:
         out = pa.schema([*(mine.schema.field(c) for c in names), pa.field("distance", pa.float64())])
         if not mine.num_rows or not theirs.num_rows:
             return out.empty_table()
+        sx, sy, sz = map(float, spacing_of(group, key) if spacing is None else spacing)
         bx, by = theirs.column("_x").to_numpy(), theirs.column("_y").to_numpy()
         x0, y0 = int(bx.min()), int(by.min())
         d = np.full(((int(bx.max()) - x0 + 1) * TILE, (int(by.max()) - y0 + 1) * TILE), np.inf)

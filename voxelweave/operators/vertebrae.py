@@ -14,19 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxelweave.operators import components, masks, morphology, shapes, tiles, windows
+from voxelweave.operators.grids import Spacing, rounds_of, steps
 from voxelweave.operators.masks import GROUP
 from voxelweave.session import cut
 
-Spacing = tuple[float, float, float]
 #: Offsets in mm from the centre line of the slabs whose heights are taken.
 OFFSETS = (-15.0, -10.0, -5.0, 0.0, 5.0, 10.0, 15.0)
 
 
-def rounds_of(mm: float, spacing: Spacing) -> int:
-    """How many rounds of a neighbourhood stand for a distance."""
-    return max(1, round(mm / max(min(spacing), 1e-6)))
-
-
 def largest_part(voxels: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """The voxels of each group's largest component (26 neighbours; of equals that with the first voxel)."""
     runs = components.label_runs(voxels, group)
@@ -57,8 +52,8 @@ def isolate_body(voxels: DataFrame, spacing: Spacing, group: list[str] = GROUP,
     around the largest one stay whose area is at least `share` of it, and one slice on either side.
     """
     part = cut(largest_part(voxels, group))
-    half = min(spacing) * 0.5
-    limits = [core_mm, max(core_mm * 0.75, half), max(core_mm * 0.5, half)]
+    half = F.least(*steps(spacing)) * 0.5
+    limits = [F.lit(core_mm), F.greatest(F.lit(core_mm * 0.75), half), F.greatest(F.lit(core_mm * 0.5), half)]
     deep = cut(morphology.background_distance(part, core_mm, spacing, group))
     reached = [F.bool_or(F.col("d2").isNull() | (F.col("d2") >= t * t)) for t in limits]
     pick = F.when(reached[0], limits[0]).when(reached[1], limits[1]).when(reached[2], limits[2]).otherwise(0.0)
@@ -103,7 +98,7 @@ def parasagittal_heights(body: DataFrame, spacing: Spacing, group: list[str] = G
     ax = axes(body, group)
     v = body.join(ax.hint("merge"), group).select(*group, along("ap_axis").alias("a"), along("si_axis").alias("s"), along("lateral_axis").alias("l"), "ap_axis", "si_axis", "lateral_axis")
     v = cut(v)
-    mm = lambda axis: F.get(F.array(*[F.lit(float(s)) for s in spacing]), F.col(axis))
+    mm = lambda axis: F.get(F.array(*steps(spacing)), F.col(axis))
     line = v.select(*group, "s", "l").distinct().groupBy(*group, "s").agg(F.percentile("l", 0.5).alias("_mid"))
     ends = v.groupBy(*group).agg(F.min("s").alias("_s0"), F.max("s").alias("_s1"))
     whole = ends.select(*group, F.explode(F.sequence("_s0", "_s1")).alias("s"))
@@ -154,7 +149,7 @@ def height_screen(voxels: DataFrame, spacing: Spacing, group: list[str] = GROUP,
     """
     stats = shapes.moments(voxels, group, spacing).withColumn("axes", shapes.principal_axes("cov"))
     p = voxels.join(stats.hint("merge"), group)
-    on = lambda k: sum(((F.col(a) * s - F.get("centre", F.lit(i))) * F.get("axes", F.lit(3 * k + i)) for i, (a, s) in enumerate(zip("xyz", spacing))), F.lit(0.0))
+    on = lambda k: sum(((F.col(a) * s - F.get("centre", F.lit(i))) * F.get("axes", F.lit(3 * k + i)) for i, (a, s) in enumerate(zip("xyz", steps(spacing)))), F.lit(0.0))
     p = cut(p.select(*group, "n_points", on(0).alias("si"), on(1).alias("ap")))
     q = p.groupBy(*group).agg(F.percentile("ap", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
     third = F.when(F.col("ap") <= F.get("_q", F.lit(0)), 0).when(F.col("ap") <= F.get("_q", F.lit(1)), 1).otherwise(2)
@@ -170,20 +165,20 @@ def height_screen(voxels: DataFrame, spacing: Spacing, group: list[str] = GROUP,
     return got.withColumn("suspicion", F.when(ok, hit)).withColumn("status", F.when(~ok, "indeterminate").when(hit, "suspected_fracture").otherwise("no_suspicion"))
 
 
-def complete_along(voxels: DataFrame, n_slices: int, group: list[str] = GROUP) -> DataFrame:
+def complete_along(voxels: DataFrame, n_slices: int | Column, group: list[str] = GROUP) -> DataFrame:
     """Whether each mask ends before the first and the last slice of the volume."""
     return voxels.groupBy(*group).agg(((F.min("z") > 0) & (F.max("z") < n_slices - 1)).alias("complete"))
 
 
-def vertebra_measure(voxels: DataFrame, spacing: Spacing, n_slices: int, steps: tuple[float, ...] = (0, 1, 2, 3, 4, 5), group: list[str] = GROUP, value: str = "hu") -> DataFrame:
+def vertebra_measure(voxels: DataFrame, spacing: Spacing, n_slices: int | Column, at: tuple[float, ...] = (0, 1, 2, 3, 4, 5), group: list[str] = GROUP, value: str = "hu") -> DataFrame:
     """Count, mean and deviation of each complete vertebra's whole mask and of its erosions, one row a step; incomplete ones only by name.
 
     A step that leaves nothing has no voxels and no mean.
     """
     flags = complete_along(voxels, n_slices, group)
     whole = voxels.join(flags.where("complete").hint("merge"), group, "left_semi")
-    got = morphology.erosion_profile(whole, value, list(steps), spacing, group)
-    each = flags.withColumn("step", F.explode(F.when(F.col("complete"), F.array(*[F.lit(float(s)) for s in steps])).otherwise(F.array(F.lit(0.0)))))
+    got = morphology.erosion_profile(whole, value, list(at), spacing, group)
+    each = flags.withColumn("step", F.explode(F.when(F.col("complete"), F.array(*[F.lit(float(s)) for s in at])).otherwise(F.array(F.lit(0.0)))))
     both = each.join(got.hint("merge"), [*group, "step"], "left")
     return both.select(*group, "complete", F.col("complete").alias("included"), "step", F.coalesce("n_voxels", F.lit(0)).alias("n_voxels"), F.round("mean", 2).alias("mean"), F.round("deviation", 2).alias("deviation"))
 
@@ -264,7 +259,8 @@ def l1_sagittal_roi(voxels: DataFrame, spacing: Spacing, group: list[str] = GROU
         r0, c0 = int(r.min()), int(c.min())
         cells, values = np.zeros((r.max() - r0 + 1, c.max() - c0 + 1), bool), np.zeros((r.max() - r0 + 1, c.max() - c0 + 1))
         cells[r - r0, c - c0], values[r - r0, c - c0] = True, v
-        status, got = roi_of_plane(cells, (spacing[1] if axis == "x" else spacing[0], spacing[2]), front_low, erosion_mm, radius_mm)
+        mine = tiles.spacing_of(group, key) if spacing is None else spacing
+        status, got = roi_of_plane(cells, (mine[1] if axis == "x" else mine[0], mine[2]), front_low, erosion_mm, radius_mm)
         if got:
             inside = values[got["roi"]]
             said = [got["at"][0] + r0, got["at"][1] + c0, *got["radii"], got["inscribed"], len(inside), float(inside.mean()), float(inside.std())]
