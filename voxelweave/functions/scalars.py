@@ -144,6 +144,12 @@ def slice_normal(orientation: Column) -> Column:
     return F.when(length > 0, F.transform(n, lambda x: x / length))
 
 
+def angle_between(a: Column, b: Column) -> Column:
+    """Angle in degrees between two unit vectors, either way round."""
+    c = F.abs(dot(a, b))
+    return F.when(c.isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), c))))
+
+
 def affine_world(affine: Column, x: Column, y: Column, z: Column) -> Column:
     """World coordinates of a voxel index by a row-major 4 x 4 affine of 16 numbers."""
     a = lambda i: F.get(affine, F.lit(i))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelweave.functions import scalars as S
 from voxelweave.session import config_rows, cut
 
 POSITIVE = ["anatomy_complete", "anatomy_present", "anatomy_truncated"]
@@ -47,14 +50,17 @@ def frame_extents(acquisitions: DataFrame, study: str = "study") -> DataFrame:
     return acquisitions.groupBy(study, frame.alias("frame")).agg(F.min("low_mm").alias("inferior_mm"), F.max("high_mm").alias("superior_mm"), F.count("*").alias("n"))
 
 
-def extent_gaps(acquisitions: DataFrame, spacing: Column, study: str = "study", digits: int = 4) -> DataFrame:
-    """Pairs of acquisitions of a study in compatible frames that are farther apart than 1.5 spacings.
+def extent_gaps(acquisitions: DataFrame, spacing: Column, study: str = "study", digits: int = 4, degrees: float = 5.0) -> DataFrame:
+    """Pairs of parallel acquisitions of a study in compatible frames that are farther apart than 1.5 spacings.
 
-    A self join within the study, of which acquisitions number in tens.
+    Acquisitions without an extent or an orientation (six cosines) are left out; an empty frame fits every other. A self join
+    within the study, of which acquisitions number in tens.
     """
-    a = acquisitions.where("low_mm is not null and high_mm is not null").select(study, "acquisition", "frame", F.least("low_mm", "high_mm").alias("low"), F.greatest("low_mm", "high_mm").alias("high"), spacing.alias("mm"))
+    a = acquisitions.where("low_mm is not null and high_mm is not null").select(study, "acquisition", F.nullif("frame", F.lit("")).alias("frame"), S.slice_normal(F.col("orientation")).alias("normal"), F.least("low_mm", "high_mm").alias("low"), F.greatest("low_mm", "high_mm").alias("high"), F.coalesce(spacing, F.lit(0.0)).alias("mm"))
+    a = a.where("normal is not null")
     l, r = a.alias("l"), a.alias("r")  # noqa: E741
     both = l.join(r.hint("merge"), F.col(f"l.{study}") == F.col(f"r.{study}")).where("l.acquisition < r.acquisition and coalesce(l.frame = r.frame, true)")
+    both = both.where(F.abs(S.dot(F.col("l.normal"), F.col("r.normal"))) >= math.cos(math.radians(degrees)))
     gap = F.greatest(F.lit(0.0), F.greatest("l.low", "r.low") - F.least("l.high", "r.high"))
     limit = F.greatest(F.col("l.mm"), F.col("r.mm"), F.lit(1.0)) * 1.5
     return both.where(gap > limit).select(F.col(f"l.{study}").alias(study), F.col("l.acquisition").alias("left"), F.col("r.acquisition").alias("right"), F.round(gap, digits).alias("distance_mm"))
@@ -85,38 +91,93 @@ def inventory_gate(jobs: DataFrame, facts: DataFrame, case: str) -> DataFrame:
     return both.groupBy(case, "job").agg(F.array_join(failed, ",").alias("failed")).withColumn("runs", F.col("failed") == "")
 
 
+def closure(edges: DataFrame, src: str, dst: str, weight: str | None = None) -> DataFrame:
+    """Least weight (w) of a path between any two nodes that one leads to the other, src and dst; an edge weighs 1 unless told.
+
+    Paths double in every round, so rounds are logarithmic in the longest path. Rows are pairs of a node and what follows
+    from it, which job graphs have few of. The table is cut each round, the edges are read once.
+    """
+    w = F.lit(1) if weight is None else F.col(weight)
+    p = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), w.cast("bigint").alias("w")).where("src is not null and dst is not null")
+    p, before = cut(p.groupBy("src", "dst").agg(F.min("w").alias("w"))), None
+    while True:
+        seen = tuple(p.agg(F.count("*"), F.sum("w")).first())
+        if seen == before or not seen[0]:
+            return p
+        before = seen
+        far = p.select("src", F.col("dst").alias("_m"), F.col("w").alias("_w")).join(p.select(F.col("src").alias("_m"), "dst", "w").hint("merge"), "_m")
+        p = cut(p.union(far.select("src", "dst", F.col("_w") + F.col("w"))).groupBy("src", "dst").agg(F.min("w").alias("w")))
+
+
 def reachable(edges: DataFrame, start: DataFrame, src: str, dst: str) -> DataFrame:
-    """All nodes that follow from the start nodes, these included (column node): a frontier join a level, cut each time."""
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct()
-    found = cut(start.toDF("node").where("node is not null").distinct())
-    front = found
-    while not front.isEmpty():
-        new = front.join(e.hint("merge"), "node").select(F.col("next").alias("node")).distinct()
-        front = cut(new.join(found.hint("merge"), "node", "left_anti"))
-        found = cut(found.union(front))
-    return found
+    """All nodes that follow from the start nodes, these included (column node): a root before them has them in its closure."""
+    e = edges.select(F.array(src).alias("src"), F.array(dst).alias("dst")).where("src[0] is not null and dst[0] is not null")
+    kind = e.schema["dst"].dataType.simpleString()
+    root = start.toDF("_n").where("_n is not null").select(F.array().cast(kind).alias("src"), F.array("_n").cast(kind).alias("dst"))
+    return closure(e.union(root), "src", "dst").where(F.size("src") == 0).select(F.get("dst", F.lit(0)).alias("node"))
 
 
-def job_prune(jobs: DataFrame, needs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Every job with whether it stays: it goes if it was dropped or, directly or not, needs one that was."""
-    gone = reachable(needs, dropped, "need", "job").withColumnRenamed("node", "job").withColumn("_gone", F.lit(True))
-    return jobs.join(gone.hint("merge"), "job", "left").withColumn("stays", F.col("_gone").isNull()).drop("_gone")
+def resolved_jobs(jobs: DataFrame, needs: DataFrame, requested: DataFrame) -> DataFrame:
+    """The jobs that a request brings about (job, why): those asked for, then what is automatic, then what either needs.
 
+    jobs has job and automatic, needs has job and need, requested has job. Names that no job has are left to unknown_jobs().
+    """
+    asked = requested.select("job").distinct().join(jobs.select("job").distinct().hint("merge"), "job", "left_semi").withColumn("_by", F.lit(0))
+    own = jobs.where("automatic").select("job", F.lit(1).alias("_by"))
+    start = cut(asked.union(own))
+    found = reachable(needs, start.select("job"), "job", "need").select(F.col("node").alias("job"), F.lit(2).alias("_by"))
+    by = found.union(start).groupBy("job").agg(F.min("_by").alias("_by"))
+    return by.select("job", F.element_at(F.array(F.lit("requested"), F.lit("automatic"), F.lit("needed")), F.col("_by") + 1).alias("why"))
+
+
+def unknown_jobs(jobs: DataFrame, requested: DataFrame) -> DataFrame:
+    """The names asked for that no job has."""
+    return requested.select("job").distinct().join(jobs.select("job").hint("merge"), "job", "left_anti")
 
-def job_cycles(needs: DataFrame) -> DataFrame:
-    """Jobs that lie on or lead into a cycle: jobs whose needs are all settled are taken away until none is left to take.
 
-    Returns the jobs that stay (column job); none means that the needs can be ordered.
+def job_prune(jobs: DataFrame, needs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Every job (job, place) with whether it stays, and if not the reason and what it misses.
+
+    A job goes if it was dropped (job, failed: what it lacks), or if it needs one that is gone or that does not exist.
+    Jobs are gone through in order of place, again and again, until none goes any more; a job misses the needs that
+    were gone when its turn came. The pass in which a job goes is the least of those of its needs, plus one where the need
+    stands behind it: a shortest path, which doubling finds.
+    """
+    j = jobs.select("job", "place")
+    asks = needs.select("job", "need").where("need is not null").distinct().join(j.hint("merge"), "job")
+    asks = cut(asks.join(j.select(F.col("job").alias("need"), F.col("place").alias("_at")).hint("merge"), "need", "left"))
+    gone = cut(dropped.groupBy("job").agg(F.array_join(F.array_sort(F.flatten(F.collect_set("failed"))), ",").alias("failed")))
+    lost = asks.join(gone.select(F.col("job").alias("need"), F.lit(True).alias("_lost")).hint("merge"), "need", "left")
+    lost = cut(lost.withColumn("_lost", F.coalesce("_lost", F.col("_at").isNull())))
+    # what is gone before the first pass leads to those who need it in pass one; from there each need leads on
+    root = lost.where("_lost").select(F.lit("").alias("src"), F.concat(F.lit("+"), "job").alias("dst"), F.lit(1).alias("w"))
+    step = lost.where("not _lost").select(F.concat(F.lit("+"), "need").alias("src"), F.concat(F.lit("+"), "job").alias("dst"), (F.col("_at") > F.col("place")).cast("int").alias("w"))
+    turn = closure(root.union(step), "src", "dst", "w").where("src = ''").select(F.substring("dst", 2, 1 << 30).alias("job"), F.col("w").alias("turn"))
+    turn = cut(turn.join(gone.select("job").hint("merge"), "job", "left_anti"))
+    both = lost.join(turn.hint("merge"), "job").join(turn.select(F.col("job").alias("need"), F.col("turn").alias("_t")).hint("merge"), "need", "left")
+    missed = both.where(F.col("_lost") | (F.col("_t") < F.col("turn")) | ((F.col("_t") == F.col("turn")) & (F.col("_at") < F.col("place"))))
+    missed = missed.groupBy("job").agg(F.array_join(F.array_sort(F.collect_set("need")), ",").alias("missing_needs"))
+    out = j.join(gone.hint("merge"), "job", "left").join(missed.hint("merge"), "job", "left")
+    reason = F.when(F.col("failed").isNotNull(), "inventory_requirements_not_met").when(F.col("missing_needs").isNotNull(), "dependency_not_selected")
+    return out.select("job", reason.isNull().alias("stays"), reason.alias("reason"), F.when(F.col("failed").isNull(), F.col("missing_needs")).alias("missing_needs"), "failed")
+
+
+def job_findings(jobs: DataFrame, needs: DataFrame) -> DataFrame:
+    """What is wrong with a job graph (finding, job, detail): a need that no job has, a job that needs itself, a job on a cycle.
+
+    The detail is the need, or the smallest job of the cycle's component: jobs that lead to each other. Jobs that only lead
+    into a cycle are not on it. No row means that the needs can be ordered.
     """
-    left = cut(needs.select("job", "need").distinct())
-    n = left.count()
-    while n:
-        left = cut(left.join(left.select(F.col("job").alias("need")).distinct().hint("merge"), "need", "left_semi").select("job", "need"))
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    return left.select("job").distinct()
+    e = cut(needs.select("job", "need").where("job is not null and need is not null").distinct())
+    missing = e.join(jobs.select(F.col("job").alias("need")).hint("merge"), "need", "left_anti").select(F.lit("missing_need").alias("finding"), "job", F.col("need").alias("detail"))
+    own = e.where("job = need").select(F.lit("self_need").alias("finding"), "job", F.col("need").alias("detail"))
+    # only what both needs and is needed can lie on a cycle
+    inner = e.where("job <> need")
+    inner = inner.join(inner.select(F.col("need").alias("job")).distinct().hint("merge"), "job", "left_semi").join(inner.select(F.col("job").alias("need")).distinct().hint("merge"), "need", "left_semi")
+    p = closure(inner, "job", "need").select("src", "dst")
+    back = p.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    round_ = p.join(back.hint("merge"), ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("detail"))
+    return missing.union(own).union(round_.select(F.lit("cycle"), F.col("src"), "detail"))
 
 
 def task_requirements(jobs: DataFrame, tasks: str, by: list[str]) -> DataFrame:

@@ -133,22 +133,48 @@ def method_agreement(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFra
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), F.corr(a, b).alias("r"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.stddev_samp(a).alias("sd_a"), F.stddev_samp(b).alias("sd_b"), F.avg(F.col(a) - F.col(b)).alias("bias"))
 
 
-def fanout(items: DataFrame, destinations: DataFrame, kind: str) -> DataFrame:
-    """Items to the enabled destinations that take their kind (null takes all); one row an item and destination.
+def subscribed(items: DataFrame, destinations: DataFrame, kind: str, address: list[str]) -> DataFrame:
+    """Items with each enabled destination that takes their kind: destination, its address, and its place in the configuration.
 
-    Those that take one kind meet their items by it; those that take all are configuration, so each item gets their list.
+    destinations has name, accepts (array of kinds; null takes all), enabled, ordinal and the address columns; one without a
+    name or a complete address (empty text, a number below 1) gets nothing. Each list is exploded once and meets its items by
+    kind; those that take all are configuration, so each item gets their list.
     """
-    d = destinations.where("enabled").select(F.col("name").alias("destination"), "accepts")
-    one = items.join(small_side(d.where("accepts is not null")), F.col("accepts") == F.col(kind)).drop("accepts")
-    names = [r.destination for r in config_rows(d.where("accepts is null").select("destination").distinct())]
-    every = items.withColumn("destination", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
-    return one.unionByName(every).dropDuplicates()
+    d = destinations.where(F.coalesce("enabled", F.lit(True)) & (F.trim("name") != ""))
+    for c in address:
+        d = d.where(F.trim(c) != "" if d.schema[c].dataType.simpleString() == "string" else F.col(c) > 0)
+    d = d.select(F.trim("name").alias("destination"), "accepts", F.col("ordinal").alias("_place"), *address)
+    kinds = F.array_distinct(F.transform("accepts", lambda x: F.trim(x)))
+    one = d.where("accepts is not null").withColumn("_kind", F.explode(kinds)).where("_kind <> ''").drop("accepts")
+    met = items.join(small_side(one), F.col("_kind") == F.col(kind)).drop("_kind")
+    rest = d.where("accepts is null").drop("accepts")
+    each = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rest.schema]) for r in config_rows(rest)]
+    every = items.withColumn("_d", F.explode(F.array(*each))).select("*", "_d.*").drop("_d") if each else met.limit(0)
+    return met.unionByName(every)
+
+
+def fanout(items: DataFrame, destinations: DataFrame, kind: str, case: str, path: str, order: str, address: list[str]) -> DataFrame:
+    """Artifacts to all destinations that take their kind, a row a case, path and destination: the first artifact that one takes, by `order`, and the first record of the destination.
+
+    Artifacts without a path go nowhere; without a kind they count as secondary_capture.
+    """
+    own = F.coalesce(F.nullif(F.trim(kind), F.lit("")), F.lit("secondary_capture"))
+    rows = items.where(F.trim(path) != "").withColumn(kind, own)
+    got = subscribed(rows, destinations, kind, address)
+    best = got.groupBy(case, F.trim(path).alias(path), "destination").agg(F.min_by(F.struct(kind, *address), F.struct(order, "_place")).alias("_b"))
+    return best.select(case, path, "destination", "_b.*")
+
+
+def fanout_events(events: DataFrame, destinations: DataFrame, kind: str, key: str, address: list[str] = ["url"]) -> DataFrame:
+    """Events to all destinations that subscribe to their kind, one row an event and name: the first record of the name, in order of the configuration, that takes the event."""
+    got = subscribed(events, destinations, kind, address)
+    best = got.groupBy(key, "destination").agg(F.min_by(F.struct(kind, *address), "_place").alias("_b"))
+    return best.select(key, "destination", "_b.*")
 
 
-def first_subscribed(items: DataFrame, destinations: DataFrame, kind: str) -> DataFrame:
-    """Events to the first destination, by ordinal, that subscribes to their kind. The subscriptions are broadcast if they are few."""
-    first = destinations.where("enabled").groupBy("accepts").agg(F.min_by("name", "ordinal").alias("destination"))
-    return items.join(small_side(first), F.col("accepts") == F.col(kind)).drop("accepts")
+def unsupported_methods(destinations: DataFrame, method: str = "method") -> DataFrame:
+    """The enabled destinations whose method is not POST: configuration errors, as a table."""
+    return destinations.where(F.coalesce("enabled", F.lit(True)) & (F.upper(F.coalesce(F.nullif(F.trim(method), F.lit("")), F.lit("POST"))) != "POST")).select("name", method)
 
 
 def digest_upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -113,25 +113,67 @@ def overlap_ratio(a_low: Column, a_high: Column, b_low: Column, b_high: Column)
     return F.when(a_low.isNotNull() & a_high.isNotNull() & b_low.isNotNull() & b_high.isNotNull(), F.try_divide(both, F.nullif(F.least(a_high - a_low, b_high - b_low), F.lit(0.0))))
 
 
-def equivalence(df: DataFrame, study: str, uid: str, least_overlap: float = 0.8) -> DataFrame:
-    """Each two series of a study (a before b) with whether they show the same, and why or why not.
+def _facts(df: DataFrame, study: str, uid: str) -> DataFrame:
+    """What equivalence needs of a series, each worked out once: empty texts are null, times are seconds."""
+    text = lambda n: F.nullif(F.col(n), F.lit("")).alias(n)
+    known = F.col("low_mm").isNotNull() & F.col("high_mm").isNotNull()
+    return df.select(
+        study, uid, "modality", text("frame"), text("acquisition"), F.coalesce(F.nullif("phase", F.lit("")), F.lit("unknown")).alias("phase"), S.epoch_s(S.parse_header_time(F.col("acquired_at"))).alias("t"),
+        F.when(~F.coalesce("derived", F.lit(False)), S.slice_normal(F.col("orientation"))).alias("normal"), F.when(known, F.least("low_mm", "high_mm")).alias("low"), F.when(known, F.greatest("low_mm", "high_mm")).alias("high"),
+    )
+
 
-    The join is within a study, of which series number in tens.
+def _judged(pairs: DataFrame, study: str, uid: str, least_overlap: float, seconds: float, degrees: float) -> DataFrame:
+    """Pairs of series (a, b) with whether they show the same, and the evidence in its order or the first conflict.
+
+    Two series with one acquisition number in one frame show the same, or two close in time that overlap in space, unless
+    something speaks against it. What is null or empty is neither evidence nor conflict.
     """
-    a, b = df.alias("a"), df.alias("b")
-    p = a.join(b.hint("merge"), F.col(f"a.{study}") == F.col(f"b.{study}")).where(F.col(f"a.{uid}") < F.col(f"b.{uid}"))
-    col = lambda n: (F.col(f"a.{n}"), F.col(f"b.{n}"))
-    fa, fb = col("frame")
-    pa, pb = (S.phase_normalize(x) for x in col("phase"))
-    aa, ab = col("acquisition")
-    cover = overlap_ratio(F.col("a.low_mm"), F.col("a.high_mm"), F.col("b.low_mm"), F.col("b.high_mm"))
+    (fa, fb), (aa, ab), (pa, pb), (ta, tb), (na, nb) = ([F.col(f"{side}.{n}") for side in "ab"] for n in ("frame", "acquisition", "phase", "t", "normal"))
+    cover = overlap_ratio(F.col("a.low"), F.col("a.high"), F.col("b.low"), F.col("b.high"))
+    apart, angle = F.abs(ta - tb), S.angle_between(na, nb)
+    pairs = pairs.withColumns({"_cover": cover, "_apart": apart, "_angle": angle})
+    cover, apart, angle = F.col("_cover"), F.col("_apart"), F.col("_angle")
+    is_ = lambda test: F.coalesce(test, F.lit(False))
+    sure = is_((aa == ab) & (fa == fb)) | (is_(apart <= seconds) & cover.isNotNull())
     conflict = P.first_reason(
-        (F.col("a.modality") != F.col("b.modality"), "modality_conflict"), (fa != fb, "frame_of_reference_conflict"),
-        ((pa != "unknown") & (pb != "unknown") & (pa != pb), "contrast_phase_conflict"), (aa != ab, "acquisition_number_conflict"),
-        (cover < least_overlap, "insufficient_spatial_overlap"), (~((aa == ab) & (fa == fb)), "insufficient_equivalence_evidence"),
+        (~F.col("a.modality").eqNullSafe(F.col("b.modality")), "modality_conflict"), (fa != fb, "frame_of_reference_conflict"),
+        ((pa != "unknown") & (pb != "unknown") & (pa != pb), "contrast_phase_conflict"), (aa != ab, "acquisition_number_conflict"), (apart > seconds, "acquisition_time_conflict"),
+        (cover < least_overlap, "insufficient_spatial_overlap"), (angle > degrees, "orientation_conflict"), (~sure, "insufficient_equivalence_evidence"),
     )
-    why = P.reasons((fa == fb, "same_frame_of_reference"), (pa == pb, "same_contrast_phase"), (aa == ab, "same_acquisition_number"), (cover.isNotNull(), "spatial_overlap"))
-    return p.select(F.col(f"a.{study}").alias(study), F.col(f"a.{uid}").alias("left_uid"), F.col(f"b.{uid}").alias("right_uid"), conflict.isNull().alias("equivalent"), F.coalesce(conflict, F.array_join(why, ",")).alias("reasons"))
+    why = P.reasons(
+        (fa == fb, "same_frame_of_reference"), (pa == pb, "same_contrast_phase"), (aa == ab, "same_acquisition_number"),
+        (apart <= seconds, "acquisition_time_proximity"), (cover.isNotNull(), "spatial_overlap"), (angle.isNotNull(), "parallel_orientation"),
+    )
+    return pairs.select(F.col(f"a.{study}").alias(study), F.col(f"a.{uid}").alias("left_uid"), F.col(f"b.{uid}").alias("right_uid"), conflict.isNull().alias("equivalent"), F.coalesce(conflict, F.array_join(why, ",")).alias("reasons"))
+
+
+def equivalence(df: DataFrame, study: str, uid: str, least_overlap: float = 0.8, seconds: float = 30.0, degrees: float = 5.0) -> DataFrame:
+    """Each two series of a study (a before b) with whether they show the same, and why or why not: the audit.
+
+    df has modality, frame, phase, acquisition, acquired_at (header text), orientation (six cosines), derived, low_mm and
+    high_mm. The audit lists all pairs of a study, of which series number in tens; equivalent_pairs() doesn't.
+    """
+    rows = _facts(df, study, uid)
+    a, b = rows.alias("a"), rows.alias("b")
+    p = a.join(b.hint("merge"), F.col(f"a.{study}") == F.col(f"b.{study}")).where(F.col(f"a.{uid}") < F.col(f"b.{uid}"))
+    return _judged(p, study, uid, least_overlap, seconds, degrees)
+
+
+def equivalent_pairs(df: DataFrame, study: str, uid: str, least_overlap: float = 0.8, seconds: float = 30.0, degrees: float = 5.0) -> DataFrame:
+    """The pairs that show the same, with the evidence. Only series that can are compared: those with one acquisition number in
+    one frame, and those in the same or a neighbour stretch of time; so a study of many series makes no square of them.
+    """
+    rows = _facts(df, study, uid)
+    rows = rows.withColumn("_t", F.floor(F.col("t") / seconds))
+    later = rows.withColumn("_t", F.explode(F.array(F.col("_t") - 1, F.col("_t"), F.col("_t") + 1)))
+    named = rows.where("frame is not null and acquisition is not null")
+    on = lambda *cols: [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (study, *cols)]
+    found = []
+    for left, right, cols in ((named, named, ("frame", "acquisition")), (rows, later, ("_t",))):
+        p = left.alias("a").join(right.alias("b").hint("merge"), on(*cols)).where(F.col(f"a.{uid}") < F.col(f"b.{uid}"))
+        found.append(_judged(p, study, uid, least_overlap, seconds, degrees).where("equivalent"))
+    return found[0].union(found[1]).dropDuplicates([study, "left_uid", "right_uid"])
 
 
 def group_series(df: DataFrame, pairs: DataFrame, study: str, uid: str) -> DataFrame:

@@ -33,9 +33,13 @@ def frame_extents(t: Tables):
     return E.frame_extents(t.acquisitions)
 
 
-@query('select l.study, l.acquisition as "left", r.acquisition as "right", round(greatest(l.low_mm, r.low_mm) - least(l.high_mm, r.high_mm), 6) as distance_mm from acquisitions l join acquisitions r on l.study = r.study and l.acquisition < r.acquisition and l.frame = r.frame where greatest(l.low_mm, r.low_mm) - least(l.high_mm, r.high_mm) > greatest(l.acquisition % 5, r.acquisition % 5, 1) * cast(1.5 as double)')
+@query("""select l.study, l.acquisition as "left", r.acquisition as "right", round(greatest(l.low_mm, r.low_mm) - least(l.high_mm, r.high_mm), 6) as distance_mm from acquisitions l join acquisitions r on l.study = r.study and l.acquisition < r.acquisition and coalesce(nullif(l.frame_uid, '') = nullif(r.frame_uid, ''), true)
+ where abs(l.tilt - r.tilt) <= 5 and greatest(l.low_mm, r.low_mm) - least(l.high_mm, r.high_mm) > greatest(l.acquisition % 5, r.acquisition % 5, 1) * cast(1.5 as double)""")
 def extent_gaps(t: Tables):
-    return E.extent_gaps(t.acquisitions, (c("acquisition") % 5).cast("double"), digits=6)
+    """Tilts of up to nine degrees, so some are not parallel; some acquisitions have no orientation, some no frame."""
+    tilt = F.radians(c("tilt"))
+    rows = t.acquisitions.withColumns({"frame": c("frame_uid"), "orientation": F.when(tilt.isNotNull(), F.array(L(1.0), L(0.0), L(0.0), L(0.0), F.cos(tilt), F.sin(tilt)))})
+    return E.extent_gaps(rows, (c("acquisition") % 5).cast("double"), digits=6)
 
 
 @query("select user_id, event_type, row_number() over (partition by user_id order by seen, event_type) as version from (select user_id, event_type, min(ts) as seen from events group by 1, 2)")
@@ -74,15 +78,60 @@ def job_closure(t: Tables):
     return E.reachable(t.job_needs, t.job_needs.where("p_size = 7").select("job"), "job", "need")
 
 
-@query("with recursive r(job) as (select distinct need from job_needs where p_size = 9 and need is not null union select n.job from r join job_needs n on n.need = r.job) select job, job not in (select job from r) as stays from (select distinct job from job_needs)")
+AUTO = "(select job, p_size % 50 = 3 as automatic, cast(substr(job, 2) as bigint) * 7919 % 10007 as place from job_needs)"
+
+
+def _jobs(t: Tables):
+    n = F.substring("job", 2, 20).cast("bigint")
+    return t.job_needs.select("job", (c("p_size") % 50 == 3).alias("automatic"), (n * 7919 % 10007).alias("place"))
+
+
+ASKED = "(select case when p_size = 7 then job when p_size = 8 then concat('x', job) end as job from job_needs where p_size in (7, 8))"
+
+
+def _asked(t: Tables):
+    return t.job_needs.where("p_size in (7, 8)").select(F.when(c("p_size") == 7, c("job")).otherwise(F.concat(L("x"), "job")).alias("job"))
+
+
+@query(f"with recursive s as (select job, 0 as k from {ASKED} where job in (select job from job_needs) union select job, 1 from {AUTO} where automatic), r(job) as (select distinct job from s union select n.need from r join job_needs n on n.job = r.job where n.need is not null), k as (select job, min(k) as k from (select * from s union all select job, 2 from r) group by job) select job, case k when 0 then 'requested' when 1 then 'automatic' else 'needed' end as why from k")
+def resolved_jobs(t: Tables):
+    """Some names that are asked for don't exist; they are left to unknown_jobs."""
+    return E.resolved_jobs(_jobs(t), t.job_needs.select("job", "need"), _asked(t))
+
+
+@query(f"select distinct job from {ASKED} where job not in (select job from job_needs)")
+def unknown_jobs(t: Tables):
+    return E.unknown_jobs(_jobs(t), _asked(t))
+
+
+# the needs of some jobs name one that does not exist
+NEEDS = "(select job, case when p_size = 11 then concat('no', job) else need end as need from job_needs)"
+
+
+def _needs(t: Tables):
+    return t.job_needs.select("job", F.when(c("p_size") == 11, F.concat(L("no"), "job")).otherwise(c("need")).alias("need"))
+
+
+@query(f"""with recursive g as materialized (select job, 'r' || p_size as failed from job_needs where p_size = 9), e as materialized (select n.job, n.need, j.place, k.place as at, k.place is null or n.need in (select job from g) as lost from {NEEDS} n join {AUTO} j on j.job = n.job left join {AUTO} k on k.job = n.need where n.need is not null),
+ r(job, turn) as (select distinct job, 1 from e where lost union select e.job, r.turn + cast(e.at > e.place as int) from r join e on e.need = r.job where not e.lost),
+ t as materialized (select job, min(turn) as turn from r where job not in (select job from g) group by job),
+ m as (select e.job, string_agg(distinct e.need, ',' order by e.need) as missing_needs from e join t on t.job = e.job left join t u on u.job = e.need where e.lost or u.turn < t.turn or (u.turn = t.turn and e.at < e.place) group by e.job)
+ select j.job, g.job is null and m.job is null as stays, case when g.job is not null then 'inventory_requirements_not_met' when m.job is not null then 'dependency_not_selected' end as reason, case when g.job is null then missing_needs end as missing_needs, failed from {AUTO} j left join g on g.job = j.job left join m on m.job = j.job""")
 def job_prune(t: Tables):
-    return E.job_prune(t.job_needs.select("job").distinct(), t.job_needs, t.job_needs.where("p_size = 9").select("need"))
+    gone = t.job_needs.where("p_size = 9").select("job", F.array(F.concat(L("r"), c("p_size").cast("string"))).alias("failed"))
+    return E.job_prune(_jobs(t), _needs(t), gone)
+
+
+# some needs lead back, some to the job itself, some nowhere
+LOOPS = "(select job, case when p_size = 3 then concat('j', cast(cast(substr(job, 2) as int) - 2 as varchar)) when p_size = 4 then job when p_size = 11 then concat('no', job) else need end as need from job_needs)"
 
 
-@query("with recursive e as materialized (select job, case when p_size = 3 then concat('j', cast(cast(substr(job, 2) as int) - 2 as varchar)) else need end as need from job_needs), p(a, b) as (select job, need from e union select p.a, e.need from p join e on e.job = p.b), c as (select distinct a from p where a = b), u(job) as (select a from c union select e.job from u join e on e.need = u.job) select job from u")
+@query(f"with recursive e as materialized (select * from {LOOPS} where need is not null), p(a, b) as (select job, need from e where job <> need union select p.a, e.need from p join e on e.job = p.b and e.job <> e.need) select 'missing_need' as finding, job, need as detail from e where need not in (select job from job_needs) union all select 'self_need', job, need from e where job = need union all select 'cycle', p.a, min(p.b) from p join p q on p.a = q.b and p.b = q.a group by p.a")
 def job_cycles(t: Tables):
+    """Needs that no job has, jobs that need themselves, and the jobs on a cycle."""
     back = F.concat(L("j"), (F.substring("job", 2, 20).cast("int") - 2).cast("string"))
-    return E.job_cycles(t.job_needs.select("job", F.when(c("p_size") == 3, back).otherwise(c("need")).alias("need")))
+    needs = t.job_needs.select("job", F.when(c("p_size") == 3, back).when(c("p_size") == 4, c("job")).when(c("p_size") == 11, F.concat(L("no"), "job")).otherwise(c("need")).alias("need"))
+    return E.job_findings(t.job_needs.select("job"), needs)
 
 
 @query("select p_brand, p_size % 10 as bin, case when not bool_or(p_size = 50) then string_agg(distinct p_type, ',' order by p_type) end as tasks from part group by 1, 2")

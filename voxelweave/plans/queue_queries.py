@@ -107,14 +107,26 @@ def method_agreement(t: Tables):
     return got.select(c("l_returnflag").alias("mask"), "n", *[F.round(k, d).alias(k) for k, d in digits.items()])
 
 
-@query("select distinct artifact, kind, origin, name as destination from artifacts join destinations on enabled and accepts = kind")
+SENT = "(select artifact, origin as case_id, case when artifact % 10 = 0 then '' else concat('p', cast(artifact % 40 as string)) end as path, case when artifact % 6 = 0 then ' ' else kind end as kind from artifacts)"
+TAKEN = "list_contains(list_filter(list_transform(string_split(kinds, ','), lambda x: trim(x)), lambda x: x <> ''), {0})"
+
+
+def _subscribers(t: Tables):
+    return t.subscribers.withColumn("accepts", F.split("kinds", ","))
+
+
+@query(f"""select case_id, path, name as destination, kind, host, port from (select s.*, d.*, row_number() over (partition by case_id, path, name order by artifact, ordinal) as r from (select artifact, case_id, path, case when trim(kind) = '' then 'secondary_capture' else kind end as kind from {SENT} where path <> '') s
+ join subscribers d on enabled and trim(name) <> '' and host <> '' and port > 0 and (kinds is null or {TAKEN.format('s.kind')})) where r = 1""")
 def fanout_egress(t: Tables):
-    return Q.fanout(t.artifacts, t.destinations, "kind")
+    """Artifacts share paths within a case, some lack one or a kind; some destinations share a name or lack an address."""
+    sent = t.artifacts.select("artifact", c("origin").alias("case_id"), F.when(c("artifact") % 10 == 0, "").otherwise(F.concat(L("p"), (c("artifact") % 40).cast("string"))).alias("path"), F.when(c("artifact") % 6 == 0, " ").otherwise(c("kind")).alias("kind"))
+    return Q.fanout(sent, _subscribers(t), "kind", "case_id", "path", "artifact", ["host", "port"])
 
 
-@query("select artifact, name as destination from artifacts join (select accepts, min_by(name, ordinal) as name from destinations where enabled group by accepts) on accepts = kind")
+@query(f"select artifact, name as destination, kind, host from (select a.*, d.*, row_number() over (partition by artifact, name order by ordinal) as r from artifacts a join subscribers d on enabled and trim(name) <> '' and host <> '' and (kinds is null or {TAKEN.format('a.kind')})) where r = 1")
 def fanout_events(t: Tables):
-    return Q.first_subscribed(t.artifacts, t.destinations, "kind").select("artifact", "destination")
+    """Every subscriber gets the event, once by its name."""
+    return Q.fanout_events(t.artifacts, _subscribers(t), "kind", "artifact", ["host"])
 
 
 @query("select o_orderkey, case when o_orderkey % 4 = 0 then 'insert' when o_orderkey % 3 = 0 or o_orderstatus = 'F' then 'requeue' else 'keep' end as action from orders")

@@ -102,25 +102,40 @@ def profile_gate(t: Tables):
     return t.series.select("uid", P.profile_gate(c("modality"), c("phase"), "CT", ["native"]).alias("plain"), P.profile_gate(c("modality"), c("phase"), "CT", ["arterial"]).alias("arterial"))
 
 
-NA, NB = "case when trim(a.phase) = '' then 'unknown' else a.phase end", "case when trim(b.phase) = '' then 'unknown' else b.phase end"
-COVER = "greatest(0.0, least(a.high_mm, b.high_mm) - greatest(a.low_mm, b.low_mm)) / least(a.high_mm - a.low_mm, b.high_mm - b.low_mm)"
-PAIRS = f"""select a.study, a.uid as left_uid, b.uid as right_uid, case when a.modality <> b.modality then 'modality_conflict' when a.frame <> b.frame then 'frame_of_reference_conflict' when {NA} <> 'unknown' and {NB} <> 'unknown' and {NA} <> {NB} then 'contrast_phase_conflict'
- when a.acquisition <> b.acquisition then 'acquisition_number_conflict' when {COVER} < 0.8 then 'insufficient_spatial_overlap' end as conflict, concat_ws(',', 'same_frame_of_reference', case when {NA} = {NB} then 'same_contrast_phase' end, 'same_acquisition_number', 'spatial_overlap') as why
- from series a join series b on a.study = b.study and a.uid < b.uid"""
+def _recons(t: Tables):
+    """Slices tilted around the first axis, so two are parallel if their tilts are alike."""
+    tilt = F.radians(c("tilt"))
+    return t.recons.withColumn("orientation", F.when(tilt.isNotNull(), F.array(L(1.0), L(0.0), L(0.0), L(0.0), F.cos(tilt), F.sin(tilt))))
+
+
+# what two series say about each other, from the rules: each is null where one of them says nothing
+SAID = """select a.study, a.uid as left_uid, b.uid as right_uid, a.modality <> b.modality as m, nullif(a.frame, '') = nullif(b.frame, '') as f, nullif(a.acquisition, '') = nullif(b.acquisition, '') as n,
+  coalesce(nullif(a.phase, ''), 'unknown') as pa, coalesce(nullif(b.phase, ''), 'unknown') as pb, abs(epoch(strptime(substr(a.acquired_at, 1, 14), '%Y%m%d%H%M%S')) - epoch(strptime(substr(b.acquired_at, 1, 14), '%Y%m%d%H%M%S'))) <= 30 as t,
+  case when a.low_mm is not null and b.low_mm is not null then greatest(0.0, least(a.high_mm, b.high_mm) - greatest(a.low_mm, b.low_mm)) / least(a.high_mm - a.low_mm, b.high_mm - b.low_mm) end as o, case when not a.derived and not b.derived then abs(a.tilt - b.tilt) <= 5 end as p
+ from recons a join recons b on a.study = b.study and a.uid < b.uid"""
+PAIRS = f"""select study, left_uid, right_uid, case when m then 'modality_conflict' when not f then 'frame_of_reference_conflict' when pa <> 'unknown' and pb <> 'unknown' and pa <> pb then 'contrast_phase_conflict' when not n then 'acquisition_number_conflict'
+  when not t then 'acquisition_time_conflict' when o < 0.8 then 'insufficient_spatial_overlap' when not p then 'orientation_conflict' when not (coalesce(n and f, false) or (coalesce(t, false) and o is not null)) then 'insufficient_equivalence_evidence' end as conflict,
+  concat_ws(',', case when f then 'same_frame_of_reference' end, case when pa = pb then 'same_contrast_phase' end, case when n then 'same_acquisition_number' end, case when t then 'acquisition_time_proximity' end, case when o is not null then 'spatial_overlap' end, case when p then 'parallel_orientation' end) as why from ({SAID})"""
 
 
 @query(f"select study, left_uid, right_uid, conflict is null as equivalent, coalesce(conflict, why) as reasons from ({PAIRS})")
 def series_equivalence(t: Tables):
-    return S.equivalence(t.series, "study", "uid")
+    return S.equivalence(_recons(t), "study", "uid")
+
+
+@query(f"select study, left_uid, right_uid, why as reasons from ({PAIRS}) where conflict is null")
+def equivalent_pairs(t: Tables):
+    return S.equivalent_pairs(_recons(t), "study", "uid").drop("equivalent")
 
 
-@query(f"""with recursive e as materialized (select left_uid, right_uid from ({PAIRS}) where conflict is null), s as materialized (select study, uid, row_number() over (partition by study order by uid) as k from series),
+@query(f"""with recursive e as materialized (select left_uid, right_uid from ({PAIRS}) where conflict is null), s as materialized (select study, uid, row_number() over (partition by study order by uid) as k from recons),
  f(study, k, leaders, uid, leader) as (select study, k, [uid], uid, uid from s where k = 1 union all
   select s.study, s.k, case when x.l is null then list_append(f.leaders, s.uid) else f.leaders end, s.uid, coalesce(x.l, s.uid) from f join s on s.study = f.study and s.k = f.k + 1
   left join lateral (select min(e.left_uid) as l from e where e.right_uid = s.uid and list_contains(f.leaders, e.left_uid)) x on true)
  select study, uid, leader from f""")
 def group_series(t: Tables):
-    return S.group_series(t.series, S.equivalence(t.series, "study", "uid"), "study", "uid")
+    df = _recons(t)
+    return S.group_series(df, S.equivalent_pairs(df, "study", "uid"), "study", "uid")
 
 
 @query(f"""select study, acquisition, uid from (select *, row_number() over (partition by study, acquisition order by cov < greatest(best * cast(0.92 as double), best - 50), coalesce(nullif(z_spacing_mm, 0), nullif(thickness_mm, 0), 9999), case when kernel = 'soft standard' then -2 else (case when kernel = 'bone sharp' then 2 when kernel = 'Lung 60' then 1 else 0 end) - cast(contains(description, 'STANDARD') as int) end, cov desc, slice_count desc, uid) as r

@@ -62,6 +62,16 @@ VIEWS = {
                cast(p_partkey % 100 as double) / 100 as probability, p_partkey % 2 = 0 as phase_detected, concat('f', cast(p_partkey % 3 as string)) as frame,
                cast(p_partkey % 4 as string) as acquisition, cast(p_partkey % 40 as double) as low_mm, cast(p_partkey % 40 + p_size + 1 as double) as high_mm
         from {part}""",
+    # reconstructions with what tells that two show the same: some lack a number, a frame, a time or an orientation; tilt is in degrees
+    "recons": """
+        select cast(floor(p_partkey / 20) as bigint) as study, concat('s', lpad(cast(p_partkey as string), 8, '0')) as uid, case when p_partkey % 11 = 0 then 'MR' else 'CT' end as modality,
+               case p_size % 7 when 0 then 'native' when 1 then 'venous' when 2 then null when 3 then '' else 'unknown' end as phase,
+               case when p_partkey % 5 = 0 then '' when p_partkey % 7 = 0 then null else concat('f', cast(p_partkey % 2 as string)) end as frame,
+               case when p_partkey % 4 = 0 then null when p_partkey % 13 = 0 then '' else cast(p_size % 3 as string) end as acquisition,
+               case when p_partkey % 6 = 0 then null else concat('202401050', cast(8 + p_size % 2 as string), '0', cast(p_partkey % 2 as string), lpad(cast(p_partkey * 7 % 60 as string), 2, '0'), '.5') end as acquired_at,
+               case when p_partkey % 9 = 0 then null else p_size % 4 * 3 end as tilt, p_partkey % 10 = 0 as derived,
+               case when p_partkey % 17 = 0 then null else cast(p_size % 5 as double) end as low_mm, cast(p_size % 5 + 30 - p_partkey % 3 as double) as high_mm
+        from {part}""",
     # image instances of series: a position a line
     "instances": """
         select l_orderkey as series, cast(floor(l_orderkey / 7) as bigint) as study, l_quantity as position, l_tax * 100 as thickness, l_discount * 10 as spacing,
@@ -69,6 +79,12 @@ VIEWS = {
     # ordered levels with centres
     "levels": "select l_orderkey as study, l_linenumber as ordinal, min(l_quantity) as center, max(l_extendedprice) / 1000 as height from {lineitem} group by 1, 2",
     "destinations": "select n_name as name, r_name as accepts, n_nationkey % 4 <> 0 as enabled, n_nationkey as ordinal from {nation} join {region} on n_regionkey = r_regionkey",
+    # destinations with a list of kinds, or none for all; some share a name, some lack an address
+    "subscribers": """
+        select case when n_nationkey % 11 = 5 then ' ' else concat('d', cast(n_nationkey % 9 as string)) end as name, n_nationkey % 5 <> 4 as enabled, n_nationkey as ordinal,
+               case when n_nationkey % 8 = 0 then null when n_nationkey % 3 = 0 then concat(r_name, ',ASIA, ') else concat(r_name, ',', r_name) end as kinds,
+               case when n_nationkey % 7 = 3 then '' else concat('h', cast(n_nationkey as string)) end as host, n_nationkey % 6 * 100 as port
+        from {nation} join {region} on n_regionkey = r_regionkey""",
     "artifacts": "select c_custkey as artifact, case c_mktsegment when 'BUILDING' then 'ASIA' when 'MACHINERY' then 'EUROPE' else 'AFRICA' end as kind, c_nationkey as origin from {customer}",
     # anatomy states of acquisitions
     "evidence": """
@@ -78,7 +94,8 @@ VIEWS = {
     "acquisitions": """
         select o_orderkey as acquisition, cast(floor(o_orderkey / 64) as bigint) as study, case when o_orderkey % 37 = 0 then 'pending' else 'done' end as status,
                case o_orderpriority when '1-URGENT' then 'native' when '2-HIGH' then 'portal' when '3-MEDIUM' then 'unknown' else null end as phase,
-               concat('f', cast(o_custkey % 2 as string)) as frame, o_totalprice / 10000 as low_mm, o_totalprice / 10000 + cast(o_orderkey % 9 as double) as high_mm from {orders}""",
+               concat('f', cast(o_custkey % 2 as string)) as frame, o_totalprice / 10000 as low_mm, o_totalprice / 10000 + cast(o_orderkey % 9 as double) as high_mm,
+               case when o_orderkey % 11 = 0 then null else o_orderkey % 4 * 3 end as tilt, case when o_orderkey % 13 = 0 then '' when o_orderkey % 17 = 0 then null else concat('f', cast(o_custkey % 2 as string)) end as frame_uid from {orders}""",
     "payloads": "select event_id as case_id, user_id as study, event_type as metric, props as measurement, ts from {events}",
     # density measures with quality facts
     "measures": """
