@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from voxelweave.plans import case_queries, evidence_queries, mask_queries, metric_queries, queue_queries, rule_queries, scalar_queries, series_queries, source_queries  # noqa: F401
+    from voxelweave.plans import case_queries, evidence_queries, mask_queries, metric_queries, queue_queries, rule_queries, scalar_queries, series_queries, source_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

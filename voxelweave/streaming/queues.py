@@ -165,21 +165,90 @@ def force_flush(open_studies: DataFrame, at: Column) -> DataFrame:
 
 #: Parts that a table of newest states is kept in; a batch writes those anew that it has keys in.
 BUCKETS = 64
+#: Lists of buckets that stay readable: the newest and those before it, with the files that they name.
+LISTS = 3
+
+
+class _Store:
+    """A folder by Hadoop's file system, so that it may lie wherever Spark can write."""
+
+    def __init__(self, spark, root: str):
+        self.jvm = spark.sparkContext._jvm
+        self.root = root.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def names(self, name: str) -> list[str]:
+        return [f.getPath().getName() for f in self.fs.listStatus(self._path(name))] if self.fs.exists(self._path(name)) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """All of the text or nothing: written under another name, then renamed."""
+        aside = f"{name}.part"
+        out = self.fs.create(self._path(aside), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self.fs.rename(self._path(aside), self._path(name)):
+            raise OSError(f"{self.root}/{name} can't be written")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
+
+
+def _list(store: _Store, batch_id: int) -> dict[int, int] | None:
+    """The batch that holds each bucket after a batch; None if the list is not there or does not end with its number of lines."""
+    lines = store.read(f"_latest/{batch_id}").splitlines() if str(batch_id) in store.names("_latest") else []
+    if not lines or lines[-1] != f"end {len(lines) - 1}":
+        return None
+    return {int(b): int(n) for b, n in (line.split() for line in lines[:-1])}
+
+
+def _lists(store: _Store) -> list[int]:
+    """The batches that were committed, oldest first."""
+    return sorted(n for n in map(int, filter(str.isdigit, store.names("_latest"))) if _list(store, n) is not None)
+
+
+def _commit(store: _Store, batch_id: int, now: dict[int, int]) -> None:
+    store.write(f"_latest/{batch_id}", "".join(f"{b} {n}\n" for b, n in sorted(now.items())) + f"end {len(now)}\n")
+
+
+def _prune(store: _Store, touched: list[int]) -> None:
+    """Delete lists beyond the newest ones, and of the touched buckets the batches that no list names any more."""
+    known = _lists(store)
+    for n in known[:-LISTS]:
+        store.delete(f"_latest/{n}")
+    named = {(b, n) for i in known[-LISTS:] for b, n in (_list(store, i) or {}).items()}
+    for b in touched:
+        for f in store.names(f"bucket={b}"):
+            if f.startswith("batch=") and (b, int(f[6:])) not in named:
+                store.delete(f"bucket={b}/{f}")
 
 
 def upsert_sink(stream: DataFrame, target: str, key: list[str], checkpoint: str, buckets: int = BUCKETS):
     """Start writing update-mode rows to a table of newest states: each batch replaces the rows of its keys.
 
     Rows are kept in buckets by a hash of the key. A batch writes the buckets that it has keys in as
-    target/bucket=B/batch=N, and which batch holds each bucket as target/_latest/N. A repeated batch starts from the
-    list before it, so it gives the same table; what neither this list nor the one before names is deleted.
+    target/bucket=B/batch=N, and then the list of which batch holds each bucket as target/_latest/N, aside and by renaming, with its
+    number of lines at its end. Only that list makes the batch count: a batch that dies before it leaves files that nobody
+    names, and is written again from the list before; one that is repeated after it changes nothing. The newest LISTS lists
+    and their files stay, so whoever has begun to read goes on reading while that many batches commit.
     """
-    import pyarrow.fs as pafs
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fs, root = pafs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
-        before = _latest(fs, root, batch_id - 1)
+        store = _Store(spark, target)
+        if _list(store, batch_id) is not None:
+            return
+        earlier = [n for n in _lists(store) if n < batch_id]
+        before = _list(store, earlier[-1]) if earlier else {}
         rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
         touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # a number of buckets at most
         old = [f"{target}/bucket={b}/batch={before[b]}" for b in touched if b in before]
@@ -189,31 +258,31 @@ def upsert_sink(stream: DataFrame, target: str, key: list[str], checkpoint: str,
             merged = kept.join(rows.select(*key).distinct().hint("merge"), key, "left_anti").unionByName(rows)
         merged.withColumn("batch", F.lit(batch_id)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(target)
         rows.unpersist()
-        now = before | {b: batch_id for b in touched}
-        fs.create_dir(f"{root}/_latest", recursive=True)
-        with fs.open_output_stream(f"{root}/_latest/{batch_id}") as out:
-            out.write("".join(f"{b} {n}\n" for b, n in sorted(now.items())).encode())
-        for b in touched:
-            for f in fs.get_file_info(pafs.FileSelector(f"{root}/bucket={b}")):
-                if f.base_name.startswith("batch=") and int(f.base_name[6:]) not in (batch_id, before.get(b)):
-                    fs.delete_dir(f.path)
+        _commit(store, batch_id, before | {b: batch_id for b in touched})
+        _prune(store, touched)
 
     return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def _latest(fs, root: str, batch_id: int) -> dict[int, int]:
-    """The batch that holds each bucket after a batch; none before the first."""
-    if batch_id < 0:
-        return {}
-    with fs.open_input_stream(f"{root}/_latest/{batch_id}") as f:
-        return {int(b): int(n) for b, n in (line.split() for line in f.read().decode().splitlines())}
+def read_states(spark, target: str) -> DataFrame:
+    """The table that upsert_sink() keeps, as of its last committed batch."""
+    store = _Store(spark, target)
+    known = _lists(store)
+    if not known:
+        raise ValueError(f"no batch of {target} was committed")
+    paths = [f"{target}/bucket={b}/batch={n}" for b, n in _list(store, known[-1]).items()]
+    return spark.read.option("basePath", target).parquet(*paths).drop("bucket", "batch")
 
 
-def read_states(spark, target: str) -> DataFrame:
-    """The table that upsert_sink() keeps, as of its last whole batch."""
-    import pyarrow.fs as pafs
+def run_to_end(stream: DataFrame, place: str, key: list[str] | None = None) -> DataFrame:
+    """What a stream comes to once all files that are there now have been read, as a table at place/table.
 
-    fs, root = pafs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
-    last = max(int(f.base_name) for f in fs.get_file_info(pafs.FileSelector(f"{root}/_latest")))
-    paths = [f"{target}/bucket={b}/batch={n}" for b, n in _latest(fs, root, last).items()]
-    return spark.read.option("basePath", target).parquet(*paths).drop("bucket", "batch")
+    With `key` the stream is in update mode and the table has the newest row of each key, else rows are appended. The
+    checkpoint is at place/check, so that another call with the same place goes on where this one ended.
+    """
+    spark, out, check = stream.sparkSession, f"{place}/table", f"{place}/check"
+    if key:
+        upsert_sink(stream, out, key, check).trigger(availableNow=True).start().awaitTermination()
+        return read_states(spark, out)
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
