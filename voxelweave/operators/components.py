@@ -50,6 +50,16 @@ def largest(described: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return described.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def largest_in_slice(described: DataFrame, group: list[str]) -> DataFrame:
+    """The largest component of each slice (z is in the group); of equals that whose middle is nearest to the middle of all, then the lowest label."""
+    all_of = W.partitionBy(*group)
+    mid = [F.sum(F.col(f"c{a}") * F.col("n_voxels")).over(all_of) / F.sum("n_voxels").over(all_of) for a in "xy"]
+    far = F.round(F.sqrt((F.col("cx") - F.col("_mx")) ** 2 + (F.col("cy") - F.col("_my")) ** 2), 9)
+    rows = described.withColumns({"_mx": mid[0], "_my": mid[1]})
+    rows = rows.withColumn("_r", F.row_number().over(all_of.orderBy(F.col("n_voxels").desc(), far, "label")))
+    return rows.where("_r = 1").drop("_r", "_mx", "_my")
+
+
 def ranked(described: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """Components numbered by size, then by slice."""
     w = W.partitionBy(*group).orderBy(F.col("n_voxels").desc(), "z_min", "label")

@@ -234,7 +234,7 @@ def trabecular_roi(voxels: DataFrame, mm: float, spacing: Spacing, least: int =
     whole = voxels.join(left.select(*masks.GROUP).distinct().hint("merge"), masks.GROUP, "left_anti")
     eroded = left.union(whole.select(*key))
     runs = components.label_runs(eroded, planar=True)
-    top = components.largest(components.describe(runs, flat), flat).select(*masks.GROUP, "component")
+    top = components.largest_in_slice(components.describe(runs, flat), flat).select(*masks.GROUP, "component")
     runs = runs.join(top.hint("merge"), [*masks.GROUP, "component"], "left_semi")
     solid = components.label_runs(runs.select(*masks.GROUP, "y", "z", F.explode(F.sequence("x0", "x1")).alias("x")))
     top = components.largest(components.describe(solid)).where(F.col("n_voxels") >= least).select(*masks.GROUP, "component")
@@ -320,7 +320,7 @@ def native_sides(d: DataFrame) -> DataFrame:
     side = d.groupBy("study", "mask").agg(F.count("*").alias("n"), F.count_if(F.col("region") == "native_renal_region").alias("n_native"), F.count_if(F.col("region") == "pelvic_region").alias("n_pelvic"), F.min("z_min").alias("lo"), F.max("z_max").alias("hi"), F.max("region").alias("only"))
     o = side.select("study", F.col("mask").alias("_m"), F.col("n").alias("_n"), F.col("n_pelvic").alias("_p"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     both = side.join(o.hint("merge"), "study", "left").where("_m is null or _m <> mask or n is not null")
-    over = F.greatest(F.lit(0), F.least("hi", "_hi") - F.greatest("lo", "_lo") + 1) / (F.col("hi") - F.col("lo") + 1)
+    over = F.coalesce(F.try_divide(F.greatest(F.lit(0), F.least("hi", "_hi") - F.greatest("lo", "_lo")), F.col("hi") - F.col("lo")), F.lit(0.0))  # of heights, as lengths
     meets = (F.col("_m") != F.col("mask")) & (F.col("_n") == 1) & (F.col("_p") == 0) & (over >= 0.5)
     got = both.groupBy("study", "mask").agg(F.max("n").alias("n"), F.max("n_native").alias("n_native"), F.max("n_pelvic").alias("n_pelvic"), F.max("only").alias("only"), F.coalesce(F.bool_or(meets), F.lit(False)).alias("meets"))
     why = F.when(F.col("n_native") == 1, "single_native_region_component").when((F.col("n") == 1) & (F.col("only") == "between") & F.col("meets"), "contralateral_superior_extent_overlap").when((F.col("n") == 1) & (F.col("only") == "unknown"), "single_significant_component")

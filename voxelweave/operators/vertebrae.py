@@ -209,8 +209,17 @@ def sagittal_plane(voxels: DataFrame, spacing: Spacing, group: list[str] = GROUP
 ROI = "status string, plane_axis string, plane int, center_row int, center_col int, radius_ap double, radius_si double, inscribed_mm double, n_pixels long, mean double, deviation double"
 
 
-def roi_of_plane(cells: np.ndarray, spacing: tuple[float, float], front_low: bool, erosion_mm: float, radius_mm: float) -> tuple[str, dict]:
+def front_is_low(cells: np.ndarray, edge: float = 0.18) -> bool:
+    """Whether rows count from the front: the pixels of the rows at both ends are compared, the end with more is the back."""
+    n = cells.sum(axis=1).astype(float)
+    w = max(1, round(len(n) * edge))
+    return bool(np.median(n[-w:]) > np.median(n[:w]))
+
+
+def roi_of_plane(cells: np.ndarray, spacing: tuple[float, float], front_low: bool | None, erosion_mm: float, radius_mm: float) -> tuple[str, dict]:
     """Status, and centre, radii and pixels of the ellipse in a plane (rows front to back, columns along the body)."""
+    if front_low is None:
+        front_low = front_is_low(cells)
     cross = [(1, 0), (-1, 0), (0, 1), (0, -1)]
     core = tiles.eroded(np.pad(cells, 1), cross, max(1, round(erosion_mm / max(min(spacing), 1e-6))))
     row, col = np.nonzero(core)
@@ -243,11 +252,12 @@ def roi_of_plane(cells: np.ndarray, spacing: tuple[float, float], front_low: boo
     return "ok", {"at": (int(at[0]) - 1, int(at[1]) - 1), "radii": (ap, si), "inscribed": inscribed, "roi": roi[1:-1, 1:-1]}
 
 
-def l1_sagittal_roi(voxels: DataFrame, spacing: Spacing, group: list[str] = GROUP, lateral: str | None = "x", front_low: bool = False, erosion_mm: float = 5.0, radius_mm: float = 6.0, value: str = "hu") -> DataFrame:
+def l1_sagittal_roi(voxels: DataFrame, spacing: Spacing, group: list[str] = GROUP, lateral: str | None = "x", front_low: bool | None = False, erosion_mm: float = 5.0, radius_mm: float = 6.0, value: str = "hu") -> DataFrame:
     """The ellipse in the middle sagittal plane of each vertebra, and count, mean and deviation of a value in it; a row a group.
 
     In the eroded plane the point goes where it lies deepest, less 0.12 of its distance to a goal 2.5 sevenths behind the
-    front. `front_low` tells whether rows count from the front (by the axis codes of the volume). A plane that erosion
+    front. `front_low` tells whether rows count from the front (by the axis codes of the volume); None leaves that to the
+    edges of each plane's own profile, whose wider end is the back. A plane that erosion
     empties has its status and no figures. One plane of one study is what a task holds.
     """
     plane = sagittal_plane(voxels, spacing, group, lateral, erosion_mm).select(*group, "plane_axis", "plane", "row", "col", F.col(value).cast("double").alias("_v"))
@@ -271,3 +281,69 @@ def l1_sagittal_roi(voxels: DataFrame, spacing: Spacing, group: list[str] = GROU
         return pa.Table.from_arrays([*tiles.repeated(key, 1), *[pa.array([x], t) for x, t in zip(out, kinds)]], [f.name for f in fields])
 
     return plane.groupBy(*group).applyInArrow(run, StructType(fields))
+
+
+#: Shares of the core's extents along x and y that the radii are halves of, and how deep in front the centre lies.
+AXIAL_RADII, FRONT = (0.70, 0.40), 0.25
+AXIAL = "status string, slice int, center_x double, center_y double, radius_x double, radius_y double, n_pixels long, mean double, deviation double"
+
+
+def roi_of_slice(cells: np.ndarray, spacing: tuple[float, float], erosion_mm: float) -> tuple[str, dict]:
+    """Status, and centre, radii and pixels of the ellipse in one slice: at the front quarter of the eroded body.
+
+    Erosion takes away the arch, so the core's middle lies in front of that of the whole; the axis along which they differ more
+    is that from front to back. Radii are 0.35 and 0.2 of the core's extents, a pixel at least.
+    """
+    grid = np.pad(cells, 1)
+    core = tiles.eroded(grid, [(1, 0), (-1, 0), (0, 1), (0, -1)], max(1, int(erosion_mm / max(min(spacing), 1e-6))))
+    at = np.argwhere(core)
+    if len(at):
+        place = np.full(core.shape, -1)
+        place[tuple(at.T)] = np.arange(len(at))
+        pairs = [np.stack([np.arange(len(at)), place[at[:, 0] + dx, at[:, 1] + dy]]) for dx, dy in ((1, 0), (0, 1))]
+        a, b = np.concatenate(pairs, axis=1)
+        part = tiles.joined(len(at), a[b >= 0], b[b >= 0])
+        names, size = np.unique(part, return_counts=True)
+        at = at[part == names[int(np.argmax(size))]]
+    else:
+        return "empty_eroded_mask", {}
+    body = np.zeros_like(grid)
+    body[tuple(at.T)] = True
+    lean = at.mean(axis=0) - np.argwhere(grid).mean(axis=0)
+    low, high = at.min(axis=0), at.max(axis=0)
+    centre, deep = (low + high) / 2.0, int(abs(lean[1]) > abs(lean[0]))
+    quarter = (high[deep] - low[deep]) * FRONT
+    centre[deep] = high[deep] - quarter if lean[deep] > 0 else low[deep] + quarter
+    radii = np.maximum((high - low) * AXIAL_RADII / 2.0, 1.0)
+    x, y = np.ogrid[: grid.shape[0], : grid.shape[1]]
+    roi = body & ((x - centre[0]) ** 2 / radii[0] ** 2 + (y - centre[1]) ** 2 / radii[1] ** 2 <= 1)
+    if not roi.any():
+        return "empty_roi_mask", {}
+    return "ok", {"centre": centre - 1, "radii": radii, "roi": roi[1:-1, 1:-1]}
+
+
+def l1_axial_roi(voxels: DataFrame, spacing: Spacing, group: list[str] = GROUP, erosion_mm: float = 5.0, value: str = "hu") -> DataFrame:
+    """The ellipse in the middle slice of each vertebra's body, and count, mean and deviation of a value in it; a row a group.
+
+    The middle slice is element n div 2 of the occupied ones. One slice of one study is what a task holds; a core that erosion
+    empties, or an ellipse that misses the core, is a row with its status and no figures.
+    """
+    at = masks.axial_extent(voxels, group).select(*group, F.col("center_z").alias("z"))
+    plane = voxels.join(at.hint("merge"), [*group, "z"]).select(*group, "x", "y", "z", F.col(value).cast("double").alias("_v"))
+    fields = [*voxels.select(*group).schema.fields, *StructType.fromDDL(AXIAL).fields]
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        x, y, v = (rows.column(k).to_numpy() for k in ("x", "y", "_v"))
+        x0, y0 = int(x.min()), int(y.min())
+        cells, values = np.zeros((x.max() - x0 + 1, y.max() - y0 + 1), bool), np.zeros((x.max() - x0 + 1, y.max() - y0 + 1))
+        cells[x - x0, y - y0], values[x - x0, y - y0] = True, v
+        status, got = roi_of_slice(cells, tuple((tiles.spacing_of(group, key) if spacing is None else spacing)[:2]), erosion_mm)
+        said = [None] * 7
+        if got:
+            inside = values[got["roi"]]
+            said = [got["centre"][0] + x0, got["centre"][1] + y0, *got["radii"], len(inside), float(inside.mean()), float(inside.std())]
+        kinds = [pa.string(), pa.int32(), *[pa.float64()] * 4, pa.int64(), pa.float64(), pa.float64()]
+        out = [status, rows.column("z")[0].as_py(), *said]
+        return pa.Table.from_arrays([*tiles.repeated(key, 1), *[pa.array([k], t) for k, t in zip(out, kinds)]], [f.name for f in fields])
+
+    return plane.groupBy(*group).applyInArrow(run, StructType(fields))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelweave.operators import metrics, vertebrae
+from voxelweave.operators import body_fat as body_fat_levels
+from voxelweave.operators import grids, masks, metrics, morphology, renal, vertebrae
 from voxelweave.plans.catalog import Tables, query
 from voxelweave.plans.mask_queries import NEAR
 
@@ -189,3 +190,126 @@ def appendicular_filter(t: Tables):
     v = _blobs(t)
     kept = metrics.appendicular_filter(v.where("mask = 'm1'").select("study", "x", "y", "z"), v.where("mask = 'm0'"), 2.0, SPACING[:2])
     return kept.groupBy("study", "z").agg(F.count("*").alias("n"), F.max("removed_fraction").alias("removed_fraction"))
+
+
+def _fat(t: Tables):
+    """Spines with fat masks around their lower part; every third study lacks a level, every second volume ends at the uppermost one."""
+    v = t.spine.where("not (mask = 'v2' and study % 3 = 0)").select("study", "mask", "x", "y", "z")
+    v = v.unionByName(t.lattice.where("mask <> 'R'").select("study", "mask", "x", "y", (c("z") * 2).cast("int").alias("z")))
+    s = c("study")
+    return {"voxels": v, "volumes": v.select("study").distinct().select("study", L(64).alias("nx"), L(64).alias("ny"), (79 + s % 2 * 11).cast("int").alias("nz"), (0.5 + s % 3 * 0.25).alias("sx"), L(1.0).alias("sy"), L(2.5).alias("sz"))}
+
+
+FAT = {"subcutaneous": "A", "torso": "N", "levels": [f"v{k}" for k in range(5)], "level": "v0"}
+UNIT = "((cast(0.5 as double) + study % 3 * cast(0.25 as double)) * 2.5 / 1000.0)"
+FATS = """w as (select study, z * 2 as z, count(*) filter (mask = 'A') as a, count(*) filter (mask = 'N') as n from lattice where mask <> 'R' group by 1, 2),
+ e as (select study, mask as level, cast(substr(mask, 2) as int) as ordinal, min(z) as first, max(z) as last, 79 + study % 2 * 11 as nz, min(z) > 0 and max(z) < 78 + study % 2 * 11 as complete from spine where not (mask = 'v2' and study % 3 = 0) group by 1, 2)"""
+SLABS = """s as (select *, greatest(0, case when not whole then first else cast(floor(case when b is not null then (b + c) / 2 else c - (a - c) / 2 end) as int) end) as s0, case when not whole then last else least(nz - 1, cast(case when a is not null then ceil((c + a) / 2) - 1 else ceil(c + (c - b) / 2) end as int)) end as s1
+  from (select *, lag(c) over (partition by study order by ordinal) as b, lead(c) over (partition by study order by ordinal) as a, count(*) over (partition by study) = 5 as whole from (select *, (first + last) / 2.0 as c from e)))"""
+LEVELS = f"""with {FATS}, {SLABS}, l as (select s.study, level, ordinal, s0, s1, whole, cast(coalesce(sum(a_), 0) as bigint) as va, cast(coalesce(sum(n_), 0) as bigint) as vn from (select s.*, w.a as a_, w.n as n_ from s left join w on w.study = s.study and w.z between s.s0 and s.s1) s group by all)
+ select study, level, ordinal, s0 as start, s1 as end_, va as subcutaneous_voxels, vn as torso_voxels, round(va * {UNIT}, 3) as subcutaneous_cm3, round(vn * {UNIT}, 3) as torso_cm3, round(round(vn * {UNIT}, 3) / nullif(round(va * {UNIT}, 3), 0), 4) as ratio, case when whole then 'centroid_midpoint' else 'mask_extent_fallback' end as strategy, whole as coverage_complete from l"""
+
+
+@query(LEVELS)
+def slab_volume_levels(t: Tables):
+    return body_fat_levels.fat_distribution(_fat(t), FAT)[0].withColumnRenamed("end", "end_")
+
+
+@query(f"""select study, strategy, coverage_complete, start, end_, n_slices, a as subcutaneous_cm3, n as torso_cm3, round(n / nullif(a, 0), 4) as ratio, missing_levels, not coverage_complete as needs_review
+ from (select study, any_value(strategy) as strategy, bool_and(coverage_complete) as coverage_complete, min(start) as start, max(end_) as end_, cast(sum(end_ - start + 1) as bigint) as n_slices, round(sum(subcutaneous_cm3), 3) as a, round(sum(torso_cm3), 3) as n, array_to_string(list_filter(['v0', 'v1', 'v2', 'v3', 'v4'], lambda x: not list_contains(list(level), x)), ',') as missing_levels from ({LEVELS}) group by study)""")
+def m_fat_distribution(t: Tables):
+    return body_fat_levels.fat_distribution(_fat(t), FAT)[1].withColumnRenamed("end", "end_")
+
+
+@query(f"""with {FATS}, l as (select e.study, level, ordinal, first, last, complete, cast(coalesce(sum(w.a), 0) as bigint) as va, cast(coalesce(sum(w.n), 0) as bigint) as vn from e left join w on w.study = e.study and w.z between first and last group by all)
+ select study, level, ordinal, first as start, last as end_, va as subcutaneous_voxels, vn as torso_voxels, round(va * {UNIT}, 3) as subcutaneous_cm3, round(vn * {UNIT}, 3) as torso_cm3, round(round(vn * {UNIT}, 3) / nullif(round(va * {UNIT}, 3), 0), 4) as ratio, complete from l""")
+def m_level_volumes(t: Tables):
+    return body_fat_levels.level_volumes(_fat(t), FAT).withColumnRenamed("end", "end_")
+
+
+@query(f"""with {FATS}, k as (select study, ordinal, first, last, level, false as inc from e where complete union all select study, ordinal, first, last, level, true from e), b as (select study, inc, min(ordinal) as o0, count(*) as n from (select *, ordinal - row_number() over (partition by study, inc order by ordinal) as i from k) group by study, inc, i),
+ c as (select * from (select *, row_number() over (partition by study order by inc, n desc, o0) as r from b) where r = 1), p as (select c.study, inc, n, min(first) as s0, max(last) as s1, min_by(level, ordinal) as top, max_by(level, ordinal) as bottom from c join e on e.study = c.study and ordinal >= o0 and ordinal < o0 + n group by all),
+ l as (select p.*, cast(coalesce(sum(w.a), 0) as bigint) as va, cast(coalesce(sum(w.n), 0) as bigint) as vn from p left join w on w.study = p.study and w.z between s0 and s1 group by all), d as (select study, coalesce(string_agg(level, ',' order by ordinal) filter (complete), '') as levels_complete, string_agg(level, ',' order by ordinal) as levels_measurable from e group by study)
+ select l.study, s0 as start, s1 as end_, va as subcutaneous_voxels, vn as torso_voxels, round(va * {UNIT.replace('study', 'l.study')}, 3) as subcutaneous_cm3, round(vn * {UNIT.replace('study', 'l.study')}, 3) as torso_cm3, round(round(vn * {UNIT.replace('study', 'l.study')}, 3) / nullif(round(va * {UNIT.replace('study', 'l.study')}, 3), 0), 4) as ratio, n as n_levels, inc as used_incomplete, levels_complete, levels_measurable,
+  case when n = 5 and not inc then 'complete' else 'partial' end as status, top || '-' || bottom as measured_region, s1 - s0 + 1 as n_slices from l join d on d.study = l.study""")
+def m_body_fat_jobs(t: Tables):
+    return body_fat_levels.abdominal_volumes(_fat(t), FAT).withColumnRenamed("end", "end_")
+
+
+@query(f"""with {FATS} select e.study, cast(round_even((first + last) / 2.0, 0) as int) as z, last - first + 1 as level_slices, coalesce(w.a, 0) as subcutaneous_pixels, coalesce(w.n, 0) as torso_pixels, round(coalesce(w.a, 0) * {UNIT.replace('study', 'e.study')} * 1000 / 2.5 / 100, 3) as subcutaneous_cm2, round(coalesce(w.n, 0) * {UNIT.replace('study', 'e.study')} * 1000 / 2.5 / 100, 3) as torso_cm2,
+  round(round(coalesce(w.n, 0) * {UNIT.replace('study', 'e.study')} * 1000 / 2.5 / 100, 3) / nullif(round(coalesce(w.a, 0) * {UNIT.replace('study', 'e.study')} * 1000 / 2.5 / 100, 3), 0), 4) as ratio from e left join w on w.study = e.study and w.z = cast(round_even((first + last) / 2.0, 0) as int) where level = 'v0'""")
+def m_fat_slice(t: Tables):
+    return body_fat_levels.slice_areas(_fat(t), FAT)
+
+
+def _tilted(v):
+    """Each study's grid and an affine that turns it around the first axis, by up to thirty degrees."""
+    s, a = c("study"), F.radians(c("study") % 4 * 10)
+    sx, sy, sz = 0.5 + s % 3 * 0.25, L(0.9), 1.0 + s % 2 * 0.5
+    zero = L(0.0)
+    affine = F.array(sx, zero, zero, L(-20.0), zero, sy * F.cos(a), -sz * F.sin(a), L(5.0), zero, sy * F.sin(a), sz * F.cos(a), L(-300.0), zero, zero, zero, L(1.0))
+    return v.select("study").distinct().select("study", L(80).alias("nx"), L(80).alias("ny"), L(80).alias("nz"), sx.alias("sx"), sy.alias("sy"), sz.alias("sz"), affine.alias("affine"))
+
+
+RENAL = {"kidneys": ["m0", "m1"], "l3": "m2", "l4": "m1", "least_cm3": 0.05}
+
+
+def _renal(t: Tables):
+    v = _blobs(t)
+    return {"voxels": v, "volumes": _tilted(v), "patients": _patients(v).withColumn("age", F.when(c("study") % 4 != 3, c("study") % 40))}
+
+
+@query(None)
+def renal_components(t: Tables):
+    return renal.renal_components(_renal(t), RENAL)
+
+
+@query(None)
+def renal_part_roles(t: Tables):
+    tables = _renal(t)
+    parts = renal.renal_components(tables, RENAL)
+    return renal.renal_roles(parts, renal.kidney_audit(parts, tables["voxels"], RENAL))
+
+
+@query(None)
+def m_kidneys(t: Tables):
+    return renal.kidneys(_renal(t), RENAL)
+
+
+@query(None)
+def l1_axial_roi(t: Tables):
+    """On each study's own grid."""
+    return vertebrae.l1_axial_roi(grids.on_grid(t.spine, _tilted(t.spine)), None, ["study", "mask", *grids.GRID], erosion_mm=1.5).drop(*grids.GRID)
+
+
+@query(None)
+def sagittal_roi_by_edges(t: Tables):
+    """The front told from each plane's own profile."""
+    return vertebrae.l1_sagittal_roi(t.spine, (1.0, 1.0, 1.0), front_low=None, erosion_mm=2.0)
+
+
+# masks of each study on its own grid
+OWN_GRID = "(select study, 60 + study % 3 * 2 as nx, 51 + study % 2 as ny, cast(0.5 as double) + study % 3 * cast(0.25 as double) as sx, cast(1.25 as double) as sy, cast(2.5 as double) as sz from (select distinct study from lattice))"
+
+
+def _own_grid(t: Tables):
+    s = c("study")
+    return t.lattice.select("study").distinct().select("study", (60 + s % 3 * 2).cast("int").alias("nx"), (51 + s % 2).cast("int").alias("ny"), L(33).alias("nz"), (0.5 + s % 3 * 0.25).alias("sx"), L(1.25).alias("sy"), L(2.5).alias("sz"))
+
+
+@query(f"""select e.study, e.mask, case when n is null then 'missing' when b then 'truncated' else 'complete' end as status, coalesce(n, 0) as n_voxels, coalesce(n, 0) * (sx * sy * sz / 1000.0) as cm3 from (select g.*, unnest(['A', 'N', 'R', 'X']) as mask from {OWN_GRID} g) e
+ left join (select l.study, mask, count(*) as n, min(x) <= 0 or max(x) >= any_value(nx) - 1 or min(y) <= 0 or max(y) >= any_value(ny) - 1 or min(z) <= 0 or max(z) >= 32 as b from lattice l join {OWN_GRID} g on g.study = l.study where x > 0 and x < 61 and z > 0 group by 1, 2) s on s.study = e.study and s.mask = e.mask""")
+def mask_status_grids(t: Tables):
+    g = _own_grid(t)
+    v = t.lattice.where("x > 0 and x < 61 and z > 0")
+    cm3 = c("sx") * c("sy") * c("sz") / 1000.0
+    return masks.mask_status(grids.on_grid(v, g), grids.on_grid(_expected(t), g), (c("nx"), c("ny"), c("nz")), cm3, ["study", "mask", *grids.GRID]).drop("borders", *grids.GRID)
+
+
+@query(f"""with v as materialized (select distinct study, mask, x, y, z from blobs), g as (select study, cast(0.5 as double) + study % 3 * cast(0.25 as double) as sx, cast(0.9 as double) as sy, cast(1.0 as double) + study % 2 * cast(0.5 as double) as sz from (select distinct study from v)),
+ o as (select unnest(generate_series(-3, 3)) as dx), n as (select g.study, a.dx, b.dx as dy, d.dx as dz from g, o a, o b, o d where (a.dx * sx) ** 2 + (b.dx * sy) ** 2 + (d.dx * sz) ** 2 < 1.5 * 1.5 and not (a.dx = 0 and b.dx = 0 and d.dx = 0)), k as (select study, count(*) as k from n group by study)
+ select v.study, v.mask, v.x, v.y, v.z from v join n on n.study = v.study join v w on w.study = v.study and w.mask = v.mask and w.x = v.x + n.dx and w.y = v.y + n.dy and w.z = v.z + n.dz join k on k.study = v.study group by all having count(*) = any_value(k.k)""")
+def erode_mm_grids(t: Tables):
+    """Erosion by a distance of which every grid makes another number of steps."""
+    v = t.blobs.select("study", "mask", "x", "y", "z")
+    return morphology.erode_mm(grids.on_grid(v, _tilted(v)), 1.5, None, ["study", "mask", *grids.GRID]).drop(*grids.GRID)
