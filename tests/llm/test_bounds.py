@@ -76,10 +76,81 @@ def test_scripts_follow_code_points():
     assert not language_id.scripts_of(data)[~lead].any()
 
 
-def test_languages_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "LANGUAGES", 3)
-    rows = [(k, "some words", f"l{k % 3}") for k in range(60)] + [(100 + k, "junk words", f"junk{k}") for k in range(50)]
-    assert language_id.learn(spark.createDataFrame(rows, DOCS)).languages == ["l0", "l1", "l2"]
+def test_many_languages_are_all_learnt(spark):
+    """300 values of lang, each with words of its own: every one is predicted, and scoring stays small."""
+    rnd = random.Random(2)
+    own = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for _ in range(300)]
+    rows = [(k, " ".join(rnd.choice(own[k % 300]) for _ in range(30)), f"l{k % 300}") for k in range(1800)]
+    model = language_id.learn(spark.createDataFrame(rows, DOCS).repartition(4))
+    assert len(model.languages) == 300
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([r[1] for r in rows] * 3)], ["text"])
+    tracemalloc.start()
+    got = [x for _, _, lang, _, _ in language_id._label(model, batch) for x in lang]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.mean([g == r[2] for g, r in zip(got, rows * 3)]) > 0.99 and peak < 300 << 20
+
+
+def model_of(n=4):
+    rng = np.random.default_rng(3)
+    return language_id.Model([f"l{k}" for k in range(n)], rng.integers(0, 50, (n, language_id.ROWS)))
+
+
+def test_a_long_text_is_labelled_in_bounded_memory(monkeypatch):
+    """A text of 40 MB of one word, and one in two languages that takes many blocks of words, span by span."""
+    import pyarrow as pa
+
+    def label(model, text):
+        batch = pa.record_batch([pa.array([text])], ["text"])
+        tracemalloc.start()
+        got = list(language_id._label(model, batch))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got[0], peak
+
+    one, peak = label(model_of(), "a" * 40_000_000)
+    assert peak < 300 << 20 and one[4][0][0]["end"] == 40_000_000
+    model = model_of(2)
+    counts = np.zeros((2, language_id.ROWS))
+    for k, text in enumerate(("somewords of the one ", "énçã dûx trés autre ")):
+        f = language_id.Features(np.frombuffer((text * 40).encode(), np.uint8), np.array([0, 40 * len(text.encode())]))
+        for rows in f.grams(0, len(f.data)):
+            np.add.at(counts[k], rows, 1)
+        counts[k, language_id.TABLE * len(language_id.SIZES) + 1] = 100
+    model = language_id.Model(["l0", "l1"], counts)
+    monkeypatch.setattr(language_id, "CELLS", 1 << 14)
+    half = "somewords of the one " * 15_000
+    (_, _, lang, _, spans), peak = label(model, half + "énçã dûx trés autre " * 12_000)
+    assert peak < 300 << 20 and [s["lang"] for s in spans[0]] == ["l0", "l1"] and spans[0][0]["end"] == len(half) - 1 and spans[0][1]["end"] == len(half) + 240_000 - 1
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 1 << 12])
+def test_blocks_score_as_the_whole(monkeypatch, cells):
+    rnd = random.Random(4)
+    text = " ".join("".join(rnd.choice("abcdé漢") for _ in range(rnd.choice([1, 3, 9, 3000]))) for _ in range(300))
+    data = np.frombuffer(text.encode(), np.uint8)
+    f, model = language_id.Features(data, np.array([0, len(data)])), model_of(5)
+    whole = model.word_scores(f)
+    s = sum(model.tables[r] for r in f.grams(0, len(data)))
+    plain = np.add.reduceat(s, f.start, axis=0)
+    plain[f.script == 0] = 0
+    plain[~model.allowed[f.script]] += language_id.OFF_SCRIPT
+    assert np.allclose(whole, plain - plain.max(axis=1, keepdims=True), atol=0.05, rtol=1e-3)
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    parts = np.concatenate([model.word_scores(f, a, min(a + 7, len(f.start))) for a in range(0, len(f.start), 7)])
+    assert np.allclose(whole, parts, atol=0.05, rtol=1e-3)
+
+
+def test_viterbi_by_blocks():
+    rng = np.random.default_rng(6)
+    for n, k, each in ((1, 3, 2), (50, 4, 7), (400, 5, 33), (400, 3, 400), (64, 2, 8)):
+        for wide in (0.5, 3.0, 12.0):
+            s = rng.normal(size=(n, k)) * wide
+            s[: n // 2, 0] += 1
+            s[n // 2 :, 1] += 1
+            assert (language_id.viterbi_blocks(lambda a, b: s[a:b], n, k, each) == language_id.viterbi(s)).all()  # noqa: B023
 
 
 def test_chains_of_near_copies_in_blocks_of_any_size(spark, monkeypatch):

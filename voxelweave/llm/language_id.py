@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import U, arrow_rows, crc_mod3, id_and_text, mix, small_batches, text_slices, words
+from voxelweave.llm.common import SLICE_BYTES, U, arrow_rows, crc_mod3, id_and_text, mix, small_batches, text_slices, words
 
 #: Hashed byte n-grams of each of the two lengths.
 TABLE, SIZES = 8192, (3, 4)
@@ -21,8 +21,10 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 OFF_SCRIPT = -40.0
 UNKNOWN = "und"
-#: At most this many values of lang are learnt, the most frequent ones.
-LANGUAGES = 256
+#: Cells (bytes or words times languages) of float that one block of scores has at most.
+CELLS = 1 << 22
+#: Values of lang from which slices are cut smaller.
+FEW = 8
 
 # Code points (first, last) by script. 1 Latin, 2 Greek and Coptic, 3 Cyrillic, 4 Armenian and Hebrew,
 # 5 Arabic, 6 Indic, 7 Thai to Georgian, 8 kana, 9 Han, 10 Hangul; any other letter is of script 11, what is no letter of 0
@@ -74,21 +76,37 @@ _FOLD[[9, 10, 11, 12, 13]] = 32
 
 
 class Features:
-    """N-gram rows and word spans of a slice."""
+    """Word spans and scripts of a slice, and its n-gram rows on demand, so that a long text never has all of them at once."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         self.start, self.end, self.at = words(data, offs)
         self.script = np.zeros(0, np.int64)
         if len(self.start):  # reduceat runs on to the next word; white space between has script 0
             self.script = np.maximum.reduceat(scripts_of(data), self.start).astype(np.int64)
-        b = np.concatenate((_FOLD[data], np.full(4, 32, np.uint8))).astype(np.uint64)
-        self.rows = []
+        self.data = data
+
+    def grams(self, a: int, b: int) -> list[np.ndarray]:
+        """Table rows of the n-grams at the bytes a..b, for each size. The n-gram at i begins one byte before i, so that a word's first takes in its border."""
+        near = self.data[max(a - 1, 0) : b + max(SIZES)]
+        w = np.full(b - a + max(SIZES) + 1, 32, np.uint8)
+        w[int(a == 0) : int(a == 0) + len(near)] = _FOLD[near][: len(w) - int(a == 0)]
+        w, out = w.astype(np.uint64), []
         for k, size in enumerate(SIZES):
-            # the n-gram at i begins one byte before i, so that a word's first takes in its border
-            g = np.zeros(len(data), np.uint64)
-            for s in range(size):
-                g = (g << U(8)) | (b[s : s + len(data)] if s else np.concatenate(([U(32)], b[: len(data)]))[: len(data)])
-            self.rows.append(k * TABLE + (mix(g + U(size << 48)) % U(TABLE)).astype(np.int64))
+            g = w[: b - a].copy()
+            for s in range(1, size):
+                g = (g << U(8)) | w[s + 1 : s + 1 + b - a]
+            out.append(k * TABLE + (mix(g + U(size << 48)) % U(TABLE)).astype(np.int32))
+        return out
+
+
+def places(data: np.ndarray, at: list[int]) -> list[int]:
+    """How many characters begin before each of some ascending byte places."""
+    out, last, n = [], 0, 0
+    for p in at:
+        n += int(np.count_nonzero((data[last:p] & 0xC0) != 0x80))
+        last = p
+        out.append(n)
+    return out
 
 
 def _counts(languages: list[str]):
@@ -105,8 +123,10 @@ def _counts(languages: list[str]):
                 here, mine = np.unique(lang[i:j], return_inverse=True)
                 of_byte, of_word = np.repeat(mine, np.diff(offs)) * ROWS, np.repeat(mine, np.diff(f.at)) * ROWS
                 n = np.bincount(of_word + TABLE * len(SIZES) + f.script, minlength=len(here) * ROWS)
-                for rows in f.rows:
-                    n += np.bincount(of_byte + rows, minlength=len(n))
+                for a in range(0, len(data), CELLS // 4):
+                    b = min(a + CELLS // 4, len(data))
+                    for rows in f.grams(a, b):
+                        n += np.bincount(of_byte[a:b] + rows, minlength=len(n))
                 for x, counts in zip(here.tolist(), n.reshape(len(here), ROWS)):
                     total[x] = total[x] + counts if x in total else counts.copy()
         for x, counts in total.items():
@@ -132,15 +152,33 @@ class Model:
         self.allowed[0] = True
         self.allowed[~self.allowed.any(axis=1)] = True
 
-    def word_scores(self, f: Features) -> np.ndarray:
-        """(words, languages): summed log scores less the best possible; 0 for all where a word has no letter."""
-        s = self.tables[f.rows[0]]
-        for rows in f.rows[1:]:
-            s = s + self.tables[rows]
-        s = np.add.reduceat(s, f.start, axis=0)
-        s[f.script == 0] = 0
-        s[~self.allowed[f.script]] += OFF_SCRIPT
-        return s - s.max(axis=1, keepdims=True)
+    def word_scores(self, f: Features, first: int = 0, last: int | None = None) -> np.ndarray:
+        """(words, languages) of the words first..last: summed log scores less the best possible; 0 for all where a word has no letter.
+
+        N-grams are gathered for a block of bytes at a time; a word that reaches into several adds up what each has of it.
+        """
+        last = len(f.start) if last is None else last
+        start, script = f.start[first:last], f.script[first:last]
+        out = np.zeros((last - first, len(self.languages)), np.float32)
+        stop = int(f.start[last]) if last < len(f.start) else len(f.data)
+        step = max(1 << 12, CELLS // len(self.languages))
+        a = int(start[0]) if len(start) else stop
+        while a < stop:
+            b = min(a + step, stop)
+            lo, hi = int(np.searchsorted(start, a, "right")), int(np.searchsorted(start, b, "left"))
+            if b < stop and hi - lo > 1:  # whole words, if there are such
+                hi -= 1
+                b = int(start[hi])
+            first_rows, *more = f.grams(a, b)
+            s = self.tables[first_rows]
+            for rows in more:
+                s += self.tables[rows]
+            out[lo - 1 : hi] += np.add.reduceat(s, np.concatenate(([0], start[lo:hi] - a)), axis=0)
+            a = b
+        out[script == 0] = 0
+        out[~self.allowed[script]] += OFF_SCRIPT
+        out -= out.max(axis=1, keepdims=True)
+        return out
 
 
 def viterbi(s: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -171,20 +209,67 @@ def viterbi(s: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     return path
 
 
+def viterbi_blocks(scores, n: int, k: int, words_each: int, penalty: float = SWITCH) -> np.ndarray:
+    """viterbi() of n words whose scores come by scores(a, b) for a block of words, with a block in memory at a time.
+
+    Sums and gains are carried from block to block; the path is found backwards, each block worked out again from the best
+    sums at its beginning, which alone are kept.
+    """
+    at = [(a, min(a + words_each, n)) for a in range(0, n, words_each)]
+    if len(at) < 2:
+        return viterbi(scores(0, n), penalty)
+    c = int(sum(scores(a, b).sum(axis=0, dtype=np.float64) for a, b in at).argmax())
+    gain, low, most = np.zeros(k), np.zeros(k), 0.0
+    for a, b in at:
+        s = scores(a, b)
+        g = gain + np.cumsum(s - s[:, c : c + 1], axis=0, dtype=np.float64)
+        lows = np.minimum(low, np.minimum.accumulate(np.concatenate((gain[None], g[:-1])), axis=0))
+        most = max(most, float((g - lows).max()))
+        gain, low = g[-1], np.minimum(lows[-1], g[-1])
+    if most <= penalty / 2:
+        return np.full(n, c)
+
+    def forward(best, a, b, back=None):
+        s, stay = scores(a, b), np.arange(k)
+        for t in range(b - a):
+            if a + t == 0:
+                best = s[0].astype(np.float64)
+                continue
+            top = int(best.argmax())
+            jump = best[top] - penalty
+            move = jump > best
+            if back is not None:
+                back[t] = np.where(move, top, stay)
+            best = np.where(move, jump, best) + s[t]
+        return best
+
+    best, kept = None, []
+    for a, b in at:
+        kept.append(best)
+        best = forward(best, a, b)
+    path = np.zeros(n, np.int32)
+    path[-1] = best.argmax()
+    for (a, b), begin in zip(reversed(at), reversed(kept)):
+        back = np.zeros((b - a, k), np.int32)
+        forward(begin, a, b, back)
+        for t in range(b - 1, max(a - 1, 0), -1):
+            path[t - 1] = back[t - a, path[t]]
+    return path
+
+
 def learn(docs: DataFrame) -> Model | None:
     """A model of all documents with text and language whose id is not held out; None where there are none.
 
-    Of more than LANGUAGES values the most frequent are learnt, ties by name. Rows that repeat an id all count; empty
+    All values of lang are learnt. Rows that repeat an id all count; empty
     texts teach nothing. Every task sends its counts by language and n-gram row; these are summed by key, and what comes to the driver has
     languages x ROWS rows at most, whatever the size of the corpus.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(crc_mod3(F.col("doc_id")) != 1).select("text", "lang")
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    languages = sorted(r[0] for r in often.collect())
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not languages:
         return None
     with small_batches(docs.sparkSession):
-        counted = rows.where(F.col("lang").isin(languages)).mapInArrow(_counts(languages), "lang long, row long, n long")
+        counted = rows.mapInArrow(_counts(languages), "lang long, row long, n long")
         got = counted.groupBy("lang", "row").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), ROWS))
     counts[got["lang"].to_numpy(), got["row"].to_numpy()] = got["n"].to_numpy()
@@ -200,30 +285,36 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.strin
 
 def _label(model: Model | None, batch: pa.RecordBatch) -> Iterator[tuple[int, int, list, list, list]]:
     """For slices of a batch: language, score and spans (code points) of each row."""
-    for i, j, data, offs in text_slices(batch, "text"):
+    k = len(model.languages) if model else 1
+    for i, j, data, offs in text_slices(batch, "text", max(1 << 14, SLICE_BYTES * FEW // max(FEW, k))):
         f = Features(data, offs)
         lang, score, spans = [UNKNOWN] * (j - i), [0.0] * (j - i), [[] for _ in range(j - i)]
-        scores = model.word_scores(f) if model and len(f.start) else None
+        block = max(1, CELLS // k)
+        scores = model.word_scores(f) if model and 0 < len(f.start) <= block else None
         size = (f.end - f.start).astype(float)
-        char = None
-        for k in range(j - i):
-            a, b = f.at[k], f.at[k + 1]
-            if scores is None or a == b:
-                continue
-            mine, scripts = scores[a:b], f.script[a:b]
-            if not scripts.any():  # no letter
+        for r in range(j - i):
+            a, b = int(f.at[r]), int(f.at[r + 1])
+            scripts = f.script[a:b]
+            if model is None or not scripts.any():  # no letter
                 continue
-            path = viterbi(mine)
-            weight = np.bincount(path, weights=size[a:b] * (scripts > 0), minlength=len(model.languages))
+            if scores is not None:
+                mine = scores[a:b]
+                path, total = viterbi(mine), None
+            else:  # a long text, of which a block of words is scored at a time
+                mine = None
+                path = viterbi_blocks(lambda x, y: model.word_scores(f, a + x, a + y), b - a, k, block)  # noqa: B023
+            weight = np.bincount(path, weights=size[a:b] * (scripts > 0), minlength=k)
             best = int(weight.argmax())
-            total = mine[path == best].sum(axis=0)
+            if mine is not None:
+                total = mine[path == best].sum(axis=0)
+            else:
+                total = sum(model.word_scores(f, a + x, min(a + x + block, b))[path[x : x + block] == best].sum(axis=0) for x in range(0, b - a, block))
             sure = 1 / np.exp(np.clip(total - total[best], -50, 50)).sum()
-            lang[k], score[k] = model.languages[best], float(np.clip(weight[best] / weight.sum() * sure, 0, 1))
-            if char is None:
-                char = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            lang[r], score[r] = model.languages[best], float(np.clip(weight[best] / weight.sum() * sure, 0, 1))
             turns = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [b - a]))
-            zero = char[offs[k]]
-            spans[k] = [{"start": int(char[f.start[a + x]] - zero), "end": int(char[f.end[a + y - 1]] - zero), "lang": model.languages[path[x]]} for x, y in zip(turns[:-1], turns[1:])]
+            edges = [p for x, y in zip(turns[:-1], turns[1:]) for p in (int(f.start[a + x]), int(f.end[a + y - 1]))]
+            chars = places(data[offs[r] : offs[r + 1]], [p - int(offs[r]) for p in edges])
+            spans[r] = [{"start": chars[2 * n], "end": chars[2 * n + 1], "lang": model.languages[path[x]]} for n, x in enumerate(turns[:-1])]
         yield i, j, lang, score, spans
 
 
