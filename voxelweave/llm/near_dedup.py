@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import U, arrow_rows, id_and_text, mix, shingle_hashes, small_batches, text_slices
+from voxelweave.llm.common import U, arrow_rows, id_and_text, mix, shingle_hashes, small_batches, text_slices, written
 from voxelweave.operators.graph import connected_components
 from voxelweave.session import cut
 
@@ -229,9 +229,11 @@ def _groups(docs: DataFrame, percent: int) -> DataFrame:
     classes = cut(classes)
     sigs = marked.select(F.col("doc_id").alias("rep"), "digest", "sig", "n_shingles")
     reps = cut(sigs.join(classes.hint("merge"), ["rep", "digest"]).dropDuplicates(["rep", "digest"]).drop("digest"))
-    bands = reps.mapInArrow(_bands, "band long, rep long")
-    lead = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    buckets = cut(bands.join(lead.hint("merge"), "band").select("band", "rep", "low", "high").distinct())
+    # the ends of the buckets are written out before they meet the bands, and nothing behind the join rests on its
+    # partitioning, so that adaptive execution can split a bucket that a third of the representatives are in
+    bands = written(reps.mapInArrow(_bands, "band long, rep long"), "dedup-bands")
+    lead = cut(bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high"))
+    buckets = cut(bands.join(lead.hint("merge"), "band").select("band", "rep", "low", "high"))
     lows = buckets.where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     highs = buckets.where("rep < high").select(F.col("rep").alias("a"), F.col("high").alias("b"))
     links = cut(_links(lows.union(highs).distinct(), reps, docs, percent))

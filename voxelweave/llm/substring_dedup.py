@@ -170,13 +170,14 @@ def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
     """doc_id and its units that an earlier (doc_id, place) has too, as (idx, digest).
 
     A first pass counts digests alone, summed before the shuffle; only units whose digest occurs more than once are then
-    told apart by place. These and the first place of each are written out before they meet, so the joins stand on
+    told apart by place. These, the digests, and the first place of each are written out before they meet, so the joins stand on
     exchanges of their own, which adaptive execution splits where a third of the documents hold a passage.
     """
     named = docs.where("doc_id is not null")
     often = named.mapInArrow(_units(mean_words, False), "digest long").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     every = named.mapInArrow(_units(mean_words, True), "digest long, doc_id long, idx int")
     with small_batches(docs.sparkSession):
+        often = written(often, "often-digests")
         some = written(every.join(often.hint("merge"), "digest"), "repeated-units")
     first = written(some.groupBy("digest").agg(F.min(F.struct("doc_id", "idx")).alias("first")), "first-units")
     later = some.join(first.hint("merge"), "digest").where("struct(doc_id, idx) <> first")
