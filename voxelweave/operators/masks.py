@@ -47,6 +47,23 @@ def status_set(status: DataFrame, group: list[str], mask: str = "mask") -> DataF
     return status.groupBy(*group).agg(named("missing").alias("missing"), named("truncated").alias("incomplete"), F.bool_and(F.col("status") == "complete").alias("all_complete"))
 
 
+def file_status(status: DataFrame, files: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """mask_status() told apart by what files there are: missing without one, invalid where its shape is not that of the volume, empty where it has no voxel.
+
+    files has the group columns and `valid`, one row a mask file; several count as one, valid if all are.
+    """
+    f = files.groupBy(*group).agg(F.bool_and("valid").alias("_valid"))
+    both = status.join(f.hint("merge"), group, "left")
+    told = F.when(F.col("_valid").isNull(), "missing").when(~F.col("_valid"), "invalid").when(F.col("status") == "missing", "empty").otherwise(F.col("status"))
+    return both.withColumn("status", told).drop("_valid")
+
+
+def file_status_set(status: DataFrame, group: list[str], mask: str = "mask") -> DataFrame:
+    """Per group the masks that are missing, invalid, empty and incomplete, and whether all are complete."""
+    named = lambda s: F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") == s, F.col(mask)))), ",")
+    return status.groupBy(*group).agg(*[named(s).alias(n) for s, n in (("missing", "missing"), ("invalid", "invalid"), ("empty", "empty"), ("truncated", "incomplete"))], F.bool_and(F.col("status") == "complete").alias("all_complete"))
+
+
 def axial_extent(voxels: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """First and last occupied slice, and the middle of the occupied slices (element n div 2 of their sorted list)."""
     slices = voxels.select(*group, "z").distinct()

@@ -152,18 +152,32 @@ def vat_sat(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
 def organs(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     """Per organ: status, density unless there is contrast, volume only if complete, fat fraction, and whether its volume is alarming.
 
-    patients has study and contrast. An organ of cfg["alerts"] (mask: (name, least voxels)) is judged by its limit.
+    patients has study, contrast and maybe age. An organ of cfg["alerts"] (mask: name) is judged by its limit, a kidney also by the
+    patient's age. Where there are rows of renal.kidneys() as table `kidneys`, these masks have the volume, density and alert
+    of the part that is measured there, so that fragments, grafts and parts of indeterminate anatomy raise none.
     """
     g = Grid.of(t, cfg)
     status = masks.mask_status(g.on(t["voxels"]), g.on(t["expected"]), g.dims, g.cm3, ["study", "mask", *g.keys])
     stats = masks.mask_stats(t["voxels"])
-    both = status.join(stats.drop("n_voxels").hint("merge"), ["study", "mask"], "left").join(t["patients"].select("study", "contrast").hint("merge"), "study", "left")
+    both = status.join(stats.drop("n_voxels").hint("merge"), ["study", "mask"], "left").join(t["patients"].select("study", "contrast", *[c for c in t["patients"].columns if c == "age"]).hint("merge"), "study", "left")
     plain = ~F.coalesce("contrast", F.lit(False))
     hu, cm3 = F.when(plain, F.round("mean", 2)), F.when(F.col("status") == "complete", F.col("cm3"))
-    alert = F.lit(None).cast("string")
+    alert, age = F.lit(None).cast("string"), F.col("age") if "age" in t["patients"].columns else F.lit(None).cast("int")
     for mask, name in cfg.get("alerts", {}).items():
-        alert = F.coalesce(alert, F.when((F.col("mask") == mask) & cm3.isNotNull(), predicates.volume_alert(F.lit(name), cm3, F.lit(18), F.lit(False))))
-    return both.select("study", "mask", "status", hu.alias("hu"), cm3.alias("cm3"), F.when(plain, rules.pdff(F.col("mean"))).alias("pdff"), alert.alias("alert"))
+        alert = F.coalesce(alert, F.when((F.col("mask") == mask) & cm3.isNotNull(), predicates.volume_alert(F.lit(name), cm3, age, F.lit(False))))
+    got = both.select("study", "mask", "status", hu.alias("hu"), cm3.alias("cm3"), F.when(plain, rules.pdff(F.col("mean"))).alias("pdff"), alert.alias("alert"))
+    if "kidneys" not in t:
+        return got
+    k = t["kidneys"].select("study", "mask", F.struct("hu", "cm3", "alert").alias("_k"))
+    got = got.join(k.hint("merge"), ["study", "mask"], "left")
+    return got.withColumns({c: F.when(F.col("_k").isNotNull(), F.col(f"_k.{c}")).otherwise(F.col(c)) for c in ("hu", "cm3", "alert")}).drop("_k")
+
+
+def organ_samples(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
+    """What a mask's density rests on: voxels, volume, slices with voxels, and the extent in mm from the first to the last of them."""
+    g = Grid.of(t, cfg)
+    got = g.on(t["voxels"].groupBy("study", "mask").agg(F.count("*").alias("n_voxels"), F.count_distinct("z").alias("sample_slices"), (F.max("z") - F.min("z") + 1).alias("_span")))
+    return got.select("study", "mask", "n_voxels", F.round(F.col("n_voxels") * g.cm3, 3).alias("sample_cm3"), "sample_slices", F.round(F.col("_span") * steps(g.spacing)[2], 3).alias("sample_mm"))
 
 
 def liver_fat(measured: DataFrame, patients: DataFrame, liver: str, spleen: str, least_cm3: float = 10.0) -> DataFrame:
@@ -272,6 +286,15 @@ def kidney_stone(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     return both.groupBy("study", "mask").agg(F.count("*").alias("n_stones"), F.sum("n_voxels").alias("n_voxels"), F.max("n_voxels").alias("largest"), F.max_by("extent_1", F.struct("n_voxels", F.negative("label"))).alias("largest_mm"))
 
 
+def stone_summary(stones: DataFrame, studies: DataFrame, right: str, left: str) -> DataFrame:
+    """A row a study from the rows a side of kidney_stone(): stones by side and in all, the largest one's axis and side, and whether there are any."""
+    of = lambda m, c: F.coalesce(F.max(F.when(F.col("mask") == m, F.col(c))), F.lit(0)).cast("bigint")
+    got = stones.groupBy("study").agg(of(right, "n_stones").alias("right_stones"), of(left, "n_stones").alias("left_stones"), F.max("largest_mm").alias("largest_mm"), F.max_by("mask", F.struct("largest", "mask")).alias("largest_side"))
+    both = studies.select("study").distinct().join(got.hint("merge"), "study", "left").fillna(0, ["right_stones", "left_stones"])
+    total = F.col("right_stones") + F.col("left_stones")
+    return both.select("study", "right_stones", "left_stones", total.alias("total_stones"), "largest_mm", "largest_side", (total > 0).alias("has_stones"))
+
+
 def renal_components(t: dict[str, DataFrame], cfg: dict) -> tuple[DataFrame, DataFrame]:
     """Labelled runs of the kidney masks, and their components with region and whether they are significant (computed)."""
     z = masks.axial_extent(t["voxels"].where(F.col("mask").isin(cfg["l3"], cfg["l4"]))).select("study", "mask", "center_z")
@@ -441,13 +464,61 @@ def effusion(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
     return windows.effusion_qc(vol, ["study"], "ml", cfg.get("least_ml", 50))
 
 
-def recalculate(names: list[str], tables: dict[str, DataFrame], configs: dict[str, dict], studies: Column | None = None, errors: dict[str, str] | None = None) -> dict[str, DataFrame]:
+@metric("effusions", needs=("effusion",))
+def effusions(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
+    """A row a study and finding: pleural, by side of the nearer lung, and pericardial, as one volume; published only if positive.
+
+    A pleural effusion is positive if a side reaches `least_ml`, a pericardial one if the whole does; what lies between
+    the lungs counts for neither side. cfg names the masks `pleural` and `pericardial` and the lungs `left` and `right`. A study
+    without voxels of a finding has no row for it.
+    """
+    g, least = Grid.of(t, cfg), cfg.get("least_ml", 50.0)
+    labelled = components.label_runs(t["voxels"].where(F.col("mask").isin(cfg["pleural"], cfg["pericardial"])))
+    size = labelled.groupBy("study", "mask", "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
+    pts = labelled.where(F.col("mask") == cfg["pleural"]).select("study", "component", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z")
+    lung = lambda m: morphology.surface(t["voxels"].where(F.col("mask") == m)).drop("mask")
+    sides = morphology.lateralize(g.on(pts), g.on(lung(cfg["left"])), g.on(lung(cfg["right"])), g.spacing, ["study", *g.keys], "component", cfg.get("most_mm", 512.0))
+    both = g.on(size.join(sides.select("study", "component", "side").hint("merge"), ["study", "component"], "left"))
+    ml, pleural = F.col("n") * g.ml, F.col("mask") == cfg["pleural"]
+    of = lambda s: F.when(F.max(pleural.cast("int")) == 1, F.round(F.coalesce(F.sum(F.when(F.coalesce("side", F.lit("indeterminate")) == s, ml)), F.lit(0.0)), 6))
+    got = both.groupBy("study", F.when(pleural, "pleural_effusion").otherwise("pericardial_effusion").alias("finding")).agg(
+        F.count("*").alias("n_components"), F.sum("n").alias("n_voxels"), F.round(F.sum(ml), 6).alias("ml"), of("left").alias("left_ml"), of("right").alias("right_ml"), of("indeterminate").alias("indeterminate_ml"),
+    )
+    eligible = F.concat_ws(",", F.when(F.col("left_ml") >= least, "left"), F.when(F.col("right_ml") >= least, "right"))
+    positive = F.when(F.col("finding") == "pleural_effusion", eligible != "").otherwise(F.col("ml") >= least)
+    got = got.withColumns({"eligible_sides": F.when(F.col("finding") == "pleural_effusion", eligible), "positive": positive})
+    return got.withColumn("publish", F.bool_or("positive").over(W.partitionBy("study")))
+
+
+@metric("head_complete")
+def head_complete(t: dict[str, DataFrame], cfg: dict) -> DataFrame:
+    """A row a study and structure of the head: its volume (three digits), what borders cut it off, and whether it may be used.
+
+    cfg names the whole `brain` and lists the `structures`. A structure is usable if it is there and complete; the study is
+    complete if the brain is, and `usable` counts its structures. Missing and truncated ones are rows too.
+    """
+    g = Grid.of(t, cfg)
+    names = [cfg["brain"], *cfg["structures"]]
+    want = t["voxels"].select("study").distinct().withColumn("mask", F.explode(F.array(*[F.lit(n) for n in names])))
+    s = masks.mask_status(g.on(t["voxels"].where(F.col("mask").isin(names))), g.on(want), g.dims, g.cm3, ["study", "mask", *g.keys]).drop(*g.keys)
+    every = W.partitionBy("study")
+    whole, part = F.col("status") == "complete", F.col("mask") != cfg["brain"]
+    s = s.withColumns({"complete": F.bool_or(whole & ~part).over(every), "usable": F.count_if(whole & part).over(every)})
+    return s.select("study", "mask", "status", F.when(F.col("status") != "missing", F.round("cm3", 3)).alias("cm3"), "borders", "complete", "usable")
+
+
+def recalculate(names: list[str], tables: dict[str, DataFrame], configs: dict[str, dict], studies: Column | None = None, errors: dict[str, str] | None = None, first: int | None = None) -> dict[str, DataFrame]:
     """The named metrics and what they need, for all or for selected studies; most is computed only when it is asked for.
 
+    `first` takes the first studies by their key, of those selected.
+
     A metric that lacks a table, a column or a setting is left out and told in `errors`, if that is given, else raised.
     """
     if studies is not None:
         tables = {k: d.where(studies) if "study" in d.columns else d for k, d in tables.items()}
+    if first is not None:
+        some = tables["voxels"].select("study").distinct().orderBy("study").limit(first)
+        tables = {k: d.join(some.hint("merge"), "study", "left_semi") if "study" in d.columns else d for k, d in tables.items()}
     out = {}
     for m in planned(names):
         try:

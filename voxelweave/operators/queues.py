@@ -23,15 +23,18 @@ def queue_matrix(rows: DataFrame, queue: str, status: str, statuses: list[str])
     return rows.rollup(queue).agg(*cols).withColumn(queue, F.coalesce(queue, F.lit("all")))
 
 
-def next_pending(rows: DataFrame, queue: str, k: int, due: Column | None = None) -> DataFrame:
+def next_pending(rows: DataFrame, queue: str, k: int, due: Column | None = None, retry_at: str | None = None) -> DataFrame:
     """The k oldest pending rows of each queue; `due` limits it to those whose retry is due.
 
+    Where rows are tried again, `retry_at` names the time of the next attempt, which comes before age; a row that was never
+    tried has none and comes first.
+
     An aggregate per queue of the k smallest would do on its own; row_number over a hot queue sorts one task's rows, so
     rows beyond the k-th of their input partition are dropped first by Spark's window group limit.
     """
     p = rows.where(F.col("status") == "pending")
     p = p.where(due) if due is not None else p
-    w = W.partitionBy(queue).orderBy("created_at", "item")
+    w = W.partitionBy(queue).orderBy(*([F.col(retry_at).asc_nulls_first()] if retry_at else []), "created_at", "item")
     return p.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
@@ -235,6 +238,24 @@ def alerts(rows: DataFrame, age_s: Column, limits: dict[str, int]) -> DataFrame:
     return rows.withColumn("age_s", age_s).where(F.col("age_s") > limit)
 
 
+def stage_alerts(rows: DataFrame, queue: str, age_s: Column, limits: dict[str, int], most_errors: int) -> DataFrame:
+    """A row an alert (kind, queue, n): rows that have been active for longer than their queue's limit, and queues with more errors than `most_errors`."""
+    limit = F.coalesce(*[F.when(F.col(queue) == s, F.lit(v)) for s, v in limits.items()])
+    old = F.count_if(F.col("status").isin(ACTIVE) & (age_s > limit))
+    bad = F.count_if(F.col("status") == "error")
+    got = rows.groupBy(F.col(queue).alias("queue")).agg(old.alias("_old"), bad.alias("_bad"))
+    told = F.array(F.struct(F.lit("stale_rows").alias("kind"), F.when(F.col("_old") > 0, F.col("_old")).alias("n")), F.struct(F.lit("errors").alias("kind"), F.when(F.col("_bad") > most_errors, F.col("_bad")).alias("n")))
+    return got.select("queue", F.inline(told)).where("n is not null")
+
+
+def backlog(rows: DataFrame, queue: str, status: str, k: int) -> DataFrame:
+    """The k queues with most waiting rows, and each one's queued, active, processed and failed rows and its share of failures."""
+    n = lambda *s: F.count_if(F.col(status).isin(*s))
+    got = rows.groupBy(queue).agg(n("pending").alias("queued"), n("claimed").alias("active"), n("done").alias("processed"), n("error").alias("failed"))
+    got = got.withColumn("failure_rate", F.round(F.try_divide("failed", F.col("failed") + F.col("processed")), 4))
+    return got.orderBy(F.desc("queued"), queue).limit(k)
+
+
 def case_recent(rows: DataFrame, case: str, at: str) -> DataFrame:
     """When each case was last touched, the latest first; the order is a range shuffle."""
     return rows.groupBy(case).agg(F.max(at).alias("updated")).orderBy(F.col("updated").desc_nulls_last(), case)

@@ -256,3 +256,12 @@ def lateralize(t: Tables):
     side = lambda m: t.blobs.where(f"mask = {m}")
     got = morphology.lateralize(side(2), side(0), side(1), (1.0, 1.0, 1.0), ["study"], "mask", 256.0, 0.5)
     return got.select("study", "mask", F.round("d_left", 6).alias("d_left"), F.round("d_right", 6).alias("d_right"), "side")
+
+
+@query(f"""with s as (select e.study, e.mask, case when e.mask = 'X' and e.study % 2 = 0 then 'missing' when e.study % 4 = 3 and e.mask = 'A' then 'invalid' when n is null then 'empty' when b <> '' then 'truncated' else 'complete' end as st from {EXPECTED} e left join (select study, mask, count(*) as n, {FACES} as b from lattice where x > 0 and not (mask = 'N' and (x > 62 or y > 49 or y < 1 or z in (0, 31))) group by 1, 2) s on e.study = s.study and e.mask = s.mask)
+ select study, coalesce(string_agg(mask, ',' order by mask) filter (st = 'missing'), '') as missing, coalesce(string_agg(mask, ',' order by mask) filter (st = 'invalid'), '') as invalid, coalesce(string_agg(mask, ',' order by mask) filter (st = 'empty'), '') as empty, coalesce(string_agg(mask, ',' order by mask) filter (st = 'truncated'), '') as incomplete, bool_and(st = 'complete') as all_complete from s group by study""")
+def mask_file_set(t: Tables):
+    """Some masks have no file, some a file of another shape, some an empty one."""
+    v, e = t.lattice.where("x > 0 and not (mask = 'N' and (x > 62 or y > 49 or y < 1 or z in (0, 31)))"), _expected(t)
+    files = e.where("not (mask = 'X' and study % 2 = 0)").withColumn("valid", ~((c("study") % 4 == 3) & (c("mask") == "A")))
+    return masks.file_status_set(masks.file_status(masks.mask_status(v, e, DIMS, 0.002), files), ["study"])

@@ -313,3 +313,37 @@ def erode_mm_grids(t: Tables):
     """Erosion by a distance of which every grid makes another number of steps."""
     v = t.blobs.select("study", "mask", "x", "y", "z")
     return morphology.erode_mm(grids.on_grid(v, _tilted(v)), 1.5, None, ["study", "mask", *grids.GRID]).drop(*grids.GRID)
+
+
+@query(None)
+def m_effusions(t: Tables):
+    """m2 as the pleural mask, m1 as both the pericardial one and the right lung, each study on its own grid."""
+    v = _blobs(t)
+    return metrics.effusions({"voxels": v, "volumes": _tilted(v)}, {"pleural": "m2", "pericardial": "m1", "left": "m0", "right": "m1", "least_ml": 0.3})
+
+
+@query("""with g as (select study, cast(0.5 as double) + study % 3 * cast(0.25 as double) as sx, cast(1.0 as double) + study % 2 * cast(0.5 as double) as sz from (select distinct study from blobs)), k as (select study, mask, count(*) as n, concat_ws(',', case when min(x) <= 0 then 'x_min' end, case when max(x) >= 55 then 'x_max' end, case when min(y) <= 0 then 'y_min' end, case when max(y) >= 55 then 'y_max' end, case when min(z) <= 0 then 'z_min' end, case when max(z) >= 51 then 'z_max' end) as b from blobs where not (mask = 1 and study % 5 = 2) group by 1, 2),
+ s as (select g.study, m.mask, sx, sz, n, b, case when n is null then 'missing' when b <> '' then 'truncated' else 'complete' end as status from g cross join (select unnest([0, 1, 2]) as mask) m left join k on k.study = g.study and k.mask = m.mask)
+ select study, concat('m', cast(mask as varchar)) as mask, status, case when n is not null then round(n * (sx * cast(0.9 as double) * sz / 1000.0), 3) end as cm3, coalesce(b, '') as borders, bool_or(status = 'complete' and mask = 0) over (partition by study) as complete, count(*) filter (status = 'complete' and mask <> 0) over (partition by study) as usable from s""")
+def m_head_complete(t: Tables):
+    v = _blobs(t)
+    grid = _tilted(v).withColumns({"nx": L(56), "ny": L(56), "nz": L(52)})
+    return metrics.head_complete({"voxels": v.where("not (mask = 'm1' and study % 5 = 2)"), "volumes": grid}, {"brain": "m0", "structures": ["m1", "m2"]})
+
+
+@query(f"select l.study, mask, count(*) as n_voxels, round(count(*) * any_value(sx * sy * sz) / 1000.0, 3) as sample_cm3, count(distinct z) as sample_slices, round((max(z) - min(z) + 1) * any_value(sz), 3) as sample_mm from lattice l join {OWN_GRID} g on g.study = l.study group by 1, 2")
+def organ_samples(t: Tables):
+    return metrics.organ_samples({"voxels": t.lattice, "volumes": _own_grid(t)}, {})
+
+
+@query(None)
+def organs_with_kidneys(t: Tables):
+    """Organs whose kidney masks are judged by the part that is measured, with the patients' ages."""
+    tables = _renal(t)
+    return metrics.organs(tables | {"expected": tables["voxels"].select("study", "mask").distinct(), "kidneys": renal.kidneys(tables, RENAL)}, {"alerts": {"m0": "kidney", "m2": "liver"}})
+
+
+@query(None)
+def stone_summary(t: Tables):
+    tables = _renal(t)
+    return metrics.stone_summary(metrics.kidney_stone(tables, {"kidneys": ["m0", "m1"]}), tables["voxels"], "m0", "m1")

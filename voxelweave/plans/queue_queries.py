@@ -195,3 +195,26 @@ def backlog_top(t: Tables):
 @query("select case_id, max(created_at) as updated from queue group by case_id")
 def case_recent(t: Tables):
     return Q.case_recent(t.queue, "case_id", "created_at")
+
+
+@query("select queue, item, place from (select queue, item, row_number() over (partition by queue order by case when attempts > 0 then created_at + attempts * 40 * interval 1 day end asc nulls first, created_at, item) as place from queue where status = 'pending') where place <= 5")
+def next_retry(t: Tables):
+    """Rows that were tried before wait for their next attempt; those that were not come first."""
+    rows = t.queue.withColumn("next_at", F.when(c("attempts") > 0, F.expr("created_at + make_dt_interval(attempts * 40)")))
+    return Q.next_pending(rows, "queue", 5, retry_at="next_at").select("queue", "item", "place")
+
+
+FAILING = "(select *, case when item % 7 = 3 then 'error' else status end as state from queue)"
+
+
+@query(f"select * from (select queue, count(*) filter (state = 'pending') as queued, count(*) filter (state = 'claimed') as active, count(*) filter (state = 'done') as processed, count(*) filter (state = 'error') as failed, round(count(*) filter (state = 'error') / nullif(count(*) filter (state in ('error', 'done')), 0), 4) as failure_rate from {FAILING} group by queue) order by queued desc, queue limit 3")
+def backlog_counts(t: Tables):
+    rows = t.queue.withColumn("state", F.when(c("item") % 7 == 3, "error").otherwise(c("status")))
+    return Q.backlog(rows, "queue", "state", 3)
+
+
+@query(f"""with s as (select queue, count(*) filter (state in ('pending', 'claimed') and epoch(timestamp '1998-08-02') - epoch(created_at) > case queue when '1-URGENT' then 86400 when '2-HIGH' then 200000000 when '5-LOW' then 900000000 end) as o, count(*) filter (state = 'error') as e from {FAILING} group by queue)
+ select queue, 'stale_rows' as kind, o as n from s where o > 0 union all select queue, 'errors', e from s where e > 400""")
+def alerts_by_queue(t: Tables):
+    rows = t.queue.withColumn("status", F.when(c("item") % 7 == 3, "error").otherwise(c("status")))
+    return Q.stage_alerts(rows, "queue", epoch_s(F.lit("1998-08-02")) - epoch_s(c("created_at")), {"1-URGENT": 86400, "2-HIGH": 200000000, "5-LOW": 900000000}, 400)
