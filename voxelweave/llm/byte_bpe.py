@@ -132,7 +132,8 @@ def vocabulary(path: str, pattern: str) -> ByteBpe:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every whole text.
 
-    A null or empty text has no ids; rows that repeat an id are encoded each; columns besides the two are not read.
+    A null or empty text has no ids; rows that repeat an id are encoded each; columns besides the two are not read. An empty
+    table gives an empty result. A very long text is split and encoded whole by one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

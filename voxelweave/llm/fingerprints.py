@@ -110,7 +110,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contained_edited (share of the text's shingles that the edited text holds) and n_shingles (estimated).
 
     A null text counts as empty and has an empty fingerprint; two empty fingerprints are alike (1). Rows without an id
-    come last; rows that repeat an id follow each other by text.
+    come last; rows that repeat an id follow each other by text. An empty table gives an empty result; columns besides the two
+    are not read. A very long text is held whole by the JVM, with its words and their shingle hashes, about thirty bytes a word.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))

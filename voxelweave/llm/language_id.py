@@ -324,7 +324,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     The language is the one that most of the letters' words were labelled with; the score is its share of them times
     how sure those words are against the other languages. `und` with score 0 where the text is null or has no letter (of
     any script), or where nothing could be learnt. Ties go to the first language by name. Rows that repeat an id or have
-    none are labelled each; columns besides the two are not read.
+    none are labelled each; columns besides the two are not read. An empty table gives an empty result. Of a very long text
+    words are scored, and paths kept, a block at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

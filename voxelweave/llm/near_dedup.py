@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or wordless texts have empty sets and link with nothing. Rows without an id are kept and link with nothing
     (component_id null). Rows that repeat a doc_id count as one document; each gets its row in the result.
-    An empty table gives an empty result; columns besides the two are not read.
+    An empty table gives an empty result; columns besides the two are not read. A very long text is hashed in windows, but its
+    shingle hashes, eight bytes each, are held by one task; both texts of a pair that is confirmed meet there.
     """
     with small_batches(docs.sparkSession):
         return _groups(id_and_text(docs, id_col, text_col), percent)

@@ -81,7 +81,8 @@ def pack(docs: DataFrame, path: str, kind: str = "marked", end: int = 2, capacit
     the thousands that it fills. capacity bounds the tokens, documents and attention cost
     (sum of squared lengths) of a window; a piece of full length must fit an empty one.
 
-    A null text counts as empty: its one piece is the end id. Repeated rows are packed as they come.
+    A null text counts as empty: its one piece is the end id. Repeated rows are packed as they come. An empty table gives an
+    empty result; columns besides the two are not read. The ids of a very long text are held whole by the task that cuts it.
     """
     if capacity[1] < 1 or capacity[2] < capacity[0] ** 2:
         raise ValueError("a window must have room for one piece of full length")

@@ -198,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.
 def score(docs: DataFrame, model: tuple[np.ndarray, Network | float]) -> DataFrame:
     """doc_id, score, predicted of every whole text; a null or empty text is scored as one without words.
 
-    Rows that repeat an id or have none are scored each; columns besides the two are not read.
+    Rows that repeat an id or have none are scored each; columns besides the two are not read. An empty table gives an empty
+    result. A very long text is held whole by one task, with a hash and a table row for each of its words.
     """
     vectors, network = model
 

@@ -137,7 +137,8 @@ def judge(docs: DataFrame, model: Regression | float, threshold: float = THRESHO
 
     base_failed: fewer than `least_words` words, or over `most_repeated` percent of them in three-word windows that
     the text has twice. kept: not base_failed, and the probability reaches the threshold. A null or empty text has no words and
-    fails. Rows that repeat an id or have none are judged each; columns besides the two are not read.
+    fails. Rows that repeat an id or have none are judged each; columns besides the two are not read. An empty table gives an
+    empty result. A very long text is held whole by one task, with some hashes for each of its words and bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,7 +195,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     inside a longer unspaced run) and removed_spans (code points of the original, end exclusive).
 
     A null text stays null, an empty or wordless one stays as it is. Rows without an id neither claim nor lose
-    passages. Rows that repeat a doc_id with the same text count as one place and are treated alike.
+    passages. Rows that repeat a doc_id with the same text count as one place and are treated alike. An empty table gives an
+    empty result; columns besides the two are not read. A very long text is held whole by one task, with some arrays of its length.
     """
     docs = id_and_text(docs, id_col, text_col)
     marks = repeated_chunks(docs, mean_words)
