@@ -31,6 +31,8 @@ def write(folder, rows, labels):
     pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in labels], pa.int64()), "quality": pa.array([x[1] for x in labels], pa.int32()), "toxic": pa.array([0] * len(labels), pa.int32())}), f"{folder}/labels.parquet")
     pages = [(i, f"http://x/{i}\r\n?q=%0A", r[1] if i % 4 else None) for i, r in enumerate(rows)] + [(None, None, "no id"), (2, "again", rows[2][1] if rows else None)] * bool(rows)
     pq.write_table(pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": pa.array([p[1] for p in pages], pa.string()), "html": pa.array([p[2] for p in pages], pa.string())}), f"{folder}/pages.parquet")
+    vectors = [(i, [float((i * 7 + k * k) % 11) for k in range(8)]) for i in range(len(rows))]
+    pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())), "label": pa.array([0] * len(vectors), pa.int32())}), f"{folder}/embeddings.parquet")
     return str(folder)
 
 
