@@ -148,3 +148,12 @@ def test_labels_follow_the_first_voxel(voxels, grids):
             p = np.array(list(c))
             want[i] = (len(c), tuple(p.min(axis=0)), tuple(p.max(axis=0)), round(float(p[:, 0].mean()), 6), round(float(p[:, 2].mean()), 6))
         assert got[k] == want
+
+
+def test_round_shapes_have_no_angle(spark):
+    """Discs, whose moments are equal: what rounding makes of them is no axis."""
+    disc = [(x, y) for x, y in itertools.product(range(-6, 7), repeat=2) if x * x + y * y <= 36]
+    rows = [(k, "m", 7 * k + x, 11 * k + 3 + y, 0) for k in range(20) for x, y in disc] + [(20, "m", k, 2 * k, 0) for k in range(9)]
+    got = {r.study: r.angle for r in shapes.inplane_rotation(spark.createDataFrame(rows, "study int, mask string, x int, y int, z int").repartition(8)).collect()}
+    assert got.pop(20) == pytest.approx(np.degrees(np.arctan(2)))
+    assert set(got.values()) == {0.0} and len(got) == 20
