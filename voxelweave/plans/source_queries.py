@@ -30,11 +30,10 @@ def scan_result_json(t: Tables):
     out = work_uri(t.spark, "results")
     first = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("event_id"))
     rows = t.events.withColumn("_r", first).where("_r = 1").select(F.when(c("event_id") % 10 == 0, F.substring("props", 1, 3)).otherwise(c("props")).alias("value"), c("user_id").alias("case"), c("event_type").alias("series"))
-    rows.repartition("case").write.partitionBy("case", "series").text(out)
-    part = lambda x: F.regexp_replace(x, "^(case|series)=", "")
+    S.write_result_json(rows, out)
     good, bad = S.scan_result_json(t.spark, out, "k bigint")
-    both = good.select(part("case_id").alias("case_id"), part("series_id").alias("series_id"), c("k"), L(0).alias("bad"))
-    both = both.unionByName(bad.select(part("case_id").alias("case_id"), part("series_id").alias("series_id"), L(None).cast("bigint").alias("k"), L(1).alias("bad")))
+    both = good.select(F.url_decode("case_id").alias("case_id"), F.url_decode("series_id").alias("series_id"), c("k"), L(0).alias("bad"))
+    both = both.unionByName(bad.select(F.url_decode("case_id").alias("case_id"), F.url_decode("series_id").alias("series_id"), L(None).cast("bigint").alias("k"), L(1).alias("bad")))
     return both.groupBy("case_id", "series_id").agg(F.sum("k").alias("total"), F.sum("bad").alias("n_bad"))
 
 
